@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from millrace.llm import exact_dedup
+from millrace.llm import bpe, exact_dedup, packing
 
 QUERIES = {
+    "op3_segment_tree_bpe": bpe.op3,
     "op6_tree_merge_dedup": exact_dedup.op6,
+    "op10_window_packing": packing.op10,
 }
 
 ORACLES = {
