@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, exact_dedup, packing
+from millrace.llm import bpe, exact_dedup, packing, quality
 
 QUERIES = {
     "op3_segment_tree_bpe": bpe.op3,
+    "op4_subword_quality": quality.op4,
     "op6_tree_merge_dedup": exact_dedup.op6,
     "op10_window_packing": packing.op10,
 }
