@@ -1,14 +1,16 @@
 """The queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, exact_dedup, packing, quality
+from millrace.llm import bpe, exact_dedup, packing, quality, topk
 
 QUERIES = {
     "op3_segment_tree_bpe": bpe.op3,
     "op4_subword_quality": quality.op4,
+    "op5_pivot_distance_topk": topk.op5,
     "op6_tree_merge_dedup": exact_dedup.op6,
     "op10_window_packing": packing.op10,
 }
 
 ORACLES = {
+    "op5_pivot_distance_topk": topk.ORACLE,
     "op6_tree_merge_dedup": exact_dedup.ORACLE,
 }
