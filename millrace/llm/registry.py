@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, exact_dedup, jaccard, packing, quality, topk
+from millrace.llm import bpe, exact_dedup, jaccard, packing, pii, quality, topk
 
 QUERIES = {
     "op3_segment_tree_bpe": bpe.op3,
     "op4_subword_quality": quality.op4,
     "op5_pivot_distance_topk": topk.op5,
     "op6_tree_merge_dedup": exact_dedup.op6,
+    "op8_bootstrapped_pii": pii.op8,
     "op9_multi_order_jaccard": jaccard.op9,
     "op10_window_packing": packing.op10,
 }
