@@ -57,3 +57,11 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def to_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that shuffle files of jobs that are over leave the executors' disks."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, exact_dedup, jaccard, packing, pii, quality, topk
+from millrace.llm import bpe, exact_dedup, jaccard, packing, pii, quality, suffix, topk
 
 QUERIES = {
+    "op1_run_length_index": suffix.op1,
     "op3_segment_tree_bpe": bpe.op3,
     "op4_subword_quality": quality.op4,
     "op5_pivot_distance_topk": topk.op5,
