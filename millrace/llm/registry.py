@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, exact_dedup, jaccard, packing, pii, quality, suffix, topk
+from millrace.llm import bpe, exact_dedup, jaccard, lm, packing, pii, quality, suffix, topk
 
 QUERIES = {
     "op1_run_length_index": suffix.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_subword_quality": quality.op4,
     "op5_pivot_distance_topk": topk.op5,
     "op6_tree_merge_dedup": exact_dedup.op6,
+    "op7_causal_attention_lm": lm.op7,
     "op8_bootstrapped_pii": pii.op8,
     "op9_multi_order_jaccard": jaccard.op9,
     "op10_window_packing": packing.op10,
