@@ -124,12 +124,12 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of docs that ``exact_dedup`` keeps, with all their columns."""
-    flags = exact_dedup(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_own", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    one = own.join(flags, own["doc_id"].eqNullSafe(flags["_id"]) & (own["_own"] == flags["_sha"]), "left_semi")
-    # rows that repeat id and text: one of them stays
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(F.lit(1)))
-    return one.withColumn("_copy", copy).where("_copy = 1").select(docs.columns)
+    key = lambda i, sha: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), sha)
+    flags = exact_dedup(docs, keep).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    own = docs.withColumn("_key", key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    # rows that repeat id and text: one of them stays; the text moves once, by the key of both steps
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
+    return own.join(flags, "_key", "left_semi").withColumn("_copy", copy).where("_copy = 1").select(docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of its text replaced by its kind in brackets; overlapping spans become one."""
+    """docs with every span of its text replaced by its kind in brackets; overlapping spans become one, and n_chars follows the text."""
     rest = [c for c in docs.columns if c != "doc_id"]
     renamed = docs.select("doc_id", "text", *(F.col(c).alias(f"_k{i}") for i, c in enumerate(rest)))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
@@ -200,6 +200,9 @@ def redact(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(by_start, zero, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
     out = spans(renamed, *(f"_k{i}" for i in range(len(rest)))).withColumn(text, F.when(F.size("all") > 0, clean).otherwise(F.col(text)))
+    if "n_chars" in rest:  # it is the length of the text
+        chars = f"_k{rest.index('n_chars')}"
+        out = out.withColumn(chars, F.when(F.size("all") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(chars)))
     return out.select(*(F.col("doc_id").cast(docs.schema["doc_id"].dataType) if c == "doc_id" else F.col(f"_k{rest.index(c)}").alias(c) for c in docs.columns))
 
 
