@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, exact_dedup, jaccard, lm, packing, pii, quality, suffix, topk
+from millrace.llm import bpe, exact_dedup, jaccard, lm, packing, pii, quality, suffix, topk, warc
 
 QUERIES = {
     "op1_run_length_index": suffix.op1,
+    "op2_merkle_fixity": warc.op2,
     "op3_segment_tree_bpe": bpe.op3,
     "op4_subword_quality": quality.op4,
     "op5_pivot_distance_topk": topk.op5,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_merkle_fixity": warc.ORACLE,
     "op5_pivot_distance_topk": topk.ORACLE,
     "op6_tree_merge_dedup": exact_dedup.ORACLE,
 }
