@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import rstrip, strip
+from millrace.functions.text import let, rstrip, strip
 
 # Role names that stand for others.
 ROLE_ALIASES = {"human": "user", "instruction": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -59,9 +59,8 @@ def message_content(m: Column) -> Column:
 
 def message_role(m: Column) -> Column:
     raw = F.when(get(m, "role").isNotNull(), as_text(get(m, "role"))).when(get(m, "from").isNotNull(), as_text(get(m, "from"))).otherwise("user")
-    name = F.lower(strip(raw))
     aliases = F.create_map(*(F.lit(x) for pair in ROLE_ALIASES.items() for x in pair))
-    return F.when(name == "", "user").otherwise(F.coalesce(F.element_at(aliases, name), name))
+    return let(F.lower(strip(raw)), lambda name: F.when(name == "", "user").otherwise(F.coalesce(F.element_at(aliases, name), name)))
 
 
 def conversation(v: Column) -> Column:
@@ -89,13 +88,15 @@ def last_assistant(messages: Column) -> Column:
     return F.coalesce(F.array_max(at), F.lit(0))
 
 
-def response_of(messages: Column) -> tuple[Column, Column]:
-    """(rendered prefix, text) of the last assistant turn."""
-    at = last_assistant(messages)
-    return (
-        F.when(at > 0, render(F.slice(messages, 1, at - 1))),
-        F.when(at > 0, F.element_at(messages, F.greatest(at, F.lit(1)))["content"]),
-    )
+def response_of(messages: Column) -> Column:
+    """prompt (the rendered prefix) and text of the last assistant turn; both NULL without one."""
+
+    def told(x):
+        at = x["at"]
+        prompt = F.when(at > 0, render(F.slice(x["m"], F.lit(1), F.greatest(at - 1, F.lit(0)))))
+        return F.struct(prompt.alias("prompt"), F.when(at > 0, F.element_at(x["m"], F.greatest(at, F.lit(1)))["content"]).alias("text"), (at > 0).alias("spoken"))
+
+    return let(let(messages, lambda m: F.struct(m.alias("m"), last_assistant(m).alias("at"))), told)
 
 
 def _flat_prompt(v: Column) -> Column:
@@ -105,36 +106,39 @@ def _flat_prompt(v: Column) -> Column:
     return F.coalesce(first_filled(v, "prompt", "question"), asked)
 
 
-def sft_pair(v: Column) -> tuple[Column, Column]:
-    """(prompt, response) of a record, each NULL where there is none."""
-    talk = normalize(conversation(v))
-    prompt, answer = response_of(talk)
-    spoken = F.coalesce(last_assistant(talk) > 0, F.lit(False))
-    return (
-        F.when(spoken, prompt).otherwise(F.coalesce(_flat_prompt(v), first_filled(v, "input"))),
-        F.when(spoken, answer).otherwise(first_filled(v, "response", "answer", "output", "completion")),
-    )
+def sft_pair(v: Column) -> Column:
+    """prompt and response of a record, each NULL where there is none."""
+
+    def told(x):
+        return F.struct(
+            F.when(x["spoken"], x["prompt"]).otherwise(F.coalesce(_flat_prompt(v), first_filled(v, "input"))).alias("prompt"),
+            F.when(x["spoken"], x["text"]).otherwise(first_filled(v, "response", "answer", "output", "completion")).alias("response"),
+        )
 
+    return let(response_of(normalize(conversation(v))), told)
 
-def _choice(v: Column, *keys: str) -> tuple[Column, Column]:
+
+def _choice(v: Column, *keys: str) -> Column:
     raw = F.coalesce(*(F.when(filled(get(v, k)), get(v, k)) for k in keys))
-    listed = kind(raw).startswith("ARRAY")
-    prompt, text = response_of(normalize(F.when(listed, F.try_variant_get(raw, "$", "array<variant>"))))
-    return F.when(listed, prompt), F.when(listed, text).otherwise(as_text(raw))
+    return let(raw, lambda r: F.when(kind(r).startswith("ARRAY"), let(response_of(normalize(F.try_variant_get(r, "$", "array<variant>"))), lambda x: F.struct(x["prompt"].alias("prompt"), x["text"].alias("text")))).otherwise(F.struct(F.lit(None).cast("string").alias("prompt"), as_text(r).alias("text"))))
 
 
-def dpo_triplet(v: Column) -> tuple[Column, Column, Column]:
-    """(prompt, chosen, rejected); a prompt is taken from the chosen list only if there is no other."""
-    inferred, chosen = _choice(v, "chosen", "accepted", "winner")
-    _, rejected = _choice(v, "rejected", "reject", "loser")
-    return F.coalesce(_flat_prompt(v), inferred), chosen, rejected
+def dpo_triplet(v: Column) -> Column:
+    """prompt, chosen, rejected; a prompt is taken from the chosen list only if there is no other."""
+    both = F.struct(_choice(v, "chosen", "accepted", "winner").alias("c"), _choice(v, "rejected", "reject", "loser").alias("r"))
+    return let(both, lambda x: F.struct(F.coalesce(_flat_prompt(v), x["c"]["prompt"]).alias("prompt"), x["c"]["text"].alias("chosen"), x["r"]["text"].alias("rejected")))
 
 
 def format_prompt(prompt: Column) -> Column:
-    marked = F.lit(False)
-    for m in PROMPT_MARKERS:
-        marked = marked | prompt.contains(m)
-    return F.concat(F.when(marked, "").otherwise("<|user|>\n"), rstrip(prompt), F.lit("\n<|assistant|>\n"))
+    """The prompt with a user header, unless it has a role marker, and an assistant header to go on from."""
+
+    def told(p):
+        marked = F.lit(False)
+        for m in PROMPT_MARKERS:
+            marked = marked | p.contains(m)
+        return F.concat(F.when(marked, "").otherwise("<|user|>\n"), rstrip(p), F.lit("\n<|assistant|>\n"))
+
+    return let(prompt, told)
 
 
 def format_sft(prompt: Column, response: Column, eos: str = "<|eos|>") -> tuple[Column, Column]:
@@ -144,12 +148,7 @@ def format_sft(prompt: Column, response: Column, eos: str = "<|eos|>") -> tuple[
 
 def pretrain_text(v: Column, line: Column | None = None) -> Column:
     """text; else the rendered conversation; else the pair; else the record's own JSON (``line`` as it came)."""
-    talk = conversation(v)
-    prompt, response = sft_pair(v)
     own = F.to_json(v) if line is None else line
-    return (
-        F.when(filled(get(v, "text")), as_text(get(v, "text")))
-        .when(talk.isNotNull(), render(normalize(talk)))
-        .when(prompt.isNotNull() & response.isNotNull(), F.concat(F.lit("<|user|>\n"), prompt, F.lit("\n<|assistant|>\n"), response))
-        .otherwise(own)
-    )
+    paired = let(sft_pair(v), lambda x: F.when(x["prompt"].isNotNull() & x["response"].isNotNull(), F.concat(F.lit("<|user|>\n"), x["prompt"], F.lit("\n<|assistant|>\n"), x["response"])))
+    spoken = let(conversation(v), lambda c: F.when(c.isNotNull(), render(normalize(c))))
+    return F.coalesce(F.when(filled(get(v, "text")), as_text(get(v, "text"))), spoken, paired, own)

@@ -19,3 +19,8 @@ def strip(c) -> Column:
 def rstrip(c) -> Column:
     """As ``strip``, at the end only."""
     return F.regexp_replace(_col(c), rf"(?U){_SPACE}+\z", "")
+
+
+def let(x: Column, body) -> Column:
+    """body of x, with x worked out once."""
+    return F.element_at(F.transform(F.array(x), body), 1)

@@ -9,17 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.records import format_prompt
-from millrace.functions.text import rstrip
+from millrace.functions.text import let, rstrip
 
 IGNORE = -100
 EOS = 256
 
 
 def byte_ids(text: Column) -> Column:
-    """One id for each UTF-8 byte."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
+    """One id for each UTF-8 byte, in time linear in the text."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def _constant(value, n: Column) -> Column:
@@ -30,14 +29,10 @@ def sft_messages(messages: Column, encode=byte_ids, eos: int = EOS) -> Column:
     """ids and mask of a conversation: headers unsupervised, assistant content and the end id after it supervised."""
 
     def part(m):
-        head = encode(F.concat(F.lit("<|"), m["role"], F.lit("|>\n")))
-        body = encode(F.concat(m["content"], F.lit("\n")))
         own = m["role"] == "assistant"
         tail = F.when(own, F.array(F.lit(eos))).otherwise(F.array().cast("array<int>"))
-        return F.struct(
-            F.concat(head, body, tail).alias("ids"),
-            F.concat(_constant(False, F.size(head)), F.transform(body, lambda _: own), F.transform(tail, lambda _: F.lit(True))).alias("mask"),
-        )
+        both = F.struct(encode(F.concat(F.lit("<|"), m["role"], F.lit("|>\n"))).alias("h"), F.concat(encode(F.concat(m["content"], F.lit("\n"))), tail).alias("r"))
+        return let(both, lambda x: F.struct(F.concat(x["h"], x["r"]).alias("ids"), F.concat(_constant(False, F.size(x["h"])), F.transform(x["r"], lambda _: own)).alias("mask")))
 
     parts = F.transform(messages, part)
     return F.struct(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"), F.flatten(F.transform(parts, lambda p: p["mask"])).alias("mask"))
@@ -45,8 +40,8 @@ def sft_messages(messages: Column, encode=byte_ids, eos: int = EOS) -> Column:
 
 def sft_flat(prompt: Column, response: Column, encode=byte_ids, eos: int = EOS) -> Column:
     """ids and mask of a pair; the two regions are encoded by themselves, so that no merge crosses them."""
-    head, body = encode(format_prompt(prompt)), F.concat(encode(rstrip(response)), F.array(F.lit(eos)))
-    return F.struct(F.concat(head, body).alias("ids"), F.concat(_constant(False, F.size(head)), _constant(True, F.size(body))).alias("mask"))
+    both = F.struct(encode(format_prompt(prompt)).alias("h"), F.concat(encode(rstrip(response)), F.array(F.lit(eos))).alias("r"))
+    return let(both, lambda x: F.struct(F.concat(x["h"], x["r"]).alias("ids"), F.concat(_constant(False, F.size(x["h"])), _constant(True, F.size(x["r"]))).alias("mask")))
 
 
 def usable(example: Column) -> Column:
@@ -65,13 +60,18 @@ def shifted(ids: Column, mask: Column | None = None) -> tuple[Column, Column]:
 
 def dpo_example(prompt: Column, response: Column, longest: int, encode=byte_ids, eos_text: str = "<|eos|>") -> Column:
     """inputs and labels of one side of a pair, cut to ``longest`` predictions; NULL if nothing is left to learn."""
-    head = encode(format_prompt(prompt))
-    body = encode(F.concat(rstrip(response), F.lit(eos_text)))
-    full = F.slice(F.concat(head, body), 1, longest + 1)
-    n = F.size(full)
-    inputs, labels = shifted(full)
-    labels = F.transform(labels, lambda x, i: F.when(i < F.size(head) - 1, F.lit(IGNORE)).otherwise(x))
-    return F.when((n >= 2) & (F.size(head) < n) & F.exists(labels, lambda x: x != IGNORE), F.struct(inputs.alias("inputs"), labels.alias("labels")))
+    both = F.struct(encode(format_prompt(prompt)).alias("h"), encode(F.concat(rstrip(response), F.lit(eos_text))).alias("r"))
+
+    def cut(x):
+        return F.struct(F.size(x["h"]).alias("h"), F.slice(F.concat(x["h"], x["r"]), 1, longest + 1).alias("full"))
+
+    def label(x):
+        inputs, labels = shifted(x["full"])
+        told = F.transform(labels, lambda y, i: F.when(i < x["h"] - 1, F.lit(IGNORE)).otherwise(y))
+        return F.when((F.size(x["full"]) >= 2) & (x["h"] < F.size(x["full"])), F.struct(inputs.alias("inputs"), told.alias("labels")))
+
+    # a head shorter than the whole leaves at least one label
+    return let(let(both, cut), label)
 
 
 def padded(ids: Column, width: Column, pad) -> Column:

@@ -158,4 +158,4 @@ def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: i
                 batch, slot, kept = batch + 1, 0, len(out)
         return pd.DataFrame(out[:kept], columns=["corpus", "doc_id", "offset", "predictions", "microbatch", "slot"])
 
-    return parts_of.select("corpus", "doc_id", "n_tokens", "position").groupBy(F.lit(1)).applyInPandas(fold, "corpus string, doc_id long, offset long, predictions long, microbatch long, slot long")
+    return parts_of.select(F.lit(0).alias("all"), "corpus", "doc_id", "n_tokens", "position").groupBy("all").applyInPandas(fold, "corpus string, doc_id long, offset long, predictions long, microbatch long, slot long")

@@ -16,6 +16,8 @@ def running(df: DataFrame, order: list, value: Column | None = None, by: list[st
     n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [*by, *order]
     dealt = df.withColumn("_v", (F.lit(0) if value is None else value).cast("long")).repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
+    # range bounds are sampled, so rows and totals must come from one and the same exchange
+    dealt = dealt.persist()
     inside = Window.partitionBy("_p", *by).orderBy(*order)
     rows = dealt.withColumn("_r", F.row_number().over(inside) - 1).withColumn("_b", F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     totals = dealt.groupBy("_p", *by).agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))

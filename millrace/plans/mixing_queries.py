@@ -116,9 +116,9 @@ _SPLIT = f"""
     p AS (SELECT tr.*, o.position FROM tr JOIN o ON tr.corpus = o.corpus AND tr.train_rank = o.train_rank),
     pc AS (SELECT *, piece * {LONGEST} AS start, least({LONGEST}, n_tokens - 1 - piece * {LONGEST}) AS k FROM (SELECT *, unnest(range(0, (n_tokens - 2) // {LONGEST} + 1)) AS piece FROM p WHERE n_tokens >= 2)),
     tg AS (SELECT *, CAST(coalesce(sum(k) OVER (PARTITION BY corpus ORDER BY position, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) * factor AS tag FROM pc),
-    pl AS (SELECT *, CAST(coalesce(sum(k) OVER (ORDER BY tag, ord, position, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM tg),
-    mb AS (SELECT *, greatest(at, b * {BUDGET}) AS x, least(at + k, (b + 1) * {BUDGET}) AS y FROM (SELECT *, unnest(range(at // {BUDGET}, (at + k - 1) // {BUDGET} + 1)) AS b FROM pl)),
-    pk AS (SELECT b AS microbatch, corpus, doc_id, x - b * {BUDGET} AS slot, start + x - at AS "offset", y - x AS predictions FROM mb QUALIFY sum(y - x) OVER (PARTITION BY b) = {BUDGET})
+    pl AS (SELECT *, CAST(coalesce(sum(k) OVER (ORDER BY tag, ord, position, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM tg),
+    mb AS (SELECT *, greatest(pos, b * {BUDGET}) AS x, least(pos + k, (b + 1) * {BUDGET}) AS y FROM (SELECT *, unnest(range(pos // {BUDGET}, (pos + k - 1) // {BUDGET} + 1)) AS b FROM pl)),
+    pk AS (SELECT b AS microbatch, corpus, doc_id, x - b * {BUDGET} AS slot, start + x - pos AS "offset", y - x AS predictions FROM mb QUALIFY sum(y - x) OVER (PARTITION BY b) = {BUDGET})
 """
 
 ORACLES = {

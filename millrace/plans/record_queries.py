@@ -25,8 +25,7 @@ def render_conversations(spark, sf_dir):
 
 
 def sft_pairs(spark, sf_dir):
-    prompt, response = records.sft_pair(F.col("v"))
-    return _records(spark, sf_dir).select("conv_id", prompt.alias("prompt"), response.alias("response"))
+    return _records(spark, sf_dir).select("conv_id", records.sft_pair(F.col("v")).alias("p")).select("conv_id", "p.prompt", "p.response")
 
 
 def format_prompts(spark, sf_dir):
@@ -51,8 +50,7 @@ def next_token_labels(spark, sf_dir):
 
 
 def _triplets(spark, sf_dir):
-    p, c, r = records.dpo_triplet(F.col("d"))
-    return _records(spark, sf_dir).select("conv_id", p.alias("prompt"), c.alias("chosen"), r.alias("rejected")).where("prompt IS NOT NULL AND chosen IS NOT NULL AND rejected IS NOT NULL")
+    return _records(spark, sf_dir).select("conv_id", records.dpo_triplet(F.col("d")).alias("t")).select("conv_id", "t.prompt", "t.chosen", "t.rejected").where("prompt IS NOT NULL AND chosen IS NOT NULL AND rejected IS NOT NULL")
 
 
 def dpo_pairs(spark, sf_dir):
