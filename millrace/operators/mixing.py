@@ -89,15 +89,18 @@ def tagged(parts: DataFrame, corpora: list[dict], late: dict[str, int] | None =
     return ordered.join(F.broadcast(factors), "corpus").withColumn("tag", (F.col("before") * F.col("factor") + F.col("head")).cast("long")).drop("factor", "head")
 
 
-def packed(parts: DataFrame, budget: int) -> DataFrame:
-    """Pieces in tag order, cut at multiples of budget: microbatch, slot, offset in the document, predictions. A last partial batch goes."""
+def packed(parts: DataFrame, budget: int, partial: bool = False) -> DataFrame:
+    """Pieces in tag order, cut at multiples of budget: microbatch, slot, offset in the document, predictions.
+
+    A last batch that isn't full goes, unless ``partial`` (supervised training uses it up).
+    """
     placed = running(parts.drop("before"), ["tag", "corpus_ord", "position", "piece"], F.col("k"), rank="_rank", before="at").drop("_rank")
     spread = placed.withColumn("microbatch", F.explode(F.sequence(F.floor(F.col("at") / budget).cast("long"), F.floor((F.col("at") + F.col("k") - 1) / budget).cast("long"))))
     begin = F.greatest(F.col("at"), F.col("microbatch") * budget)
     end = F.least(F.col("at") + F.col("k"), (F.col("microbatch") + 1) * budget)
     out = spread.withColumn("slot", begin - F.col("microbatch") * budget).withColumn("predictions", end - begin).withColumn("offset", F.col("start") + begin - F.col("at"))
     full = F.sum("predictions").over(Window.partitionBy("microbatch"))  # at most budget rows a group
-    return out.withColumn("_full", full).where(F.col("_full") == budget).drop("_full", "at", "k", "start", "piece")
+    return out.withColumn("_full", full).where((F.col("_full") == budget) | F.lit(partial)).drop("_full", "at", "k", "start", "piece")
 
 
 def boundaries(batches: DataFrame, budget: int) -> DataFrame:

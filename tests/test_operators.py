@@ -126,3 +126,32 @@ def test_reading_files(spark, tmp_path):
     with pytest.raises(ValueError, match="twice"):
         files.mixture([{"name": "a"}, {"name": "a"}])
     assert hashing.canonical_digest({"b": 1, "a": 2}) == hashing.canonical_digest({"a": 2, "b": 1})
+
+
+def test_samples(spark, tmp_path):
+    from millrace.operators import sampling
+    from millrace.sources import sinks
+
+    df = spark.range(100).select((F.col("id") % 2).cast("string").alias("f"), F.col("id").alias("k"), F.col("id").cast("string").alias("text"))
+    got = sampling.reservoir(df, "f", "k", 7, 3)
+    rows = got.collect()
+    for g in "01":
+        mine = sorted((r for r in rows if r.f == g), key=lambda r: r.sample_ord)
+        assert [(r.k - int(g)) // 2 for r in mine] == sampling.reservoir_ranks(50, 7, 3, g)
+    assert len(set(sampling.val_positions(10, 20, 1))) == 9 and sampling.val_positions(5, 0, 1) == []
+    sample = got.select("text", F.col("f").alias("source_file"), "sample_ord")
+    stats = sample.groupBy("source_file").agg(F.count("*").alias("valid_documents"), F.lit(0).alias("invalid_records"), F.sum(F.octet_length("text")).alias("sample_bytes"))
+    assert sinks.write_sample(sample, str(tmp_path / "s"), str(tmp_path / "m.json"), stats)["valid_documents"] == 14
+    assert spark.read.json(str(tmp_path / "s")).count() == 14
+
+
+def test_the_library_stands_without_its_optional_part():
+    import ast
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent / "millrace"
+    for p in root.rglob("*.py"):
+        if "llm" not in p.relative_to(root).parts:
+            for node in ast.walk(ast.parse(p.read_text())):
+                names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
+                assert not any("llm" in n for n in names), p
