@@ -12,7 +12,8 @@ no node ever holds more than that share.
 A fold is verified: SHA-256 equality must agree with the byte length and a second,
 independent 64-bit hash, or the job fails.
 
-Cases: a null text counts as empty; a null id is smaller than any other; among repeated
+Cases: a null text counts as empty; a null id is kept only where no row of its
+text has another; among repeated
 rows with one id and text exactly one row is kept; an empty table gives an empty result;
 other columns are ignored by ``groups``, so their names can't clash.
 """
@@ -88,12 +89,13 @@ def _fold(largest: bool, mask: int, keep_bits: int):
 def groups(sigs: DataFrame, keep: str = "smallest", radix_bits: int = 3) -> DataFrame:
     """digest, keep_id, group_size of every distinct text, by the tree merge over ``signatures``."""
     largest = keep == "largest"
+    none = int(_NULL) if largest else -int(_NULL) - 1  # stands for a null id: loses against any other
     levels = max(1, (common.parts(sigs.sparkSession) - 1).bit_length())
     whole = (1 << levels) - 1
     rows = sigs.select(
         (F.spark_partition_id() % (whole + 1)).cast("long").alias("node"),
         "digest", "n_bytes", "check",
-        F.coalesce("doc_id", F.lit(int(_NULL) if largest else None), F.lit(int(_NULL))).alias("keep_id"),
+        F.coalesce("doc_id", F.lit(none)).alias("keep_id"),
         F.lit(1).cast("long").alias("n"),
     )
     shifts = list(range(0, levels, radix_bits))
@@ -102,7 +104,7 @@ def groups(sigs: DataFrame, keep: str = "smallest", radix_bits: int = 3) -> Data
     runs = rows.sortWithinPartitions("node", "digest").mapInArrow(_fold(largest, masks[0], whole), _RUN)
     for later in [*masks[1:], 0]:
         runs = runs.repartition(whole + 1, "node").sortWithinPartitions("node", "digest").mapInArrow(_fold(largest, later, whole), _RUN)
-    return runs.select("digest", F.when(F.col("keep_id") != int(_NULL), F.col("keep_id")).alias("keep_id"), F.col("n").alias("group_size"))
+    return runs.select("digest", F.when(F.col("keep_id") != none, F.col("keep_id")).alias("keep_id"), F.col("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
