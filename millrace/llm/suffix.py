@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -309,7 +310,7 @@ def _phrases(batches):
         for r in b.to_pylist():
             raw = (r["text"] or "").encode()
             for anchor, at, back, size in zip(r["anchor"], r["at"], r["back"], r["size"]):
-                out.append((anchor, r["doc_id"], r["uid"], at - back, raw[at - back : at - back + size + LENGTH - 1]))
+                out.append((anchor, r["doc_id"], r["uid"], at - back, back, raw[at - back : at - back + size + LENGTH - 1]))
                 if len(out) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _P)], names=_PN)
                     out = []
@@ -317,8 +318,21 @@ def _phrases(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _P)], names=_PN)
 
 
-_P = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-_PN = ["anchor", "doc_id", "uid", "start", "bytes"]
+_P = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+_PN = ["anchor", "doc_id", "uid", "start", "back", "bytes"]
+
+
+def sharing(raw: list[bytes], back: list[int]) -> np.ndarray:
+    """Phrases that may hold a repeated window. A window with i to i + 7 bytes before its anchor has a core, from i before the anchor on, that another phrase must have too."""
+    out = np.zeros(len(raw), bool)
+    spare = LENGTH - GRAM
+    for i in range(0, spare + 1, 8):
+        after = GRAM + max(0, spare - 7 - i)
+        at = [k for k, (r, b) in enumerate(zip(raw, back)) if b >= i and len(r) >= b + after]
+        cores = [raw[k][back[k] - i : back[k] + after] for k in at]
+        times = Counter(cores)
+        out[[k for k, c in zip(at, cores) if times[c] > 1]] = True
+    return out
 
 
 def _shard(table: pa.Table) -> pa.Table:
@@ -327,7 +341,9 @@ def _shard(table: pa.Table) -> pa.Table:
     ids = np.where(np.isnan(ids), _LAST, ids).astype(np.int64) if ids.dtype.kind == "f" else ids
     uid, start = table["uid"].to_numpy(), table["start"].to_numpy()
     raw = table["bytes"].to_pylist()
-    o = np.lexsort((start, uid, ids)).tolist()
+    near = sharing(raw, table["back"].to_pylist())
+    o = np.lexsort((start, uid, ids))
+    o = o[near[o]].tolist()
     out = [], [], []
     for i, flags in zip(o, runindex.repeats([raw[i] for i in o], LENGTH)):
         for a, z in _runs(flags, int(start[i])):
@@ -390,7 +406,7 @@ def removal_spans(texts: DataFrame) -> DataFrame:
     found = common.written(answers.groupBy("batch").applyInArrow(_documents, _DOC), spark)
     common.drop_shuffles(spark)
     branching = found.where(F.size("anchor") > 0).select("uid", "anchor", "at", "back", "size")
-    phrases = common.written(texts.join(branching, "uid").mapInArrow(_phrases, "anchor long, doc_id long, uid long, start int, bytes binary"), spark)
+    phrases = common.written(texts.join(branching, "uid").mapInArrow(_phrases, "anchor long, doc_id long, uid long, start int, back int, bytes binary"), spark)
     common.drop_shuffles(spark)
     total = phrases.agg(F.sum(F.length("bytes"))).first()[0] or 0
     marked = common.written(_mark(phrases, max(buckets, -(-total // SHARD_BYTES))), spark)
