@@ -22,6 +22,7 @@ gives an empty result; only doc_id and text are read, so other columns can't cla
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import deque
 
@@ -39,6 +40,8 @@ END_ID = 1
 SENTENCE_COST = 1
 TRUNCATION_COST = 16
 FILLER = 64
+#: Chunks that a worker keeps at most.
+CHUNKS = 900_000
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -57,16 +60,23 @@ class LibraryEncoder:
         self.sentence[[i for i, t in self.own.tokens.items() if last.fullmatch(t)]] = True
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self.chunks) > bpe.CACHE_ENTRIES:
+        if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        new = list(set().union(*texts) - self.chunks.keys())
+        new = set().union(*texts) - self.chunks.keys()
+        # full stops and commas after a letter are a token of their own, so the word is encoded without them
+        bare = {c: b for c in new if (b := c.rstrip(".,")) != c and b and b[-1].isalpha()}
+        own = (new - bare.keys() | {*bare.values()} | {c[len(b) :] for c, b in bare.items()}) - self.chunks.keys()
+        self._ask(list(own))
+        self.chunks.update((c, self.chunks[b] + self.chunks[c[len(b) :]]) for c, b in bare.items())
+
+    def _ask(self, new: list[str]) -> None:
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             self.chunks.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian."""
-        split = [None if "<|" in t else self.own.chunks(t) for t in texts]
+        split = [None if "<|" in t else self.own.chunks(folded(t)) for t in texts]
         self.learn([s for s in split if s])
         get = self.chunks.__getitem__
         return [
@@ -75,6 +85,13 @@ class LibraryEncoder:
         ]
 
 
+def folded(text: str) -> str:
+    """The text in lower case where the library's normalisation comes to the same, so that fewer chunks differ."""
+    low = text.lower()
+    plain = "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+    return low if plain else text
+
+
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
 
@@ -88,21 +105,29 @@ def choose_cuts(candidates: np.ndarray, costs: np.ndarray, window: int = WINDOW)
     """Positions of the cheapest cuts. candidates: ascending, first 0, gaps at most window; costs: of a cut there."""
     at, cost = candidates.tolist(), costs.tolist()
     powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
-    index, best, back = {0: 0}, [0], [0]
+    # short unpadded sequences are of use at the end only
+    long_powers, tail = [p for p in powers if p >= window // 32], at[-1] - window
+    # which candidates lie a power of two after another
+    whole, hits = np.asarray(candidates), {}
+    for p in powers:
+        j = np.arange(len(at)) if p in long_powers else np.flatnonzero(whole > tail)
+        i = np.searchsorted(whole, whole[j] - p)
+        hit = whole[i] == whole[j] - p
+        for a, b in zip(j[hit].tolist(), i[hit].tolist()):
+            hits.setdefault(a, []).append(b)
+    best, back = [0], [0]
     queue: deque = deque([(0, 0, 0)])  # (f + position, position, index), ascending in both
     for j in range(1, len(at)):
         here = at[j]
         while queue[0][1] < here - window:
             queue.popleft()
         value, source = queue[0][0] + window - here, queue[0][2]
-        for p in powers:
-            i = index.get(here - p)
-            if i is not None and best[i] <= value:
+        for i in hits.get(j, ()):
+            if best[i] <= value:
                 value, source = best[i], i
         value += cost[j] + 1
         best.append(value)
         back.append(source)
-        index[here] = j
         value += here
         while queue and queue[-1][0] >= value:
             queue.pop()
