@@ -39,6 +39,14 @@ def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made, once everything still needed of it has been written too."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0]) if df.inputFiles() else None
+    if path and path.getName().startswith("millrace-"):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def train_fold(doc_id, held: int) -> F.Column:
     """True where crc32(doc_id as text) mod 5 is ``held``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == held
@@ -62,6 +70,9 @@ def to_long(x: np.ndarray) -> np.ndarray:
 def drop_shuffles(spark: SparkSession) -> None:
     """Let the driver collect its garbage, so that shuffle files of jobs that are over leave the executors' disks."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass frees lets go of more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

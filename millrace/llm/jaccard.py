@@ -14,10 +14,12 @@ tokens other documents share, and how many. A document with more unshared tokens
 has no link and goes no further; what is left of the others are their shared tokens.
 
 Equal sets collapse to one node. Links are found in rounds of stars: in each prefix group one
-node is the centre and the others are verified against it only. Nodes that a round joins
-into a component need no more pairs with each other; after STAR_ROUNDS rounds every pair of a
-prefix group that still lies in two components is verified, so that components are exact without
-all pairs of a group of copies.
+node is the centre and the others are verified against it only (first the node with the most
+widespread tokens, then others by hash). Nodes that a round joins into a component need no more
+pairs with each other; after STAR_ROUNDS rounds every pair of a prefix group that still lies in
+two components is verified, so that components are exact without all pairs of a group of copies.
+A pair is formed only where the places of the token leave enough tokens to come, and in the
+last round only at its first common prefix token.
 
 Cases: a null or empty text, or one without words, is the empty set and its own component; with
 fewer than five words the whole sequence is one shingle; ids that repeat are rows of their own
@@ -50,7 +52,7 @@ CACHE_ENTRIES = 400_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _SENT = "bucket int, kind int, batch long, a binary, b binary, c binary, d binary"
 _ANSWER = "kind int, batch long, a binary, b binary, c binary, d binary, e binary, f binary"
-_PROFILE = "doc_id long, n long, s1 long, s2 long, tokens array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
+_PROFILE = "doc_id long, n long, s1 long, s2 long, mass double, tokens array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
 
 
 class _Words(dict):
@@ -137,7 +139,7 @@ def _send(buckets: int):
 
 
 def _table(columns: dict, schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     pairs = [x.split() for x in schema.split(", ")]
     return pa.Table.from_arrays([pa.array(columns[n], kinds[k]) for n, k in pairs], names=[n for n, _ in pairs])
 
@@ -189,8 +191,9 @@ def _profile(table: pa.Table) -> pa.Table:
     tok, freq = tok[order], freq[order]
     cut = np.searchsorted(doc[order], np.arange(len(ids) + 1))
     prefix = n - need(n) + 1 - alone
-    out = {"doc_id": ids, "n": n.tolist(), "s1": s1, "s2": s2, "tokens": [], **{f"p{k}": [] for k in range(ORDERS)}}
+    out = {"doc_id": ids, "n": n.tolist(), "s1": s1, "s2": s2, "mass": [], "tokens": [], **{f"p{k}": [] for k in range(ORDERS)}}
     for i in range(len(ids)):
+        out["mass"].append(float(freq[cut[i] : cut[i + 1]].sum()) / max(1, int(n[i])))
         if n[i] == 0 or prefix[i] <= 0:
             for k in ("tokens", *(f"p{j}" for j in range(ORDERS))):
                 out[k].append(None)
@@ -248,16 +251,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
-    rows = common.written(profiles(docs).withColumn("node", F.monotonically_increasing_id()), spark)
+    whole = common.written(profiles(docs).withColumn("node", F.monotonically_increasing_id()), spark)
+    common.drop_shuffles(spark)
+    rows = common.written(whole.select("doc_id", "n", "s1", "s2", "node", F.col("tokens").isNotNull().alias("may")), spark)
     some = rows.where("n > 0")
-    sets = common.written(some.where("tokens IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("label"), F.min("node").alias("node")), spark)
-    nodes = rows.drop("doc_id", "s1", "s2").join(sets.select("node"), "node", "left_semi")
+    sets = common.written(some.where("may").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("label"), F.min("node").alias("node")), spark)
+    nodes = whole.drop("doc_id", "s1", "s2").join(sets.select("node"), "node", "left_semi")
     nodes = common.written(nodes.where(F.size("p0") > 0), spark)
-    postings = nodes.select("node", "n", F.explode("p0").alias("token"))
+    common.discard(whole)
+    common.drop_shuffles(spark)
+    # rest: tokens of the set from this one on, in the first order (unshared ones come before all others)
+    postings = nodes.select("node", "n", "mass", F.size("tokens").alias("shared"), F.posexplode("p0").alias("place", "token"))
+    postings = postings.select("node", "n", "mass", "token", "place", (F.col("shared") - F.col("place")).alias("rest"))
     # tokens that only one node has in its prefix lead to no pair
     busy = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     postings = common.written(postings.join(busy, "token", "left_semi"), spark)
-    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    common.drop_shuffles(spark)
+    close = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & ((100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("n_a") + F.col("n_b")))
     links, done, comp = None, None, None
     for turn in range(STAR_ROUNDS + 1):
         own = postings.withColumn("root", F.col("node")) if comp is None else postings.join(comp.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -266,17 +276,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             own = common.written(own.join(mixed, "token", "left_semi"), spark)
             if own.isEmpty():
                 break
-        right = own.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        if turn < STAR_ROUNDS:
-            centre = own.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")), F.xxhash64("node", F.lit(turn))).alias("c")).select("token", "c.*")
+        last = turn == STAR_ROUNDS
+        side = lambda x, *more: [F.col(c).alias(f"{c}_{x}" if c != "node" else x) for c in ("node", "n", "rest", "root", *more)]
+        if last:
+            own = own.join(nodes.select("node", "p0"), "node").withColumn("past", F.slice("p0", 1, F.col("place")))
+            centre, right = own.select("token", *side("a", "past")), own.select("token", *side("b", "past"))
+            apart = (F.col("a") < F.col("b")) & ~F.arrays_overlap("past_a", "past_b")
         else:
-            centre = own.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        pairs = right.join(centre, "token").where(close & (F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) if turn == STAR_ROUNDS else (F.col("a") != F.col("b"))))
+            first = F.struct(-F.col("mass"), "node") if turn == 0 else F.xxhash64("node", "token", F.lit(turn))
+            centre = own.groupBy("token").agg(F.min_by(F.struct(*side("a")), first).alias("c")).select("token", "c.*")
+            right, apart = own.select("token", *side("b")), F.col("a") != F.col("b")
+        pairs = right.join(centre, "token").where(close & (F.col("root_a") != F.col("root_b")) & apart)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = common.written(pairs, spark)
         found = common.written(_verified(pairs, nodes), spark)
+        common.drop_shuffles(spark)
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         if not found.isEmpty():
