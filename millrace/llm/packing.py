@@ -62,11 +62,11 @@ class LibraryEncoder:
     def learn(self, texts: list[list[str]]) -> None:
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        new = set().union(*texts) - self.chunks.keys()
+        new = {c for c in set().union(*texts) if c not in self.chunks}  # a set minus the keys would walk the whole table
         # full stops and commas after a letter are a token of their own, so the word is encoded without them
         bare = {c: b for c in new if (b := c.rstrip(".,")) != c and b and b[-1].isalpha()}
-        own = (new - bare.keys() | {*bare.values()} | {c[len(b) :] for c, b in bare.items()}) - self.chunks.keys()
-        self._ask(list(own))
+        own = {c for c in new if c not in bare} | {*bare.values()} | {c[len(b) :] for c, b in bare.items()}
+        self._ask([c for c in own if c not in self.chunks])
         self.chunks.update((c, self.chunks[b] + self.chunks[c[len(b) :]]) for c, b in bare.items())
 
     def _ask(self, new: list[str]) -> None:
