@@ -8,8 +8,7 @@ model predicts the class of the next id and multiplies by the id's share of its
   are classes of their own, the others are grouped by the words they mostly occur in;
 * a word's probability, given that a word begins, is a mixture: MIX of the probability of its
   first id's class in its context times the word's share of all words that begin in that class,
-  if it is one of the HEAD commonest words, and the rest of what the model gives to its ids one
-  by one and to the word's ending there;
+  and the rest of what the model gives to its ids one by one and to the word's ending there;
 * the class model (embedding, one causal attention layer with learned relative biases, a
   feed-forward layer, softmax) is trained in numpy by Adam on windows of at most TRAIN_DOCS
   training documents, taken in the order of a hash of their id.
@@ -18,9 +17,9 @@ A document is scored in blocks of BLOCK ids; each block attends to itself and th
 it, so that windows of 2 * BLOCK overlap by half and every id is scored once. Blocks of many
 documents go through one masked batch.
 
-The unigram base needs the count of every word. The HEAD commonest words travel to the
-workers (bounded by that number); the rest of a document's words are joined with the
-word counts, which no very common word takes part in.
+The unigram base and the mixture need the count of every word. The HEAD commonest words travel
+to the workers (bounded by that number); each other word of a document is joined with the word
+counts, which no very common word takes part in, and brings both sides of its mixture along.
 
 Cases: a null or empty text is the end token alone; a null id counts as the empty text in the
 fold; rows that repeat an id are scored each; without training rows N and V are 0; words over
@@ -62,7 +61,7 @@ CACHE_ENTRIES = 600_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 IDS = 50_257
 END = 50_256
-_STATE = "uid long, doc_id long, held_out boolean, n_tokens long, head_log double, head_known long, score double, words array<binary>, times array<int>"
+_STATE = "uid long, doc_id long, held_out boolean, n_tokens long, head_log double, head_known long, score double, words array<binary>, whole array<double>, spelled array<double>"
 
 
 def default_path() -> str:
@@ -387,41 +386,45 @@ class Scorer:
             bpe, get = encoder(path), head.get
             ids_of = _Known(lambda w: np.array(word_ids(w, bpe), "<u4").tobytes())
             end = np.array([END], "<u4").tobytes()
-            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.float64()))
             for b in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
-                out = {k: [] for k in ("n_tokens", "head_log", "head_known", "score", "words", "times")}
-                sequences, cuts, shares = [], [], []
+                out = {k: [] for k in ("n_tokens", "head_log", "head_known", "score", "words", "whole", "spelled")}
+                sequences, cuts, shares, tails = [], [], [], []
                 for text in b.column("text"):
                     words = words_of(text.as_py())
                     got = np.fromiter(map(get, words, repeat(0)), np.float64, len(words))
                     known = got > 0
-                    rest = Counter([words[i] for i in np.flatnonzero(~known).tolist()])
+                    tails.append(np.flatnonzero(~known))
                     out["n_tokens"].append(len(words) + 1)
                     out["head_log"].append(float(np.log10(got[known] + 0.5).sum()) + end_log)
                     out["head_known"].append(int(known.sum()) + known_end)
-                    out["words"].append(list(rest))
-                    out["times"].append(list(rest.values()))
+                    out["words"].append([words[i] for i in tails[-1].tolist()])
                     encoded = [*map(ids_of.__getitem__, words), end]
                     sequences.append(np.frombuffer(b"".join(encoded), "<u4").astype(np.int64))
                     cuts.append(np.cumsum([0, *map(len, encoded[:-1])]) // 4)
                     shares.append(np.append(got, ends))
-                out["score"] = [
-                    mixed(model, ids, cut, share, begun, p, opening)
-                    for ids, cut, share, (p, opening) in zip(sequences, cuts, shares, batch_log_probs(model, sequences))
-                ]
+                for ids, cut, share, tail, (p, opening) in zip(sequences, cuts, shares, tails, batch_log_probs(model, sequences)):
+                    whole, spelled = terms(model, ids, cut, begun, p, opening)
+                    here = np.ones(len(cut), bool)
+                    here[tail] = False
+                    out["score"].append(mixed(whole[here], share[here], spelled[here]))
+                    out["whole"].append(whole[tail])
+                    out["spelled"].append(spelled[tail])
                 yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("held_out"), *(pa.array(v, t) for v, t in zip(out.values(), kinds))], names=["uid", "doc_id", "held_out", *out])
 
         state = common.written(self.rows.mapInArrow(run, _STATE), self.spark)
         known = self.counts
-        tail = state.select("uid", F.explode(F.arrays_zip("words", "times")).alias("t")).select("uid", F.col("t.words").alias("word"), F.col("t.times").alias("n"))
-        tail = tail.join(known, "word", "left").groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("tail_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
+        tail = state.select("uid", F.explode(F.arrays_zip("words", "whole", "spelled")).alias("t")).select("uid", F.col("t.words").alias("word"), F.col("t.whole").alias("whole"), F.col("t.spelled").alias("spelled"))
+        c = F.coalesce("c", F.lit(0))
+        both = F.log10(F.lit(MIX) * F.col("whole") * c + F.lit(1 - MIX) * F.col("spelled") + F.lit(1e-300))
+        tail = tail.join(known, "word", "left").groupBy("uid").agg(F.sum(F.log10(c + 0.5)).alias("tail_log"), F.sum((c > 0).cast("long")).alias("tail_known"), F.sum(both).alias("tail_score"))
         norm = float(np.log10(self.tokens + 0.5 * (self.distinct + 1)))
-        return state.drop("words", "times").join(tail, "uid", "left").select(
+        return state.drop("words", "whole", "spelled").join(tail, "uid", "left").select(
             "doc_id", "held_out", "n_tokens",
             (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
             F.lit(self.tokens).cast("long").alias("train_tokens"),
             (F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
         )
 
 
@@ -457,14 +460,17 @@ def batch_log_probs(model: Model, sequences: list[np.ndarray], most: int = 128)
     return [(out[a:z], begins[a:z]) for a, z in zip(offsets[:-1], offsets[1:])]
 
 
-def mixed(model: Model, ids, cut, share, begun, p, opening) -> float:
-    """log10 probability of a text. cut: where its words begin; share: their counts; p, opening: of ``batch_log_probs``."""
+def terms(model: Model, ids, cut, begun, p, opening) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word and the end: the probability of its class by the number of words that begin in it, and that of its ids. cut: where words begin; p, opening: of ``batch_log_probs``."""
     begin = opening[cut]
     spelled = np.add.reduceat(p + model.log_share[ids], cut) - begin
     spelled[:-1] += begin[1:]  # the word ends there
-    first = model.class_of[ids[cut]]
-    whole = np.exp(p[cut] - begin) * share / begun[first]
-    return float(np.log10(MIX * whole + (1 - MIX) * np.exp(spelled) + 1e-300).sum())
+    return np.exp(p[cut] - begin) / begun[model.class_of[ids[cut]]], np.exp(spelled)
+
+
+def mixed(whole, count, spelled) -> float:
+    """log10 probability of words. whole, spelled: of ``terms``; count: how often the words occur in training."""
+    return float(np.log10(MIX * whole * count + (1 - MIX) * spelled + 1e-300).sum())
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -84,3 +84,12 @@ def test_each_id_is_scored_once_whatever_the_batch():
     s = sequences[4].copy()
     s[500:] = 7
     assert np.allclose(lm.batch_log_probs(m, [s])[0][0][:500], one[4][:500], atol=1e-3)
+
+
+def test_words_outside_the_head_keep_their_counts(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    scores = []
+    for head in (5, 100_000):
+        monkeypatch.setattr(lm, "HEAD", head)
+        scores.append([r.score for r in lm.Scorer(docs).score().orderBy("doc_id").collect()])
+    assert len(scores[0]) == 60 and np.allclose(*scores, rtol=1e-9)
