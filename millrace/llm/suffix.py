@@ -34,6 +34,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,7 +204,7 @@ def _send(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "kind", "batch", "a"])
 
     def send(batches):
-        uids, ids, texts, size, number = [], [], [], 0, 0
+        uids, ids, texts, size, number = [], [], [], 0, TaskContext.get().partitionId() << 24
         for b in batches:
             for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
                 raw = (text.as_py() or "").encode()
@@ -212,10 +213,10 @@ def _send(buckets: int):
                 texts.append(raw)
                 size += len(raw)
                 if size >= BATCH_BYTES or len(ids) >= BATCH_DOCS:
-                    yield pack(((uids[0] >> 33) << 24) + number, uids, ids, texts)
+                    yield pack(number, uids, ids, texts)
                     uids, ids, texts, size, number = [], [], [], 0, number + 1
         if ids:
-            yield pack(((uids[0] >> 33) << 24) + number, uids, ids, texts)
+            yield pack(number, uids, ids, texts)
 
     return send
 
@@ -265,7 +266,10 @@ def _answer(table: pa.Table) -> pa.Table:
 def _documents(table: pa.Table) -> pa.Table:
     """One row a document of the batch: intervals to remove and branching phrases."""
     rows = table.to_pylist()
-    uids, ids, gone = pickle.loads(next(r["a"] for r in rows if r["kind"] == 1))
+    own = [r["a"] for r in rows if r["kind"] == 1]
+    if len(own) != 1:
+        raise RuntimeError(f"{len(own)} lists of documents for one batch")
+    uids, ids, gone = pickle.loads(own[0])
     intervals = [gone, *(pickle.loads(r["a"]) for r in rows if r["kind"] == 0)]
     doc, begin, end = (np.concatenate([x[k] for x in intervals]) for k in range(3))
     o = np.lexsort((begin, doc))

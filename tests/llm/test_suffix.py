@@ -69,3 +69,20 @@ def test_empty_and_clashing(spark):
     df = spark.createDataFrame([(1, "z" * 300, 1), (1, "z" * 300, 2), (None, "z" * 300, 3)], "doc_id long, text string, uid int").coalesce(1)
     assert sorted(r.n_removed for r in suffix.remove_repeats(df).collect()) == [299, 300, 300]
     assert suffix.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_one_file_read_by_several_tasks(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [text(150) for _ in range(20)]
+    rows = [(i, text(300) + rng.choice(passages) + text(50)) for i in range(1200)]
+    hadoop, size = spark.sparkContext._jsc.hadoopConfiguration(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    hadoop.setInt("parquet.block.size", 50_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert suffix.common.written(docs).rdd.getNumPartitions() > 2
+        check(suffix.remove_repeats(docs).collect(), rows)
+    finally:
+        hadoop.unset("parquet.block.size")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
