@@ -10,8 +10,9 @@ model predicts the class of the next id and multiplies by the id's share of its
   first id's class in its context times the word's share of all words that begin in that class,
   and the rest of what the model gives to its ids one by one and to the word's ending there;
 * the class model (embedding, one causal attention layer with learned relative biases, a
-  feed-forward layer, softmax) is trained in numpy by Adam on windows of at most TRAIN_DOCS
-  training documents, taken in the order of a hash of their id.
+  feed-forward layer, softmax) is trained in numpy by Adam. First weights come from windows of
+  TRAIN_DOCS training documents on the driver; from them every task trains on the whole texts of
+  all its training documents, and the tasks' weights are averaged after each of ROUNDS parts.
 
 A document is scored in blocks of BLOCK ids; each block attends to itself and the block before
 it, so that windows of 2 * BLOCK overlap by half and every id is scored once. Blocks of many
@@ -30,12 +31,14 @@ text are read, so other columns can't clash.
 from __future__ import annotations
 
 import base64
+import copy
 import zlib
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +46,11 @@ from millrace.llm import common
 
 HELD_OUT = 1
 HEAD = 120_000
+#: Documents for the first weights only, so that tasks begin alike, and ids of a window of them.
 TRAIN_DOCS = 700
-#: Ids of a training document that are used at most; longer ones are entered by a window at a hashed place.
 TRAIN_IDS = 1024
+#: Parts of the training documents after which the tasks' weights are averaged; each document is in one.
+ROUNDS = 4
 SINGLES = 96
 GROUPS = 24
 DIM = 16
@@ -54,6 +59,8 @@ MIX = 0.75
 BLOCK = 16
 STEPS = 1500
 RATE = 0.01
+#: Blocks of a step.
+BATCH = 64
 PIECE = 64
 #: Rows that are scored together.
 SLICE = 200
@@ -217,11 +224,16 @@ def blocks(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before.reshape(n, BLOCK), after.reshape(n, BLOCK), real.reshape(n, BLOCK)
 
 
-def train(counts: np.ndarray, opens: np.ndarray, documents: list[np.ndarray], steps: int = STEPS, seed: int = 5) -> Model:
-    """counts: of every id in all training documents; opens: ids that begin a word; documents: ids of the sample."""
+def commonest(counts: np.ndarray) -> np.ndarray:
+    """All ids, the most frequent first."""
+    return np.lexsort((np.arange(IDS), -counts))
+
+
+def begun_model(counts: np.ndarray, opens: np.ndarray, company: np.ndarray, seed: int = 5) -> Model:
+    """Classes, shares and untrained weights. counts: of every id in all training documents; opens: ids that begin a word; company: of ``Scorer._company``."""
     rng = np.random.default_rng(seed)
     class_of = np.empty(IDS, np.int64)
-    order = np.lexsort((np.arange(IDS), -counts))
+    order = commonest(counts)
     single = order[:SINGLES]
     at = 0
     for side in (True, False):  # classes that open a word come first
@@ -229,7 +241,7 @@ def train(counts: np.ndarray, opens: np.ndarray, documents: list[np.ndarray], st
         class_of[mine] = at + np.arange(len(mine))
         at += len(mine)
         rest = order[SINGLES:][opens[order[SINGLES:]] == side]
-        class_of[rest] = at + _grouped(rest, single, counts, documents)
+        class_of[rest] = at + _grouped(rest, counts, company[rest])
         at += GROUPS
         if side:
             opening = at
@@ -238,44 +250,91 @@ def train(counts: np.ndarray, opens: np.ndarray, documents: list[np.ndarray], st
     share = np.log(smooth / size[class_of])
     model = Model(SINGLES + 2 * GROUPS, rng, class_of, share, opening)
     model.u += np.log(size / smooth.sum()).astype(np.float32)
-    if not documents:
-        return model
-    first_moment = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
-    second = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
+    return model
+
+
+class Adam:
+    def __init__(self, model: Model):
+        self.model, self.step = model, 0
+        self.first = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
+        self.second = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
+
+    def learn(self, cells: list[tuple], rate: float) -> None:
+        """One step over windows: blocks of inputs, of targets, and which targets are real."""
+        model = self.model
+        self.step += 1
+        first = np.zeros(sum(len(c[0]) for c in cells), bool)
+        first[np.cumsum([0, *(len(c[0]) for c in cells[:-1])])] = True
+        before, after, real = (np.concatenate([c[k] for c in cells]) for k in range(3))
+        _, g = model.gradients(model.class_of[before], first, model.class_of[after], real)
+        rate *= min(1, self.step / 50)
+        for k in Model.NAMES:
+            self.first[k] += 0.1 * (g[k] - self.first[k])
+            self.second[k] += 0.01 * (g[k] ** 2 - self.second[k])
+            getattr(model, k)[...] -= rate * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-8)
+
+
+def train(model: Model, documents: list[np.ndarray], steps: int | None = None, seed: int = 5) -> None:
+    """First weights, from the ids of the sample."""
+    steps = STEPS if steps is None else steps
+    rng, adam = np.random.default_rng(seed), Adam(model)
     cells = [blocks(d) for d in documents]
     at, turn = len(cells), None
-    for step in range(1, steps + 1):
+    for step in range(1, steps + 1 if cells else 1):
         part, size = [], 0
-        while size < 64:
+        while size < BATCH:
             if at >= len(cells):
                 turn, at = rng.permutation(len(cells)), 0
             part.append(cells[turn[at]])
             size += len(part[-1][0])
             at += 1
-        first = np.zeros(size, bool)
-        first[np.cumsum([0, *(len(p[0]) for p in part[:-1])])] = True
-        before, after, real = (np.concatenate([p[k] for p in part]) for k in range(3))
-        _, g = model.gradients(class_of[before], first, class_of[after], real)
-        now = RATE * min(1, step / 50) * (1 - step / (steps + 1))
-        for k in Model.NAMES:
-            first_moment[k] += 0.1 * (g[k] - first_moment[k])
-            second[k] += 0.01 * (g[k] ** 2 - second[k])
-            getattr(model, k)[...] -= now * (first_moment[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    return model
+        adam.learn(part, RATE * (1 - step / (steps + 1)))
 
 
-def _grouped(rare: np.ndarray, common_ids: np.ndarray, counts: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:
-    """Groups of the rarer ids: by the company they keep in the sample (k-means over common neighbours), split by frequency."""
-    slot = np.full(IDS, -1)
-    slot[common_ids] = np.arange(len(common_ids))
-    row = np.full(IDS, -1)
-    row[rare] = np.arange(len(rare))
-    company = np.zeros((len(rare), len(common_ids)), np.float32)
+def train_whole(model: Model, documents, rate: float) -> tuple[int, np.ndarray]:
+    """One pass over whole texts, by their ids; how many ids, and how often each row of E was an input."""
+    adam, part, size, seen, used = Adam(model), [], 0, 0, np.zeros(len(model.E), np.int64)
     for d in documents:
-        near = np.bincount(slot[d][slot[d] >= 0], minlength=len(common_ids)).astype(np.float32)
-        if near.sum():
-            own = np.unique(d[row[d] >= 0])
-            company[row[own]] += near / near.sum()
+        before, after, real = blocks(d)
+        seen += len(d)
+        used += np.bincount(model.class_of[before[real]], minlength=len(used))
+        for a in range(0, len(before), BATCH):
+            lead = 1 if a else 0  # the block before is context only
+            own = real[a - lead : a + BATCH].copy()
+            own[:lead] = False
+            part.append((before[a - lead : a + BATCH], after[a - lead : a + BATCH], own))
+            size += len(own)
+            if size >= BATCH:
+                adam.learn(part, rate)
+                part, size = [], 0
+    if part:
+        adam.learn(part, rate)
+    return seen, used
+
+
+def weighed(model: Model, seen: int, used: np.ndarray) -> np.ndarray:
+    """Weights for a sum over tasks: rows of E times their use, with the use; then all others times seen, with seen."""
+    rest = np.concatenate([*(getattr(model, k).ravel() for k in Model.NAMES if k != "E"), [1]]) * float(seen)
+    rest = np.pad(rest, (0, -len(rest) % (DIM + 1))).reshape(-1, DIM + 1)
+    return np.concatenate([np.c_[model.E * used[:, None], used], rest])
+
+
+def averaged(model: Model, total: np.ndarray) -> None:
+    """Take over the mean weights of a sum of ``weighed``; rows of E that no task used stay."""
+    n = len(model.E)
+    used = total[:n, DIM]
+    model.E[used > 0] = total[:n, :DIM][used > 0] / used[used > 0, None]
+    rest, at = total[n:].ravel(), 0
+    seen = rest[sum(getattr(model, k).size for k in Model.NAMES if k != "E")]
+    for k in Model.NAMES:
+        if k != "E" and seen:
+            w = getattr(model, k)
+            w[...] = rest[at : at + w.size].reshape(w.shape) / seen
+            at += w.size
+
+
+def _grouped(rare: np.ndarray, counts: np.ndarray, company: np.ndarray) -> np.ndarray:
+    """Groups of the rarer ids: by the company they keep in training (k-means over common neighbours), split by frequency."""
     size = company.sum(1, keepdims=True)
     company = np.sqrt(company / np.maximum(size, 1e-9))
     seen = np.flatnonzero(size[:, 0] > 0)
@@ -333,7 +392,9 @@ class Scorer:
         top = self.counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
         self.head = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
         counts, begun = self._id_counts()
-        self.model = train(counts, opening_ids(self.path), self._sample(training))
+        self.model = begun_model(counts, opening_ids(self.path), self._company(training, commonest(counts)[:SINGLES]))
+        train(self.model, self._sample(training))
+        self._train_all(training)
         self.begun = np.maximum(np.bincount(self.model.class_of, begun, SINGLES + 2 * GROUPS), 1)
 
     def _id_counts(self) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +419,7 @@ class Scorer:
         return out, first
 
     def _sample(self, training: DataFrame) -> list[np.ndarray]:
-        """Ids of TRAIN_DOCS training rows, windows of at most TRAIN_IDS."""
+        """Ids of TRAIN_DOCS training rows for the first weights, windows of at most TRAIN_IDS."""
         path = self.path
 
         def run(batches):
@@ -376,6 +437,65 @@ class Scorer:
         rows = own.mapInArrow(run, "h long, uid long, ids binary").orderBy("h", "uid").limit(TRAIN_DOCS).collect()
         return [np.frombuffer(r.ids, np.int32).astype(np.int64) for r in rows]
 
+    def _summed(self, training: DataFrame, compute, shape: tuple[int, int]) -> np.ndarray:
+        """The sum over tasks of the matrix that compute makes of the ids of a task's documents. Rows are dealt over tasks to be added up."""
+        path, slices = self.path, common.parts(self.spark)
+
+        def run(batches):
+            bpe = encoder(path)
+            ids_of = _Known(lambda w: np.array(word_ids(w, bpe), "<u4").tobytes())
+            end = np.array([END], "<u4").tobytes()
+            matrix = compute(np.frombuffer(b"".join([*map(ids_of.__getitem__, words_of(t.as_py())), end]), "<u4").astype(np.int64) for b in batches for t in b.column("text"))
+            at = np.flatnonzero(matrix.any(1))
+            for k in range(slices):
+                own = at[at % slices == k]
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([own.astype("<i4").tobytes()], pa.binary()), pa.array([matrix[own].astype("<f4").tobytes()], pa.binary())], names=["slice", "task", "at", "rows"])
+
+        def add(table: pa.Table) -> pa.Table:
+            cells = sorted((r["task"], r["at"], r["rows"]) for r in table.to_pylist())
+            own = np.unique(np.concatenate([np.frombuffer(a, "<i4") for _, a, _ in cells]))
+            total = np.zeros((len(own), shape[1]))
+            for _, a, rows in cells:
+                total[np.searchsorted(own, np.frombuffer(a, "<i4"))] += np.frombuffer(rows, "<f4").reshape(-1, shape[1])
+            return pa.table({"at": pa.array([own.tobytes()], pa.binary()), "rows": pa.array([total.tobytes()], pa.binary())})
+
+        out = np.zeros(shape)
+        for r in training.select("text").mapInArrow(run, "slice int, task int, at binary, rows binary").groupBy("slice").applyInArrow(add, "at binary, rows binary").collect():  # one matrix in all
+            out[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["rows"]).reshape(-1, shape[1])
+        return out
+
+    def _company(self, training: DataFrame, single: np.ndarray) -> np.ndarray:
+        """Of each id, the shares of the common ids in the windows that it occurs in, summed over all training rows."""
+        slot = np.full(IDS, -1)
+        slot[single] = np.arange(len(single))
+
+        def compute(documents):
+            out = np.zeros((IDS, len(single)), np.float32)
+            for d in documents:
+                for a in range(0, len(d), TRAIN_IDS):
+                    w = d[a : a + TRAIN_IDS]
+                    near = np.bincount(slot[w][slot[w] >= 0], minlength=len(single)).astype(np.float32)
+                    if near.sum():
+                        own = np.unique(w)
+                        out[own[slot[own] < 0]] += near / near.sum()
+            return out
+
+        return self._summed(training, compute, (IDS, len(single)))
+
+    def _train_all(self, training: DataFrame) -> None:
+        """Train on every training row, all of its text. Tasks begin each round with the same weights."""
+        shape = weighed(self.model, 0, np.zeros(len(self.model.E), np.int64)).shape
+        for turn in range(ROUNDS):
+            held, rate = self.spark.sparkContext.broadcast(self.model), 0.3 * RATE * (1 - turn / ROUNDS)
+
+            def compute(documents, held=held, rate=rate):
+                model = copy.deepcopy(held.value)
+                return weighed(model, *train_whole(model, documents, rate))
+
+            averaged(self.model, self._summed(training.where(F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(ROUNDS)) == turn), compute, shape))
+            held.unpersist()
+
     def score(self) -> DataFrame:
         ends, begun = self.ends, self.begun
         end_log, known_end = float(np.log10(ends + 0.5)), int(ends > 0)

@@ -93,3 +93,25 @@ def test_words_outside_the_head_keep_their_counts(spark, sf_dir, monkeypatch):
         monkeypatch.setattr(lm, "HEAD", head)
         scores.append([r.score for r in lm.Scorer(docs).score().orderBy("doc_id").collect()])
     assert len(scores[0]) == 60 and np.allclose(*scores, rtol=1e-9)
+
+
+def test_every_training_document_is_learned_from_whole(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 1)
+    monkeypatch.setattr(lm, "TRAIN_DOCS", 2)
+    seen, own = [], lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda model, total: (seen.append(total[: len(model.E), lm.DIM].sum()), own(model, total)))
+    rows = [(i, "one two three " * (1 + i * 40)) for i in range(60)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    lm.Scorer(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sum(seen) == sum(3 * (1 + i * 40) + 1 for i, _ in rows)
+
+
+def test_long_texts_are_learned_from_to_their_end():
+    rng = np.random.default_rng(3)
+    n = lm.SINGLES + 2 * lm.GROUPS
+    class_of = np.minimum(np.arange(lm.IDS), n - 1)
+    m = lm.Model(n, rng, class_of, np.zeros(lm.IDS), 50)
+    s = np.r_[rng.integers(0, 20, 30_000), np.tile([40, 41], 20_000)]
+    before = lm.batch_log_probs(m, [s])[0][0][-2000:].mean()
+    assert lm.train_whole(m, [s], 0.01)[0] == len(s)
+    assert lm.batch_log_probs(m, [s])[0][0][-2000:].mean() > before + 1
