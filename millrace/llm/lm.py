@@ -9,7 +9,7 @@ model predicts the class of the next id and multiplies by the id's share of its
 * a word's probability, given that a word begins, is a mixture: MIX of the probability of its
   first id's class in its context times the word's share of all words that begin in that class,
   and the rest of what the model gives to its ids one by one and to the word's ending there;
-* the class model (embedding, one causal attention layer with learned relative biases, a
+* the class model reads the ids themselves, classes are its outputs only; it (embedding, one causal attention layer with learned relative biases, a
   feed-forward layer, softmax) is trained in numpy by Adam. First weights come from windows of
   TRAIN_DOCS training documents on the driver; from them every task trains on the whole texts of
   all its training documents, and the tasks' weights are averaged after each of ROUNDS parts.
@@ -56,7 +56,7 @@ GROUPS = 24
 DIM = 16
 HIDDEN = 32
 MIX = 0.75
-BLOCK = 16
+BLOCK = 32
 STEPS = 1500
 RATE = 0.01
 #: Blocks of a step.
@@ -127,7 +127,7 @@ class Model:
 
     def __init__(self, classes: int, rng, class_of: np.ndarray, log_share: np.ndarray, opening: int):
         s = lambda *shape: (rng.normal(0, 1, shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.E = (rng.normal(0, 0.5, (classes, DIM))).astype(np.float32)
+        self.E = (rng.normal(0, 0.5, (IDS, DIM))).astype(np.float32)
         self.Q, self.K, self.V, self.O = s(DIM, DIM), s(DIM, DIM), s(DIM, DIM), s(DIM, DIM)
         self.B = np.zeros((BLOCK, 2 * BLOCK), np.float32)
         self.W1, self.c1, self.W2 = s(DIM, HIDDEN), np.zeros(HIDDEN, np.float32), s(HIDDEN, DIM) * 0.1
@@ -137,7 +137,7 @@ class Model:
         self.mask = np.where(future, np.float32(-1e9), np.float32(0))
 
     def forward(self, c: np.ndarray, first: np.ndarray, learning: bool = True) -> dict:
-        """c: classes of the input ids, in blocks; first: blocks that open a document. What each block's places predict."""
+        """c: the input ids, in blocks; first: blocks that open a document. What each block's places predict."""
         n = len(c)
         x = self.E[c]
         q = (x.reshape(-1, DIM) @ self.Q).reshape(n, BLOCK, DIM)
@@ -178,6 +178,13 @@ class Model:
 
     def gradients(self, c, first, target, real) -> tuple[float, dict]:
         """Mean loss over real targets and the gradient of every weight."""
+        loss, own, g = self.sparse_gradients(c, first, target, real)
+        rows, g["E"] = g["E"], np.zeros_like(self.E)
+        g["E"][own] = rows
+        return loss, g
+
+    def sparse_gradients(self, c, first, target, real) -> tuple[float, np.ndarray, dict]:
+        """The same, of E only the rows of the ids that occur; these ids."""
         w = self.forward(c, first)
         n, m = len(c), max(1, int(real.sum()))
         p = w["logits"] - w["logits"].max(1, keepdims=True)
@@ -209,9 +216,10 @@ class Model:
             d = d.reshape(-1, DIM)
             g[name] = x.T @ d
             dx += d @ getattr(self, name).T
-        g["E"] = np.zeros_like(self.E)
-        np.add.at(g["E"], c.ravel(), dx)
-        return float(loss), g
+        own, inverse = np.unique(c.ravel(), return_inverse=True)
+        g["E"] = np.zeros((len(own), DIM), self.E.dtype)
+        np.add.at(g["E"], inverse, dx)
+        return float(loss), own, g
 
 
 def blocks(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +263,7 @@ def begun_model(counts: np.ndarray, opens: np.ndarray, company: np.ndarray, seed
 
 class Adam:
     def __init__(self, model: Model):
-        self.model, self.step = model, 0
+        self.model, self.step, self.times = model, 0, np.zeros(len(model.E), np.int64)
         self.first = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
         self.second = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
 
@@ -266,12 +274,16 @@ class Adam:
         first = np.zeros(sum(len(c[0]) for c in cells), bool)
         first[np.cumsum([0, *(len(c[0]) for c in cells[:-1])])] = True
         before, after, real = (np.concatenate([c[k] for c in cells]) for k in range(3))
-        _, g = model.gradients(model.class_of[before], first, model.class_of[after], real)
+        _, own, g = model.sparse_gradients(before, first, model.class_of[after], real)
         rate *= min(1, self.step / 50)
+        self.times[own] += 1  # rows of E have their own clocks
         for k in Model.NAMES:
-            self.first[k] += 0.1 * (g[k] - self.first[k])
-            self.second[k] += 0.01 * (g[k] ** 2 - self.second[k])
-            getattr(model, k)[...] -= rate * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-8)
+            at, step = (own, self.times[own][:, None]) if k == "E" else (..., self.step)
+            a, b = self.first[k][at], self.second[k][at]
+            a = a + np.float32(0.1) * (g[k] - a)
+            b = b + np.float32(0.01) * (g[k] ** 2 - b)
+            self.first[k][at], self.second[k][at] = a, b
+            getattr(model, k)[at] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
 
 
 def train(model: Model, documents: list[np.ndarray], steps: int | None = None, seed: int = 5) -> None:
@@ -297,7 +309,7 @@ def train_whole(model: Model, documents, rate: float) -> tuple[int, np.ndarray]:
     for d in documents:
         before, after, real = blocks(d)
         seen += len(d)
-        used += np.bincount(model.class_of[before[real]], minlength=len(used))
+        used += np.bincount(before[real], minlength=len(used))
         for a in range(0, len(before), BATCH):
             lead = 1 if a else 0  # the block before is context only
             own = real[a - lead : a + BATCH].copy()
@@ -559,7 +571,7 @@ def batch_log_probs(model: Model, sequences: list[np.ndarray], most: int = 128)
         if cells:
             before, after = (np.concatenate([c[k] for c in cells]) for k in (0, 1))
             first = np.concatenate([c[2] for c in cells])
-            p, opening = model.log_probs(model.class_of[before], first, model.class_of[after])
+            p, opening = model.log_probs(before, first, model.class_of[after])
             at = 0
             for b, _, _, lead, begin, n in cells:
                 out[begin : begin + n] = p[at + lead * BLOCK : at + lead * BLOCK + n]

@@ -115,3 +115,17 @@ def test_long_texts_are_learned_from_to_their_end():
     before = lm.batch_log_probs(m, [s])[0][0][-2000:].mean()
     assert lm.train_whole(m, [s], 0.01)[0] == len(s)
     assert lm.batch_log_probs(m, [s])[0][0][-2000:].mean() > before + 1
+
+
+def test_attention_sees_each_id_and_the_block_before():
+    rng = np.random.default_rng(4)
+    n = lm.SINGLES + 2 * lm.GROUPS
+    m = lm.Model(n, rng, np.arange(lm.IDS) % n, np.zeros(lm.IDS), 50)
+    m.U *= 10
+    s = rng.integers(0, lm.IDS, 64)
+    one = lm.batch_log_probs(m, [s])[0][0]
+    other = s.copy()
+    other[30] = (s[30] + n) % (lm.IDS // n * n)  # another id of the same class, 33 before the last
+    two = lm.batch_log_probs(m, [other])[0][0]
+    assert m.class_of[other[30]] == m.class_of[s[30]] or s[30] >= lm.IDS // n * n
+    assert np.array_equal(one[:30], two[:30]) and abs(one[63] - two[63]) > 1e-5
