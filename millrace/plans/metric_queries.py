@@ -137,6 +137,12 @@ def bpe_pair_counts(spark, sf_dir):
     return bpe.pair_counts(bpe.word_counts(d, pattern="[A-Za-z]+"))
 
 
+def bpe_pair_counts_bytes(spark, sf_dir):
+    """One round of pair counting over all byte-level pre-tokens."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe.pair_counts(bpe.word_counts(d))
+
+
 def bpe_merges(spark, sf_dir):
     """The first three trained merges, as rows."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -196,6 +202,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         metric_latest, history_cutoff, metric_axis, phase_boundaries, weighted_eval_loss, packed_flops, timing_stats, dpo_loss, router_load, router_summary, layer_summary, top_k_logits,
-        cosine_schedule, sequence_schedule, fingerprints, combined_fingerprints, corpus_reconcile, resume_check, duplicate_texts, sampler_manifest, checkpoint_retention, bpe_pair_counts, bpe_merges, corpus_discovery,
+        cosine_schedule, sequence_schedule, fingerprints, combined_fingerprints, corpus_reconcile, resume_check, duplicate_texts, sampler_manifest, checkpoint_retention, bpe_pair_counts, bpe_pair_counts_bytes, bpe_merges, corpus_discovery,
     )
 }

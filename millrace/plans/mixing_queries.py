@@ -101,6 +101,17 @@ def packed_batches(spark, sf_dir):
     return b.select("microbatch", F.size("input_ids").alias("n_inputs"), F.size("targets").alias("n_targets"), F.size("position_ids").alias("n_positions"))
 
 
+def packed_batches_all(spark, sf_dir):
+    """Every whole batch with byte ids, joined last: its counts, and digests of its inputs and targets."""
+    from millrace.operators.batches import byte_ids
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = docs.select("doc_id", F.concat(byte_ids(F.col("text")), F.array(F.lit(256))).alias("ids"))
+    b = mixing.build(_packed(spark, sf_dir), ids, ["doc_id"])
+    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256)
+    return b.select("microbatch", F.size("input_ids").alias("n_inputs"), F.size("targets").alias("n_targets"), F.size("position_ids").alias("n_positions"), digest("input_ids").alias("inputs_sha256"), digest("targets").alias("targets_sha256"))
+
+
 _SPLIT = f"""
     WITH d AS (
         SELECT lang AS corpus, doc_id, CAST(strlen(text) + 1 AS BIGINT) AS n_tokens, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n,
@@ -139,5 +150,5 @@ ORACLES = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (doc_offsets, global_rank, prefix_byte_budget, val_split, affine_order, split_totals, start_tag_mix, late_corpus_tags, pack_microbatches, batch_boundaries, emitted_tokens, step_groups, val_stream, packed_batches, pack_exact_balance)
+    for f in (doc_offsets, global_rank, prefix_byte_budget, val_split, affine_order, split_totals, start_tag_mix, late_corpus_tags, pack_microbatches, batch_boundaries, emitted_tokens, step_groups, val_stream, packed_batches, packed_batches_all, pack_exact_balance)
 }

@@ -155,3 +155,39 @@ def test_the_library_stands_without_its_optional_part():
             for node in ast.walk(ast.parse(p.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n for n in names), p
+
+
+def test_packed_batches_of_the_whole_table(spark):
+    import hashlib
+
+    from millrace.plans import mixing_queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: [*r.text.encode(), 256] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    cells = {}
+    for r in mixing_queries.pack_microbatches(spark, sf).collect():
+        cells.setdefault(r.microbatch, []).append((r.slot, r.doc_id, r.offset, r.predictions))
+    digest = lambda x: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()
+    want = []
+    for b, own in cells.items():
+        x, y = ([i for _, d, a, k in sorted(own) for i in texts[d][a + s : a + s + k]] for s in (0, 1))
+        want.append((b, len(x), len(y), sum(k for *_, k in own), digest(x), digest(y)))
+    got = mixing_queries.packed_batches_all(spark, sf).collect()
+    assert len(want) > 8 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_bpe_pairs_of_all_pre_tokens(spark, tmp_path):
+    from collections import Counter
+
+    import regex
+
+    from millrace.plans import metric_queries
+
+    texts = ["Größe: 12 Äpfel, ça coûte 3,50 €!", "¿Qué  tal?\n\nit's 2024", "Größe"]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for t in texts:
+        for w in regex.findall(bpe.PATTERN.removeprefix("(?U)"), t):
+            raw = w.encode()
+            want.update((f"{a:02X}", f"{b:02X}") for a, b in zip(raw, raw[1:]))
+    assert {(r.a, r.b): r["count"] for r in metric_queries.bpe_pair_counts_bytes(spark, str(tmp_path)).collect()} == want
