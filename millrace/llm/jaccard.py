@@ -297,8 +297,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         done = pairs if done is None else done.unionByName(pairs)
         if not found.isEmpty():
             comp = common.written(components(links, sets.select("node", "label")), spark)
-        elif comp is None and turn == 0 and pairs.isEmpty():
-            break
     label = sets.select("n", "s1", "s2", "node", F.col("label").alias("own"))
     if comp is not None:
         label = label.join(comp.select("node", "label"), "node", "left")

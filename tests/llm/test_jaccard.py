@@ -65,3 +65,16 @@ def test_odd_rows(spark):
     odd = spark.createDataFrame([(None, "x y", 1), (4, "x y", 2), (4, "x y", 3)], "doc_id long, text string, n int")
     assert sorted(map(tuple, jaccard.jaccard_components(odd).fillna(-1).collect())) == [(-1, 1, 4), (4, 1, 4), (4, 1, 4)]
     assert jaccard.keep_one(odd).columns == odd.columns
+
+
+def test_an_excerpt_as_first_centre_hides_no_pair(spark):
+    groups = []
+    for g in range(150):
+        w = [f"g{g}w{i}" for i in range(104)]
+        groups.append([" ".join(w), " ".join(w[:94] + [f"g{g}x{i}" for i in range(10)]), " ".join(w[:78])])
+    df = spark.createDataFrame([(3 * g + k, t) for g, own in enumerate(groups) for k, t in enumerate(own)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in jaccard.profiles(df).collect()}
+    hidden = [g for g in range(150) if set(rows[3 * g].p0) <= set(rows[3 * g + 2].tokens)]
+    assert hidden
+    one = list(enumerate(groups[hidden[0]]))
+    assert got(spark, one) == brute(one) and brute(one)[1][2] == 0
