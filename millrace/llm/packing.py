@@ -11,7 +11,8 @@ f(j) the least cost of everything before candidate position j,
 
 The inner minimum over the window comes from a monotone queue (each candidate enters and
 leaves once); the second term is there because a sequence whose length is a power of two
-is not padded. Blocks are bounded, need no shuffle and are recomputed alone if an
+is not padded. Powers p under WINDOW / 32 are allowed in a block's last window only, where they spare the padding
+of its last sequence; the cuts cost least among all that keep to this. Blocks are bounded, need no shuffle and are recomputed alone if an
 executor is lost.
 
 Cases: a null or empty text is the end token alone; repeated rows and null ids are packed
@@ -22,12 +23,12 @@ gives an empty result; only doc_id and text are read, so other columns can't cla
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,9 @@ TRUNCATION_COST = 16
 FILLER = 64
 #: Chunks that a worker keeps at most.
 CHUNKS = 900_000
+#: Words that are encoded as one text.
+LUMP = 4000
+_LETTERS = regex.compile("[a-zà-öø-ÿ]+")
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,40 +60,44 @@ class LibraryEncoder:
         self.own = bpe.load(path)
         self.chunks: dict[str, bytes] = {}
         last = regex.compile(r"[.!?…。]+[\"')\]]*</w>")
-        self.sentence = np.zeros(1 << 16, bool)
+        self.ends, self.sentence = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        self.ends[[i for i, t in self.own.tokens.items() if t.endswith(self.own.end)]] = True
         self.sentence[[i for i, t in self.own.tokens.items() if last.fullmatch(t)]] = True
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, chunks: list[str]) -> None:
+        """Bring the distinct chunks of a batch into the table."""
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        new = {c for c in set().union(*texts) if c not in self.chunks}  # a set minus the keys would walk the whole table
-        # full stops and commas after a letter are a token of their own, so the word is encoded without them
-        bare = {c: b for c in new if (b := c.rstrip(".,")) != c and b and b[-1].isalpha()}
-        own = {c for c in new if c not in bare} | {*bare.values()} | {c[len(b) :] for c, b in bare.items()}
-        self._ask([c for c in own if c not in self.chunks])
-        self.chunks.update((c, self.chunks[b] + self.chunks[c[len(b) :]]) for c, b in bare.items())
+        known = self.chunks
+        new = [c for c in chunks if c not in known]
+        words = list(filter(_LETTERS.fullmatch, new))
+        for a in range(0, len(words), LUMP):
+            self._ask_words(words[a : a + LUMP])
+        self._ask([c for c in new if c not in known])
+
+    def _ask_words(self, words: list[str]) -> None:
+        """Words of plain letters, each one pre-token, as one text: an id with the word's end closes each."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+        if len(cut) != len(words) + 1:
+            return self._ask(words)
+        raw = ids.tobytes()
+        self.chunks.update([(w, raw[4 * a : 4 * z]) for w, a, z in zip(words, cut, cut[1:])])
 
     def _ask(self, new: list[str]) -> None:
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            self.chunks.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)))
+            self.chunks.update([(c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False))])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list:
         """Ids of each text, little-endian."""
-        split = [None if "<|" in t else self.own.chunks(folded(t)) for t in texts]
-        self.learn([s for s in split if s])
-        get = self.chunks.__getitem__
-        return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s))
-            for t, s in zip(texts, split)
-        ]
-
-
-def folded(text: str) -> str:
-    """The text in lower case where the library's normalisation comes to the same, so that fewer chunks differ."""
-    low = text.lower()
-    plain = "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
-    return low if plain else text
+        chunks, indices, offsets = bpe.split(texts)
+        self.learn(chunks)
+        out = bpe.taken(list(map(self.chunks.__getitem__, chunks)), indices, offsets)
+        special = pc.match_substring(pc.fill_null(texts, ""), "<|").to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(special).tolist():
+            out[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -108,13 +116,16 @@ def choose_cuts(candidates: np.ndarray, costs: np.ndarray, window: int = WINDOW)
     # short unpadded sequences are of use at the end only
     long_powers, tail = [p for p in powers if p >= window // 32], at[-1] - window
     # which candidates lie a power of two after another
-    whole, hits = np.asarray(candidates), {}
+    whole, pairs = np.asarray(candidates), []
     for p in powers:
         j = np.arange(len(at)) if p in long_powers else np.flatnonzero(whole > tail)
         i = np.searchsorted(whole, whole[j] - p)
         hit = whole[i] == whole[j] - p
-        for a, b in zip(j[hit].tolist(), i[hit].tolist()):
-            hits.setdefault(a, []).append(b)
+        pairs.append((j[hit], i[hit]))
+    later, earlier = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
+    order = np.argsort(later, kind="stable")
+    hits = earlier[order].tolist()
+    begins = np.searchsorted(later[order], np.arange(len(at) + 1)).tolist()
     best, back = [0], [0]
     queue: deque = deque([(0, 0, 0)])  # (f + position, position, index), ascending in both
     for j in range(1, len(at)):
@@ -122,7 +133,7 @@ def choose_cuts(candidates: np.ndarray, costs: np.ndarray, window: int = WINDOW)
         while queue[0][1] < here - window:
             queue.popleft()
         value, source = queue[0][0] + window - here, queue[0][2]
-        for i in hits.get(j, ()):
+        for i in hits[begins[j] : begins[j + 1]]:
             if best[i] <= value:
                 value, source = best[i], i
         value += cost[j] + 1
@@ -189,9 +200,8 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         held, size, made = [], 0, 0
         for batch in batches:
             part = batch.column("part")
-            for a in range(0, batch.num_rows, 500):
-                b = batch.slice(a, 500)
-                got = enc.encode([t or "" for t in b.column("text").to_pylist()])
+            for b in bpe.slices(batch):
+                got = enc.encode(b.column("text"))
                 for doc_id, raw in zip(b.column("doc_id").to_pylist(), got):
                     ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(END_ID))
                     at = 0

@@ -9,14 +9,16 @@ from tokenizers import Tokenizer
 from millrace.llm import bpe, packing
 
 
-def brute(at, cost, window):
+def brute(at, cost, window, every=True):
+    """Least cost; with every = False, unpadded powers under window / 32 only in the last window."""
     best = [0]
     for j in range(1, len(at)):
         options = []
         for i in range(j):
             n = at[j] - at[i]
             if n <= window:
-                options.append(best[i] + (0 if n & (n - 1) == 0 else window - n))
+                free = n & (n - 1) == 0 and (every or 32 * n >= window or at[j] > at[-1] - window)
+                options.append(best[i] + (0 if free else window - n))
         best.append(min(options) + cost[j] + 1)
     return best[-1]
 
@@ -33,6 +35,25 @@ def test_cuts_cost_least(gaps, data):
     assert paid == brute(at.tolist(), cost.tolist(), 16)
 
 
+def test_cuts_cost_least_in_the_production_window():
+    rng = np.random.default_rng(8)
+    for turn in range(25):
+        at = np.r_[0, np.cumsum(rng.choice([1, 3, 16, 32, 64, 100, 128, 500, 512, 1024, 2048], 150))]
+        cost = np.r_[0, rng.choice([0, 1, 16], 150)]
+        cuts = packing.choose_cuts(at, cost)
+        n, where = np.diff(cuts), np.searchsorted(at, cuts[1:])
+        free = (n & (n - 1) == 0) & ((32 * n >= 2048) | (cuts[1:] > at[-1] - 2048))
+        assert (n <= 2048).all() and cuts[-1] == at[-1]
+        assert int((np.where(free, 0, 2048 - n) + 1 + cost[where]).sum()) == brute(at.tolist(), cost.tolist(), 2048, every=False)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(None, "one two"), (None, None), (7, "a b c"), (7, "a b c"), (7, "")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in got) == [(0, 1), (0, 3), (7, 1), (7, 4), (7, 4)]
+    assert [r.offset for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))][0] == 0
+
+
 def check(rows, texts):
     """Every id of every document in one piece, sequences gapless and short enough; share of padding."""
     library = Tokenizer.from_file(bpe.default_path())
