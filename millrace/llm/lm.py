@@ -5,27 +5,30 @@ encoded by a public byte-level BPE, which loses nothing, and an end id closes ea
 model predicts the class of the next id and multiplies by the id's share of its class:
 
 * classes and shares come from counts over all training documents: the SINGLES commonest ids
-  are classes of their own, the others are grouped by the words they mostly occur in;
+  are classes of their own, the others are grouped by the company they keep; classes stand in
+  families of SLOTS, and a class's probability is its family's times its own within the family;
 * a word's probability, given that a word begins, is a mixture: MIX of the probability of its
   first id's class in its context times the word's share of all words that begin in that class,
   and the rest of what the model gives to its ids one by one and to the word's ending there;
-* the class model reads the ids themselves, classes are its outputs only; it (embedding, one causal attention layer with learned relative biases, a
-  feed-forward layer, softmax) is trained in numpy by Adam. First weights come from windows of
-  TRAIN_DOCS training documents on the driver; from them every task trains on the whole texts of
-  all its training documents, and the tasks' weights are averaged after each of ROUNDS parts.
+* the model reads the ids themselves, classes are its outputs only; it (embedding, one causal
+  attention layer with learned relative biases, a feed-forward layer, softmax) is trained in
+  numpy by Adam. First weights come from windows of TRAIN_DOCS training documents on the driver;
+  from them every task trains on the whole texts of all its training documents, and the tasks'
+  weights are averaged after each of ROUNDS parts.
 
 A document is scored in blocks of BLOCK ids; each block attends to itself and the block before
 it, so that windows of 2 * BLOCK overlap by half and every id is scored once. Blocks of many
-documents go through one masked batch.
+documents go through one masked batch; a document's score does not depend on the others in it.
 
-The unigram base and the mixture need the count of every word. The HEAD commonest words travel
-to the workers (bounded by that number); each other word of a document is joined with the word
-counts, which no very common word takes part in, and brings both sides of its mixture along.
+Texts are encoded once, into a written table of ids. The unigram base and the mixture need the
+count of every word. The HEAD commonest words travel to the workers (bounded by that number);
+each other word of a document is joined with the word counts, which no very common word takes
+part in, and brings both sides of its mixture along, so that HEAD has no effect on a score.
 
 Cases: a null or empty text is the end token alone; a null id counts as the empty text in the
-fold; rows that repeat an id are scored each; without training rows N and V are 0; words over
-PIECE characters are encoded in pieces; an empty table gives an empty result; only doc_id and
-text are read, so other columns can't clash.
+fold; rows that repeat an id are scored each; without training rows N and V are 0; very long
+texts and words are encoded whole; an empty table gives an empty result; only doc_id and text
+are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -34,14 +37,16 @@ import base64
 import copy
 import zlib
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import as_strided
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import bpe as chunks
 from millrace.llm import common
 
 HELD_OUT = 1
@@ -53,22 +58,31 @@ TRAIN_IDS = 1024
 ROUNDS = 4
 SINGLES = 96
 GROUPS = 24
+#: Commonest ids whose presence in a window is the company of the others.
+NEIGHBOURS = 32
+#: Classes of a family.
+SLOTS = 12
+#: Attention takes (1 + x / POWER) ** POWER for the exponential of x: never negative, and cheap. The code squares three times.
+POWER = 8
 DIM = 16
 HIDDEN = 32
 MIX = 0.75
 BLOCK = 32
-STEPS = 1500
+STEPS = 800
 RATE = 0.01
-#: Blocks of a step.
-BATCH = 64
-PIECE = 64
-#: Rows that are scored together.
-SLICE = 200
+#: Blocks of a step, and of a batch that is scored.
+BATCH = 128
+MOST = 128
+#: Tasks whose sums one task adds up.
+FAN_IN = 64
 CACHE_ENTRIES = 600_000
+#: Words, and bytes of words, that a task counts before it sends them on.
+COUNTED, COUNTED_BYTES = 1_000_000, 64 << 20
 VOCABULARY = "byte_bpe_50k.tiktoken"
 IDS = 50_257
 END = 50_256
-_STATE = "uid long, doc_id long, held_out boolean, n_tokens long, head_log double, head_known long, score double, words array<binary>, whole array<double>, spelled array<double>"
+_CODED = "uid long, doc_id long, held_out boolean, n_tokens long, head_log double, head_known long, ids binary, ranks binary, words array<string>"
+_STATE = "uid long, doc_id long, held_out boolean, n_tokens long, head_log double, head_known long, score double, words array<string>, whole array<double>, spelled array<double>"
 
 
 def default_path() -> str:
@@ -91,19 +105,19 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
-def word_ids(word: bytes, bpe) -> list[int]:
-    text = " " + word.decode()
-    return bpe.encode_ordinary(text) if len(text) <= PIECE else [i for a in range(0, len(text), PIECE) for i in bpe.encode_ordinary(text[a : a + PIECE])]
-
-
 def opening_ids(path: str) -> np.ndarray:
     """Ids that begin a word (their bytes begin with a space), and the end id."""
     bpe = encoder(path)
     return np.array([i == END or bpe.decode_single_token_bytes(i)[:1] == b" " for i in range(IDS)])
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of texts, the number of each occurrence's word, and where each text's occurrences begin."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = pc.if_else(pc.equal(lists.values, ""), None, lists.values).dictionary_encode()  # white space at an edge leaves an empty word
+    index = coded.indices.fill_null(-1).to_numpy()
+    kept = index >= 0
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), index[kept], np.r_[0, np.cumsum(kept)][lists.offsets.to_numpy()]
 
 
 class _Known(dict):
@@ -121,115 +135,172 @@ class _Known(dict):
 
 
 class Model:
-    """Weights of the class model, its classes and the ids' shares of them."""
+    """Weights of the class model, its classes and the ids' shares of them. Classes below ``opening`` begin a word."""
 
-    NAMES = ("E", "Q", "K", "V", "O", "B", "W1", "c1", "W2", "U", "u")
+    NAMES = ("Q", "K", "V", "O", "B", "W1", "c1", "W2", "U", "S")
 
     def __init__(self, classes: int, rng, class_of: np.ndarray, log_share: np.ndarray, opening: int):
-        s = lambda *shape: (rng.normal(0, 1, shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.E = (rng.normal(0, 0.5, (IDS, DIM))).astype(np.float32)
-        self.Q, self.K, self.V, self.O = s(DIM, DIM), s(DIM, DIM), s(DIM, DIM), s(DIM, DIM)
-        self.B = np.zeros((BLOCK, 2 * BLOCK), np.float32)
-        self.W1, self.c1, self.W2 = s(DIM, HIDDEN), np.zeros(HIDDEN, np.float32), s(HIDDEN, DIM) * 0.1
-        self.U, self.u = s(DIM, classes) * 0.1, np.zeros(classes, np.float32)
-        self.class_of, self.log_share, self.opening = class_of, log_share, opening
-        future = np.arange(2 * BLOCK)[None] > np.arange(BLOCK)[:, None] + BLOCK
-        self.mask = np.where(future, np.float32(-1e9), np.float32(0))
-
-    def forward(self, c: np.ndarray, first: np.ndarray, learning: bool = True) -> dict:
-        """c: the input ids, in blocks; first: blocks that open a document. What each block's places predict."""
-        n = len(c)
-        x = self.E[c]
-        q = (x.reshape(-1, DIM) @ self.Q).reshape(n, BLOCK, DIM)
-        k = (x.reshape(-1, DIM) @ self.K).reshape(n, BLOCK, DIM)
-        v = (x.reshape(-1, DIM) @ self.V).reshape(n, BLOCK, DIM)
-        back = lambda a: np.concatenate([np.concatenate([np.zeros_like(a[:1]), a[:-1]]), a], 1)
-        kk, vv = back(k), back(v)
-        s = q @ kk.transpose(0, 2, 1)
-        s *= np.float32(1 / np.sqrt(DIM))
-        s += self.B + self.mask
-        s[first, :, :BLOCK] = -1e9
-        np.minimum(s, np.float32(60), out=s)  # so that nothing overflows
-        np.exp(s, out=s)
-        total = s.sum(2, keepdims=True)
-        if learning:
-            s /= total
-            a = s @ vv
-        else:
-            a = s @ vv
-            a /= total
-        h = x.reshape(-1, DIM) + a.reshape(-1, DIM) @ self.O
-        f = np.maximum(h @ self.W1 + self.c1, 0)
-        z = h + f @ self.W2
-        logits = z @ self.U
-        logits += self.u
-        return {"x": x, "q": q, "k": k, "v": v, "kk": kk, "vv": vv, "s": s, "a": a, "h": h, "f": f, "z": z, "logits": logits}
+        own = np.arange(classes)
+        before = -(-opening // SLOTS)  # families that begin a word
+        self.family = np.where(own < opening, own // SLOTS, before + (own - opening) // SLOTS)
+        self.slot = np.where(own < opening, own % SLOTS, (own - opening) % SLOTS)
+        self.opening, n = before, int(self.family.max()) + 1
+        self.gap = np.full((n, SLOTS), -1e9, np.float32)
+        self.gap[self.family, self.slot] = 0
+        self.shapes = {"Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "O": (DIM, DIM), "B": (BLOCK, 2 * BLOCK), "W1": (DIM, HIDDEN), "c1": (HIDDEN,), "W2": (HIDDEN, DIM), "U": (DIM + 1, n), "S": (n, DIM + 1, SLOTS)}
+        ends = np.cumsum([int(np.prod(v)) for v in self.shapes.values()]).tolist()
+        self.spans = [(k, a, z, v) for (k, v), a, z in zip(self.shapes.items(), [0, *ends], ends)]
+        spread = {"B": 0, "c1": 0, "W2": 0.1, "U": 0.1, "S": 0.1}
+        self.flat = np.concatenate([(rng.normal(0, 1, v) * spread.get(k, 1) / np.sqrt(v[-2] if len(v) > 1 else 1)).ravel() for k, v in self.shapes.items()]).astype(np.float32)
+        self.E = rng.normal(0, 0.5, (IDS, DIM)).astype(np.float32)
+        self.class_of, self.log_share = class_of, log_share
+        self.mask = (np.arange(2 * BLOCK)[None] <= np.arange(BLOCK)[:, None] + BLOCK).astype(np.float32)
+
+    def views(self, flat: np.ndarray) -> dict:
+        """The weights by name, as views of a vector like ``flat``."""
+        return {k: flat[a:z].reshape(shape) for k, a, z, shape in self.spans}
+
+    def forward(self, c: np.ndarray, first: np.ndarray) -> dict:
+        """c: the input ids, in blocks; first: blocks that open a document. What stands before the output layer, row by row."""
+        w, n = self.views(self.flat), len(c)
+        x = self.E[c.ravel()]
+        three = np.zeros(((n + 1) * BLOCK, 3 * DIM + 1), x.dtype)  # query, key, value, 1; a block of nothing before the first
+        np.matmul(x, self.projections(w), out=three[BLOCK:, :-1])
+        three[:, -1] = 1
+        a, b = three.strides
+        q = as_strided(three[BLOCK:], (n, BLOCK, DIM), (BLOCK * a, a, b))
+        kk = as_strided(three[:, DIM:], (n, 2 * BLOCK, DIM), (BLOCK * a, a, b))
+        vv = as_strided(three[:, 2 * DIM :], (n, 2 * BLOCK, DIM + 1), (BLOCK * a, a, b))
+        u = q @ kk.transpose(0, 2, 1)
+        u += 1 + w["B"] / POWER
+        u *= self.mask
+        u[first, :, :BLOCK] = 0
+        e = u * u
+        u7 = e * u
+        e *= e
+        u7 *= e
+        e *= e
+        a = (e @ vv).reshape(-1, DIM + 1)
+        total, a = a[:, DIM:], a[:, :DIM] / a[:, DIM:]
+        h = x + a @ w["O"]
+        f = h @ w["W1"]
+        f += w["c1"]
+        f *= f > 0
+        z = np.empty((len(x), DIM + 1), x.dtype)
+        z[:, DIM] = 1
+        np.add(h, f @ w["W2"], out=z[:, :DIM])
+        return {"x": x, "q": q, "kk": kk, "vv": vv, "e": e, "u7": u7, "total": total, "a": a, "h": h, "f": f, "z": z, "w": w}
+
+    @staticmethod
+    def projections(w: dict) -> np.ndarray:
+        return np.concatenate([w["Q"] / np.asarray(POWER * np.sqrt(DIM), w["Q"].dtype), w["K"], w["V"]], 1)
+
+    def by_family(self, target: np.ndarray):
+        """The family of each row's target, an order by it, and where each family's rows begin in that."""
+        family = self.family[target].astype(np.uint8)
+        order = np.argsort(family, kind="stable")
+        return family, order, np.searchsorted(family[order], np.arange(len(self.gap) + 1)).tolist()
+
+    def outputs(self, w: dict, z: np.ndarray, order: np.ndarray, cut: list[int]):
+        """Shifted logits, one column a row of z: of the families, and in the order of families of the slots of the target's. z: rows with 1 at the end."""
+        outer = w["U"].T @ z.T
+        outer -= outer.max(0)
+        zs, inner = z[order], np.empty((SLOTS, len(z)), z.dtype)
+        for k, (a, b) in enumerate(zip(cut, cut[1:])):
+            if a < b:
+                np.matmul(w["S"][k].T, zs[a:b].T, out=inner[:, a:b])
+                inner[:, a:b] += self.gap[k][:, None]
+        inner -= inner.max(0)
+        return outer, inner, zs
 
     def log_probs(self, c, first, target) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-probability of each target class, and of any class that begins a word or ends the text."""
-        logits = self.forward(c, first, learning=False)["logits"]
-        hit = np.take_along_axis(logits, target.reshape(-1, 1), 1)[:, 0].astype(np.float64)
-        top = logits.max()
-        logits -= top
-        np.exp(logits, out=logits)
-        opening = logits[:, : self.opening].sum(1) + np.float32(1e-35)
-        whole = np.log(opening + logits[:, self.opening :].sum(1))
-        return hit - top - whole, np.log(opening) - whole
-
-    def gradients(self, c, first, target, real) -> tuple[float, dict]:
-        """Mean loss over real targets and the gradient of every weight."""
-        loss, own, g = self.sparse_gradients(c, first, target, real)
-        rows, g["E"] = g["E"], np.zeros_like(self.E)
-        g["E"][own] = rows
-        return loss, g
-
-    def sparse_gradients(self, c, first, target, real) -> tuple[float, np.ndarray, dict]:
-        """The same, of E only the rows of the ids that occur; these ids."""
-        w = self.forward(c, first)
-        n, m = len(c), max(1, int(real.sum()))
-        p = w["logits"] - w["logits"].max(1, keepdims=True)
-        p = np.exp(p)
-        p /= p.sum(1, keepdims=True)
-        flat, t = real.ravel(), target.ravel()
-        loss = -np.log(np.maximum(p[np.arange(len(t)), t], 1e-30))[flat].mean()
-        p[np.arange(len(t)), t] -= 1
-        p *= (flat / m)[:, None].astype(np.float32)
-        g = {"U": w["z"].T @ p, "u": p.sum(0)}
-        dz = p @ self.U.T
-        g["W2"] = w["f"].T @ dz
-        df = (dz @ self.W2.T) * (w["f"] > 0)
-        g["W1"], g["c1"] = w["h"].T @ df, df.sum(0)
-        dh = dz + df @ self.W1.T
-        g["O"] = w["a"].reshape(-1, DIM).T @ dh
-        da = (dh @ self.O.T).reshape(n, BLOCK, DIM)
-        ds = da @ w["vv"].transpose(0, 2, 1)
-        dvv = w["s"].transpose(0, 2, 1) @ da
-        ds = w["s"] * (ds - (ds * w["s"]).sum(2, keepdims=True))
-        g["B"] = ds.sum(0)
-        ds *= np.float32(1 / np.sqrt(DIM))
-        dq, dkk = ds @ w["kk"], ds.transpose(0, 2, 1) @ w["q"]
-        fold = lambda d: d[:, BLOCK:] + np.concatenate([d[1:, :BLOCK], np.zeros_like(d[:1, :BLOCK])])
-        dk, dv = fold(dkk), fold(dvv)
-        x = w["x"].reshape(-1, DIM)
-        dx = dh.copy()
-        for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-            d = d.reshape(-1, DIM)
-            g[name] = x.T @ d
-            dx += d @ getattr(self, name).T
-        own, inverse = np.unique(c.ravel(), return_inverse=True)
-        g["E"] = np.zeros((len(own), DIM), self.E.dtype)
-        np.add.at(g["E"], inverse, dx)
-        return float(loss), own, g
-
-
-def blocks(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and which targets are real, in blocks, of one document's ids (the end id opens it)."""
-    n = -(-len(sequence) // BLOCK)
-    before, after = np.full(n * BLOCK, END), np.full(n * BLOCK, END)
-    before[1 : len(sequence)] = sequence[:-1]
-    after[: len(sequence)] = sequence
-    real = np.arange(n * BLOCK) < len(sequence)
-    return before.reshape(n, BLOCK), after.reshape(n, BLOCK), real.reshape(n, BLOCK)
+        got, target = self.forward(c, first), target.ravel()
+        family, order, cut = self.by_family(target)
+        outer, inner, _ = self.outputs(got["w"], got["z"], order, cut)
+        rows = np.arange(target.size)
+        p, part = outer[family, rows], inner[self.slot[target[order]], rows]
+        np.exp(outer, out=outer)
+        opening = outer[: self.opening].sum(0) + np.float32(1e-35)
+        whole = np.log(opening + outer[self.opening :].sum(0))
+        p = (p - whole).astype(np.float64)
+        p[order] += part - np.log(np.exp(inner, out=inner).sum(0))
+        return p, np.log(opening) - whole
+
+    def gradients(self, c, first, target, real) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Mean loss over real targets, ids that occur, the gradient of their rows of E, and that of ``flat``."""
+        got, target, real = self.forward(c, first), target.ravel(), real.ravel()
+        w, z, rows, n = got["w"], got["z"], np.arange(target.size), len(c)
+        flat = np.zeros_like(self.flat)
+        g = self.views(flat)
+        weight = (real / max(1, int(real.sum()))).astype(z.dtype)
+        family, order, cut = self.by_family(target)
+
+        def loss_of(logits, hit, weight):
+            """The loss; the logits become its gradient."""
+            np.exp(logits, out=logits)
+            logits /= logits.sum(0)
+            loss = -(np.log(np.maximum(logits[hit, rows], 1e-30)) * weight).sum()
+            logits[hit, rows] -= 1
+            logits *= weight
+            return loss
+
+        outer, inner, zs = self.outputs(w, z, order, cut)
+        loss = loss_of(outer, family, weight) + loss_of(inner, self.slot[target[order]], weight[order])
+        np.matmul(z.T, outer.T, out=g["U"])
+        dz = outer.T @ w["U"][:DIM].T
+        back = np.empty((len(z), DIM), z.dtype)
+        for k, (a, b) in enumerate(zip(cut, cut[1:])):
+            if a < b:
+                np.matmul(zs[a:b].T, inner[:, a:b].T, out=g["S"][k])
+                np.matmul(inner[:, a:b].T, w["S"][k][:DIM].T, out=back[a:b])
+        dz[order] += back
+        np.matmul(got["f"].T, dz, out=g["W2"])
+        df = dz @ w["W2"].T
+        df *= got["f"] > 0
+        np.matmul(got["h"].T, df, out=g["W1"])
+        g["c1"][:] = np.ones(len(df), df.dtype) @ df
+        dh = dz + df @ w["W1"].T
+        a = got["a"]
+        np.matmul(a.T, dh, out=g["O"])
+        # a is the quotient of the sums of e * [v, 1]
+        da = np.empty((len(a), DIM + 1), a.dtype)
+        np.matmul(dh, w["O"].T, out=da[:, :DIM])
+        da[:, DIM] = -np.einsum("ij,ij->i", da[:, :DIM], a)
+        da /= got["total"]
+        da = da.reshape(n, BLOCK, DIM + 1)
+        d = da @ got["vv"].transpose(0, 2, 1)
+        d *= got["u7"]
+        np.add.reduce(d, 0, out=g["B"])
+        d *= POWER
+        d3 = np.zeros(((n + 1) * BLOCK, 3 * DIM), a.dtype)
+        d3[BLOCK:, :DIM] = (d @ got["kk"]).reshape(-1, DIM)
+        for at, part in ((DIM, d.transpose(0, 2, 1) @ got["q"]), (2 * DIM, got["e"].transpose(0, 2, 1) @ da[:, :, :DIM])):
+            d3[BLOCK:, at : at + DIM] = part[:, BLOCK:].reshape(-1, DIM)
+            d3[: n * BLOCK, at : at + DIM] += part[:, :BLOCK].reshape(-1, DIM)
+        d3 = d3[BLOCK:]
+        own = got["x"].T @ d3
+        g["Q"][:], g["K"][:], g["V"][:] = own[:, :DIM] / (POWER * np.sqrt(DIM)), own[:, DIM : 2 * DIM], own[:, 2 * DIM :]
+        dx = dh + d3 @ self.projections(w).T
+        c = c.ravel()
+        order = np.argsort(c, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(c[order]) != 0])
+        return float(loss), c[order[begin]], np.add.reduceat(dx[order], begin, 0), flat
+
+
+def blocks(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents in blocks: inputs (the end id opens each), targets, which targets are real, which blocks open a document, and the places of ids in them."""
+    n = -(-lengths // BLOCK)
+    begins = np.cumsum(lengths) - lengths
+    opens = np.cumsum(n) - n
+    place = np.arange(len(ids)) + np.repeat(opens * BLOCK - begins, lengths)
+    before, after, real = (np.full(int(n.sum()) * BLOCK, v) for v in (END, END, False))
+    before[place[:-1] + 1] = ids[:-1]
+    before[opens * BLOCK] = END
+    after[place], real[place] = ids, True
+    first = np.zeros(int(n.sum()), bool)
+    first[opens] = True
+    return before.reshape(-1, BLOCK), after.reshape(-1, BLOCK), real.reshape(-1, BLOCK), first, place
 
 
 def commonest(counts: np.ndarray) -> np.ndarray:
@@ -257,92 +328,81 @@ def begun_model(counts: np.ndarray, opens: np.ndarray, company: np.ndarray, seed
     size = np.maximum(np.bincount(class_of, smooth, SINGLES + 2 * GROUPS), 1e-9)
     share = np.log(smooth / size[class_of])
     model = Model(SINGLES + 2 * GROUPS, rng, class_of, share, opening)
-    model.u += np.log(size / smooth.sum()).astype(np.float32)
+    w = model.views(model.flat)
+    whole = np.bincount(model.family, size)
+    w["U"][DIM] = np.log(whole / smooth.sum())
+    w["S"][model.family, DIM, model.slot] = np.log(size / whole[model.family])
     return model
 
 
 class Adam:
     def __init__(self, model: Model):
         self.model, self.step, self.times = model, 0, np.zeros(len(model.E), np.int64)
-        self.first = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
-        self.second = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
+        self.dense = np.zeros((2, len(model.flat)), np.float32)
+        self.rows = np.zeros((2, *model.E.shape), np.float32)
 
-    def learn(self, cells: list[tuple], rate: float) -> None:
-        """One step over windows: blocks of inputs, of targets, and which targets are real."""
+    def learn(self, before, after, real, first, rate: float) -> None:
+        """One step over blocks of inputs, of targets, which targets are real, and which blocks open a document."""
         model = self.model
         self.step += 1
-        first = np.zeros(sum(len(c[0]) for c in cells), bool)
-        first[np.cumsum([0, *(len(c[0]) for c in cells[:-1])])] = True
-        before, after, real = (np.concatenate([c[k] for c in cells]) for k in range(3))
-        _, own, g = model.sparse_gradients(before, first, model.class_of[after], real)
+        _, own, rows, flat = model.gradients(before, first, model.class_of[after], real)
         rate *= min(1, self.step / 50)
         self.times[own] += 1  # rows of E have their own clocks
-        for k in Model.NAMES:
-            at, step = (own, self.times[own][:, None]) if k == "E" else (..., self.step)
-            a, b = self.first[k][at], self.second[k][at]
-            a = a + np.float32(0.1) * (g[k] - a)
-            b = b + np.float32(0.01) * (g[k] ** 2 - b)
-            self.first[k][at], self.second[k][at] = a, b
-            getattr(model, k)[at] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+        for w, at, state, g, step in ((model.flat, ..., self.dense, flat, self.step), (model.E, own, self.rows, rows, self.times[own][:, None])):
+            a, b = state[0][at], state[1][at]
+            a = a + np.float32(0.1) * (g - a)
+            b = b + np.float32(0.01) * (g * g - b)
+            state[0][at], state[1][at] = a, b
+            move = a * np.asarray(rate / (1 - 0.9**step), np.float32)
+            move /= np.sqrt(b * np.asarray(1 / (1 - 0.99**step), np.float32)) + np.float32(1e-8)
+            w[at] -= move
+
+    def learn_all(self, documents: tuple, rate) -> None:
+        """Steps of BATCH blocks over documents as ``blocks`` gives them; rate: of a step, given its number."""
+        before, after, real, first, _ = documents
+        for k, a in enumerate(range(0, len(before), BATCH)):
+            lo = max(0, a - 1)  # the block before is context only
+            own = real[lo : a + BATCH].copy()
+            own[: a - lo] = False
+            self.learn(before[lo : a + BATCH], after[lo : a + BATCH], own, first[lo : a + BATCH], rate(k))
 
 
 def train(model: Model, documents: list[np.ndarray], steps: int | None = None, seed: int = 5) -> None:
     """First weights, from the ids of the sample."""
     steps = STEPS if steps is None else steps
     rng, adam = np.random.default_rng(seed), Adam(model)
-    cells = [blocks(d) for d in documents]
-    at, turn = len(cells), None
-    for step in range(1, steps + 1 if cells else 1):
-        part, size = [], 0
-        while size < BATCH:
-            if at >= len(cells):
-                turn, at = rng.permutation(len(cells)), 0
-            part.append(cells[turn[at]])
-            size += len(part[-1][0])
-            at += 1
-        adam.learn(part, RATE * (1 - step / (steps + 1)))
-
-
-def train_whole(model: Model, documents, rate: float) -> tuple[int, np.ndarray]:
-    """One pass over whole texts, by their ids; how many ids, and how often each row of E was an input."""
-    adam, part, size, seen, used = Adam(model), [], 0, 0, np.zeros(len(model.E), np.int64)
-    for d in documents:
-        before, after, real = blocks(d)
-        seen += len(d)
-        used += np.bincount(before[real], minlength=len(used))
-        for a in range(0, len(before), BATCH):
-            lead = 1 if a else 0  # the block before is context only
-            own = real[a - lead : a + BATCH].copy()
-            own[:lead] = False
-            part.append((before[a - lead : a + BATCH], after[a - lead : a + BATCH], own))
-            size += len(own)
-            if size >= BATCH:
-                adam.learn(part, rate)
-                part, size = [], 0
-    if part:
-        adam.learn(part, rate)
+    while documents and adam.step < steps:
+        turn = [documents[i] for i in rng.permutation(len(documents))]
+        done = adam.step
+        adam.learn_all(blocks(np.concatenate(turn), np.array([*map(len, turn)])), lambda k: RATE * max(0.05, 1 - (done + k) / steps))
+
+
+def train_whole(model: Model, parts, rate: float) -> tuple[int, np.ndarray]:
+    """One pass over whole texts, by their ids and lengths; how many ids, and how often each row of E was an input."""
+    adam, seen, used = Adam(model), 0, np.zeros(len(model.E), np.int64)
+    for ids, lengths in parts:
+        got = blocks(ids, lengths)
+        seen += len(ids)
+        used += np.bincount(got[0][got[2]], minlength=len(used))
+        adam.learn_all(got, lambda k: rate)
     return seen, used
 
 
 def weighed(model: Model, seen: int, used: np.ndarray) -> np.ndarray:
     """Weights for a sum over tasks: rows of E times their use, with the use; then all others times seen, with seen."""
-    rest = np.concatenate([*(getattr(model, k).ravel() for k in Model.NAMES if k != "E"), [1]]) * float(seen)
+    rest = np.append(model.flat, 1) * float(seen)
     rest = np.pad(rest, (0, -len(rest) % (DIM + 1))).reshape(-1, DIM + 1)
     return np.concatenate([np.c_[model.E * used[:, None], used], rest])
 
 
 def averaged(model: Model, total: np.ndarray) -> None:
     """Take over the mean weights of a sum of ``weighed``; rows of E that no task used stay."""
-    n = len(model.E)
+    n, m = len(model.E), len(model.flat)
     used = total[:n, DIM]
     model.E[used > 0] = total[:n, :DIM][used > 0] / used[used > 0, None]
-    rest, at = total[n:].ravel(), 0
-    seen = rest[sum(getattr(model, k).size for k in Model.NAMES if k != "E")]
-    for k in Model.NAMES:
-        if k != "E" and seen:
-            w = getattr(model, k)
-            w[...] = rest[at : at + w.size].reshape(w.shape) / seen
-            at += w.size
+    rest = total[n:].ravel()
+    if rest[m]:
+        model.flat[:] = rest[:m] / rest[m]
 
 
 def _grouped(rare: np.ndarray, counts: np.ndarray, company: np.ndarray) -> np.ndarray:
@@ -375,18 +435,33 @@ def _grouped(rare: np.ndarray, counts: np.ndarray, company: np.ndarray) -> np.nd
 
 
 def _count(batches):
-    """Words of training rows with their counts; every batch of Arrow rows is summed first."""
-    total = Counter()
+    """Words of training rows with their counts; what a task read is summed first."""
+    total, size = Counter(), 0
+
+    def flush():
+        items = list(total.items())
+        for a in range(0, len(items), 100_000):
+            part = items[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64())], names=["word", "c"])
+        total.clear()
+
+    for b in (part for whole in batches for part in chunks.slices(whole)):
+        words, index, _ = words_of(b.column("text"))
+        size += sum(map(len, words))
+        for w, c in zip(words, np.bincount(index, minlength=len(words)).tolist()):
+            total[w] += c
+        if len(total) > COUNTED or size > COUNTED_BYTES:
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
+def _documents(batches):
+    """Ids of training rows of the written table, with their lengths."""
     for b in batches:
-        for text in b.column("text"):
-            total.update(words_of(text.as_py()))
-        if len(total) > 1_000_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "c"])
-            total = Counter()
-    items = list(total.items())
-    for a in range(0, len(items), 100_000):
-        part = items[a : a + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], names=["word", "c"])
+        raw = [r.as_buffer() for r in b.column("ids")]
+        if raw:
+            yield np.frombuffer(b"".join(raw), "<u2").astype(np.int64), np.array([r.size // 2 for r in raw])
 
 
 class Scorer:
@@ -394,17 +469,20 @@ class Scorer:
 
     def __init__(self, docs: DataFrame, held_out: int = HELD_OUT, path: str | None = None):
         self.spark, self.path, self.held_out = docs.sparkSession, path or default_path(), held_out
-        self.rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", common.train_fold("doc_id", held_out).alias("held_out"))
-        training = self.rows.where(~F.col("held_out"))
-        self.counts = common.written(training.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), self.spark)
+        rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", common.train_fold("doc_id", held_out).alias("held_out"))
+        training = rows.where(~F.col("held_out"))
+        self.counts = common.written(training.mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), self.spark)
         ends = training.count()
         n = self.counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.distinct = (n.n or 0) + ends, n.v + (ends > 0)
         self.ends = ends
         top = self.counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-        self.head = dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
+        self.head = dict(zip(top["word"].to_pylist(), range(top.num_rows)))
+        self.head_counts = np.append(top["c"].to_numpy().astype(np.float64), ends)  # the end's rank is last
         counts, begun = self._id_counts()
-        self.model = begun_model(counts, opening_ids(self.path), self._company(training, commonest(counts)[:SINGLES]))
+        self.coded = self._coded(rows)
+        training = self.coded.where(~F.col("held_out"))
+        self.model = begun_model(counts, opening_ids(self.path), self._company(training, commonest(counts)[:NEIGHBOURS]))
         train(self.model, self._sample(training))
         self._train_all(training)
         self.begun = np.maximum(np.bincount(self.model.class_of, begun, SINGLES + 2 * GROUPS), 1)
@@ -417,7 +495,7 @@ class Scorer:
             bpe, total, begun = encoder(path), np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
             for b in batches:
                 words, c = b.column("word").to_pylist(), b.column("c").to_numpy()
-                ids = [word_ids(bytes(w), bpe) for w in words]
+                ids = [bpe.encode_ordinary(" " + w) for w in words]
                 np.add.at(total, np.array([i for x in ids for i in x], np.int64), np.repeat(c, [len(x) for x in ids]))
                 np.add.at(begun, np.array([x[0] for x in ids], np.int64), c)
             at = np.flatnonzero(total)
@@ -430,67 +508,91 @@ class Scorer:
         first[END] += self.ends
         return out, first
 
-    def _sample(self, training: DataFrame) -> list[np.ndarray]:
-        """Ids of TRAIN_DOCS training rows for the first weights, windows of at most TRAIN_IDS."""
-        path = self.path
+    def _coded(self, rows: DataFrame) -> DataFrame:
+        """The written table of all rows' ids (16 bits each, the end last), ranks of their words in the head, and words outside it."""
+        path, ends = self.path, self.ends
+        end_log, known_end = float(np.log10(ends + 0.5)), int(ends > 0)
+        held = self.spark.sparkContext.broadcast((self.head, self.head_counts))  # HEAD words
 
         def run(batches):
-            bpe = encoder(path)
-            for b in batches:
-                out = []
-                for uid, text in zip(b.column("uid").to_pylist(), b.column("text")):
-                    ids = [i for w in words_of(text.as_py()) for i in word_ids(w, bpe)] + [END]
-                    a = zlib.crc32(str(uid).encode()) % max(1, len(ids) - TRAIN_IDS + 1)
-                    out.append(np.array(ids[a : a + TRAIN_IDS], np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("uid"), pa.array(out, pa.binary())], names=["h", "uid", "ids"])
+            (head, counts), bpe = held.value, encoder(path)
+            ids_of = _Known(lambda w: np.array(bpe.encode_ordinary(" " + w), "<u2").tobytes())
+            logs, end, last = np.log10(counts + 0.5), np.array([END], "<u2").tobytes(), np.array([len(head)], "<i4").tobytes()
+            for b in (part for whole in batches for part in chunks.slices(whole)):
+                words, index, offsets = words_of(b.column("text"))
+                ids = chunks.taken([ids_of[w] for w in words], pa.array(index), offsets)
+                rank = np.fromiter((head.get(w, -1) for w in words), np.int32, len(words))[index]
+                tail = rank < 0
+                sums = np.r_[0, np.cumsum(np.where(tail, 0, logs[rank]))]
+                known = np.r_[0, np.cumsum(~tail)]
+                missed = pa.array(words, pa.string()).take(pa.array(index[tail]))
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(index) + 1) - known)[offsets].astype(np.int32)), missed)
+                raw = memoryview(rank.tobytes())
+                yield pa.RecordBatch.from_arrays([
+                    b.column("uid"), b.column("doc_id"), b.column("held_out"),
+                    pa.array(np.diff(offsets).astype(np.int64) + 1), pa.array(np.diff(sums[offsets]) + end_log), pa.array(np.diff(known[offsets]) + known_end, pa.int64()),
+                    pa.array([bytes(x) + end for x in ids], pa.binary()), pa.array([bytes(raw[4 * a : 4 * z]) + last for a, z in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary()), lists,
+                ], names=["uid", "doc_id", "held_out", "n_tokens", "head_log", "head_known", "ids", "ranks", "words"])
+
+        return common.written(rows.mapInArrow(run, _CODED), self.spark)
 
+    def _sample(self, training: DataFrame) -> list[np.ndarray]:
+        """Ids of TRAIN_DOCS training rows for the first weights, windows of at most TRAIN_IDS."""
         chosen = training.select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "uid").orderBy("h", "uid").limit(TRAIN_DOCS)
-        own = training.select("uid", "text").join(F.broadcast(chosen), "uid")  # at most TRAIN_DOCS ids
-        rows = own.mapInArrow(run, "h long, uid long, ids binary").orderBy("h", "uid").limit(TRAIN_DOCS).collect()
-        return [np.frombuffer(r.ids, np.int32).astype(np.int64) for r in rows]
+        n = F.length("ids") / 2  # the end id included
+        begin = F.pmod(F.crc32(F.col("uid").cast("string").cast("binary")), F.greatest(F.lit(1), n - TRAIN_IDS + 1)).cast("int")
+        window = F.substring("ids", 2 * begin + 1, F.lit(2 * TRAIN_IDS)).alias("ids")
+        rows = training.select("uid", window).join(F.broadcast(chosen), "uid").orderBy("h", "uid").limit(TRAIN_DOCS).collect()  # at most TRAIN_DOCS windows
+        return [np.frombuffer(r.ids, "<u2").astype(np.int64) for r in rows]
 
     def _summed(self, training: DataFrame, compute, shape: tuple[int, int]) -> np.ndarray:
-        """The sum over tasks of the matrix that compute makes of the ids of a task's documents. Rows are dealt over tasks to be added up."""
-        path, slices = self.path, common.parts(self.spark)
+        """The sum over tasks of the matrix that compute makes of a task's documents. Rows are dealt over tasks to be added up, FAN_IN matrices at a time."""
+        slices = common.parts(self.spark)
+        tasks = training._jdf.queryExecution().toRdd().getNumPartitions()
 
         def run(batches):
-            bpe = encoder(path)
-            ids_of = _Known(lambda w: np.array(word_ids(w, bpe), "<u4").tobytes())
-            end = np.array([END], "<u4").tobytes()
-            matrix = compute(np.frombuffer(b"".join([*map(ids_of.__getitem__, words_of(t.as_py())), end]), "<u4").astype(np.int64) for b in batches for t in b.column("text"))
+            matrix, own = compute(_documents(batches)), TaskContext.get().partitionId()
             at = np.flatnonzero(matrix.any(1))
             for k in range(slices):
-                own = at[at % slices == k]
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([own.astype("<i4").tobytes()], pa.binary()), pa.array([matrix[own].astype("<f4").tobytes()], pa.binary())], names=["slice", "task", "at", "rows"])
+                mine = at[at % slices == k]
+                if len(mine):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own], pa.int32()), pa.array([mine.astype("<i4").tobytes()], pa.binary()), pa.array([matrix[mine].astype("<f8").tobytes()], pa.binary())], names=["slice", "task", "at", "rows"])
 
         def add(table: pa.Table) -> pa.Table:
             cells = sorted((r["task"], r["at"], r["rows"]) for r in table.to_pylist())
             own = np.unique(np.concatenate([np.frombuffer(a, "<i4") for _, a, _ in cells]))
             total = np.zeros((len(own), shape[1]))
             for _, a, rows in cells:
-                total[np.searchsorted(own, np.frombuffer(a, "<i4"))] += np.frombuffer(rows, "<f4").reshape(-1, shape[1])
-            return pa.table({"at": pa.array([own.tobytes()], pa.binary()), "rows": pa.array([total.tobytes()], pa.binary())})
-
+                total[np.searchsorted(own, np.frombuffer(a, "<i4"))] += np.frombuffer(rows, "<f8").reshape(-1, shape[1])
+            return pa.table({"slice": table["slice"][:1], "task": pa.array([cells[0][0] // FAN_IN], pa.int32()), "at": pa.array([own.tobytes()], pa.binary()), "rows": pa.array([total.tobytes()], pa.binary())})
+
+        kind = "slice int, task int, at binary, rows binary"
+        sums = training.select("ids").mapInArrow(run, kind)
+        while True:
+            sums = sums.groupBy("slice", F.floor(F.col("task") / FAN_IN)).applyInArrow(add, kind)
+            tasks = -(-tasks // FAN_IN)
+            if tasks <= 1:
+                break
         out = np.zeros(shape)
-        for r in training.select("text").mapInArrow(run, "slice int, task int, at binary, rows binary").groupBy("slice").applyInArrow(add, "at binary, rows binary").collect():  # one matrix in all
+        for r in sums.collect():  # one matrix in all
             out[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["rows"]).reshape(-1, shape[1])
         return out
 
     def _company(self, training: DataFrame, single: np.ndarray) -> np.ndarray:
         """Of each id, the shares of the common ids in the windows that it occurs in, summed over all training rows."""
-        slot = np.full(IDS, -1)
+        slot = np.full(IDS, len(single))
         slot[single] = np.arange(len(single))
 
-        def compute(documents):
-            out = np.zeros((IDS, len(single)), np.float32)
-            for d in documents:
-                for a in range(0, len(d), TRAIN_IDS):
-                    w = d[a : a + TRAIN_IDS]
-                    near = np.bincount(slot[w][slot[w] >= 0], minlength=len(single)).astype(np.float32)
-                    if near.sum():
-                        own = np.unique(w)
-                        out[own[slot[own] < 0]] += near / near.sum()
+        def compute(parts):
+            out = np.zeros((IDS, len(single)))
+            for ids, lengths in parts:
+                n = -(-lengths // TRAIN_IDS)
+                begin = np.repeat(np.cumsum(lengths) - lengths, n) + TRAIN_IDS * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(ids)]):
+                    w = ids[a:z]
+                    near = np.bincount(slot[w], minlength=len(single) + 1)[:-1]
+                    if size := near.sum():
+                        out[np.unique(w)] += near / size
             return out
 
         return self._summed(training, compute, (IDS, len(single)))
@@ -501,55 +603,42 @@ class Scorer:
         for turn in range(ROUNDS):
             held, rate = self.spark.sparkContext.broadcast(self.model), 0.3 * RATE * (1 - turn / ROUNDS)
 
-            def compute(documents, held=held, rate=rate):
+            def compute(parts, held=held, rate=rate):
                 model = copy.deepcopy(held.value)
-                return weighed(model, *train_whole(model, documents, rate))
+                return weighed(model, *train_whole(model, parts, rate))
 
             averaged(self.model, self._summed(training.where(F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(ROUNDS)) == turn), compute, shape))
             held.unpersist()
 
     def score(self) -> DataFrame:
-        ends, begun = self.ends, self.begun
-        end_log, known_end = float(np.log10(ends + 0.5)), int(ends > 0)
-        path, held = self.path, self.spark.sparkContext.broadcast((self.head, self.model))  # HEAD words and a model of fixed size
+        held = self.spark.sparkContext.broadcast((self.model, self.head_counts, self.begun, opening_ids(self.path)))  # of fixed sizes
 
         def run(batches):
-            head, model = held.value
-            bpe, get = encoder(path), head.get
-            ids_of = _Known(lambda w: np.array(word_ids(w, bpe), "<u4").tobytes())
-            end = np.array([END], "<u4").tobytes()
-            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            for b in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
-                out = {k: [] for k in ("n_tokens", "head_log", "head_known", "score", "words", "whole", "spelled")}
-                sequences, cuts, shares, tails = [], [], [], []
-                for text in b.column("text"):
-                    words = words_of(text.as_py())
-                    got = np.fromiter(map(get, words, repeat(0)), np.float64, len(words))
-                    known = got > 0
-                    tails.append(np.flatnonzero(~known))
-                    out["n_tokens"].append(len(words) + 1)
-                    out["head_log"].append(float(np.log10(got[known] + 0.5).sum()) + end_log)
-                    out["head_known"].append(int(known.sum()) + known_end)
-                    out["words"].append([words[i] for i in tails[-1].tolist()])
-                    encoded = [*map(ids_of.__getitem__, words), end]
-                    sequences.append(np.frombuffer(b"".join(encoded), "<u4").astype(np.int64))
-                    cuts.append(np.cumsum([0, *map(len, encoded[:-1])]) // 4)
-                    shares.append(np.append(got, ends))
-                for ids, cut, share, tail, (p, opening) in zip(sequences, cuts, shares, tails, batch_log_probs(model, sequences)):
-                    whole, spelled = terms(model, ids, cut, begun, p, opening)
-                    here = np.ones(len(cut), bool)
-                    here[tail] = False
-                    out["score"].append(mixed(whole[here], share[here], spelled[here]))
-                    out["whole"].append(whole[tail])
-                    out["spelled"].append(spelled[tail])
-                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("held_out"), *(pa.array(v, t) for v, t in zip(out.values(), kinds))], names=["uid", "doc_id", "held_out", *out])
-
-        state = common.written(self.rows.mapInArrow(run, _STATE), self.spark)
-        known = self.counts
+            model, counts, begun, opens = held.value
+            kinds = (pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            for whole in batches:
+                ends = np.cumsum([len(x.as_buffer()) for x in whole.column("ids")])
+                cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, chunks.SLICE_BYTES), "left").tolist()
+                for a, z in zip(cuts, [*cuts[1:], whole.num_rows]):
+                    if a == z:
+                        continue
+                    b = whole.slice(a, z - a)
+                    (ids, lengths), = _documents([b])
+                    rank = np.frombuffer(b"".join(x.as_buffer() for x in b.column("ranks")), "<i4")
+                    words = (b.column("n_tokens").to_numpy()).astype(np.int64)
+                    p, opening = log_probs(model, ids, lengths)
+                    score, both, tail = mixed(model, ids, opens, begun, p, opening, rank, counts)
+                    begin = np.cumsum(words) - words
+                    at = pa.array(np.r_[np.r_[0, np.cumsum(tail)][begin], tail.sum()].astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in both]
+                    yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("uid", "doc_id", "held_out", "n_tokens", "head_log", "head_known")), pa.array(np.add.reduceat(score, begin)), b.column("words"), *lists], names=["uid", "doc_id", "held_out", "n_tokens", "head_log", "head_known", "score", "words", "whole", "spelled"])
+
+        state = common.written(self.coded.mapInArrow(run, _STATE), self.spark)
+        common.discard(self.coded)
         tail = state.select("uid", F.explode(F.arrays_zip("words", "whole", "spelled")).alias("t")).select("uid", F.col("t.words").alias("word"), F.col("t.whole").alias("whole"), F.col("t.spelled").alias("spelled"))
         c = F.coalesce("c", F.lit(0))
         both = F.log10(F.lit(MIX) * F.col("whole") * c + F.lit(1 - MIX) * F.col("spelled") + F.lit(1e-300))
-        tail = tail.join(known, "word", "left").groupBy("uid").agg(F.sum(F.log10(c + 0.5)).alias("tail_log"), F.sum((c > 0).cast("long")).alias("tail_known"), F.sum(both).alias("tail_score"))
+        tail = tail.join(self.counts, "word", "left").groupBy("uid").agg(F.sum(F.log10(c + 0.5)).alias("tail_log"), F.sum((c > 0).cast("long")).alias("tail_known"), F.sum(both).alias("tail_score"))
         norm = float(np.log10(self.tokens + 0.5 * (self.distinct + 1)))
         return state.drop("words", "whole", "spelled").join(tail, "uid", "left").select(
             "doc_id", "held_out", "n_tokens",
@@ -560,49 +649,31 @@ class Scorer:
         )
 
 
-def batch_log_probs(model: Model, sequences: list[np.ndarray], most: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Natural log-probability of the class of every id of each sequence, and of a word's beginning there; blocks of several documents are scored together."""
-    offsets = np.cumsum([0, *map(len, sequences)])
-    out, begins = np.zeros(offsets[-1]), np.zeros(offsets[-1])
-    cells, size = [], 0
+def log_probs(model: Model, ids: np.ndarray, lengths: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log-probability of the class of every id of documents, and of a word's beginning there; ``most`` blocks are scored together."""
+    before, after, _, first, place = blocks(ids, lengths)
+    most, p, opening = most or MOST, np.empty(before.size), np.empty(before.size)
+    for a in range(0, len(before), most):
+        lo = max(0, a - 1)  # the block before is context only
+        got = model.log_probs(before[lo : a + most], first[lo : a + most], model.class_of[after[lo : a + most]])
+        for out, x in zip((p, opening), got):
+            out[a * BLOCK : (a + most) * BLOCK] = x[(a - lo) * BLOCK :]
+    return p[place], opening[place]
 
-    def flush():
-        nonlocal cells, size
-        if cells:
-            before, after = (np.concatenate([c[k] for c in cells]) for k in (0, 1))
-            first = np.concatenate([c[2] for c in cells])
-            p, opening = model.log_probs(before, first, model.class_of[after])
-            at = 0
-            for b, _, _, lead, begin, n in cells:
-                out[begin : begin + n] = p[at + lead * BLOCK : at + lead * BLOCK + n]
-                begins[begin : begin + n] = opening[at + lead * BLOCK : at + lead * BLOCK + n]
-                at += b.size
-        cells, size = [], 0
-
-    for i, s in enumerate(sequences):
-        before, after, _ = blocks(s)
-        for a in range(0, len(before), most):
-            lead = 1 if a else 0  # the block before is context only
-            b = before[a - lead : a + most]
-            cells.append((b, after[a - lead : a + most], np.arange(len(b)) == 0, lead, offsets[i] + a * BLOCK, min(len(s) - a * BLOCK, most * BLOCK)))
-            size += len(b)
-            if size >= most:
-                flush()
-    flush()
-    return [(out[a:z], begins[a:z]) for a, z in zip(offsets[:-1], offsets[1:])]
-
-
-def terms(model: Model, ids, cut, begun, p, opening) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word and the end: the probability of its class by the number of words that begin in it, and that of its ids. cut: where words begin; p, opening: of ``batch_log_probs``."""
-    begin = opening[cut]
-    spelled = np.add.reduceat(p + model.log_share[ids], cut) - begin
-    spelled[:-1] += begin[1:]  # the word ends there
-    return np.exp(p[cut] - begin) / begun[model.class_of[ids[cut]]], np.exp(spelled)
 
+def mixed(model: Model, ids, opens, begun, p, opening, rank, counts) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """log10 probability of each word and end (0 outside the head); outside it the probability of the class by the words that begin in it, and that of the ids; which are outside.
 
-def mixed(whole, count, spelled) -> float:
-    """log10 probability of words. whole, spelled: of ``terms``; count: how often the words occur in training."""
-    return float(np.log10(MIX * whole * count + (1 - MIX) * spelled + 1e-300).sum())
+    p, opening: of ``log_probs``; rank: of the words in the head, whose counts follow; begun: words that begin in each class.
+    """
+    cut = np.flatnonzero(opens[ids])
+    begin = opening[cut]
+    spelled = np.add.reduceat(p + model.log_share[ids], cut) - begin
+    spelled += np.where(ids[cut] == END, 0, np.append(begin[1:], 0))  # the word ends there
+    whole, spelled = np.exp(p[cut] - begin) / begun[model.class_of[ids[cut]]], np.exp(spelled)
+    tail = rank < 0
+    score = np.where(tail, 0, np.log10(MIX * whole * counts[rank] + (1 - MIX) * spelled + 1e-300))
+    return score, [whole[tail], spelled[tail]], tail
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -50,40 +50,113 @@ def test_odd_rows(spark):
     assert lm.Scorer(df.limit(0)).score().count() == 0
 
 
-def test_gradients():
-    rng = np.random.default_rng(1)
+def random_model(seed, factor=1.0):
+    rng = np.random.default_rng(seed)
     n = lm.SINGLES + 2 * lm.GROUPS
     m = lm.Model(n, rng, np.arange(lm.IDS) % n, np.zeros(lm.IDS), 50)
-    for k in m.NAMES:
-        setattr(m, k, getattr(m, k).astype(np.float64))
-    m.B += rng.normal(0, 0.3, m.B.shape)
+    m.flat = m.flat * np.float32(factor) + rng.normal(0, 0.1, len(m.flat)).astype(np.float32)
+    return m, rng, n
+
+
+def flattened(sequences):
+    return np.concatenate(sequences), np.array([*map(len, sequences)])
+
+
+def scored(m, sequences, most=None):
+    ids, lengths = flattened(sequences)
+    return np.split(lm.log_probs(m, ids, lengths, most)[0], np.cumsum(lengths)[:-1])
+
+
+def plain(m, s):
+    """The model written out, one place after another, in double precision."""
+    w = {k: v.astype(float) for k, v in m.views(m.flat).items()}
+    e, inputs = m.E.astype(float), np.r_[lm.END, s[:-1]]
+    out, opening = [], []
+    for i, target in enumerate(m.class_of[s].tolist()):
+        x, begin = e[inputs[i]], i // lm.BLOCK * lm.BLOCK
+        weight, value = [], []
+        for j in range(max(0, begin - lm.BLOCK), i + 1):
+            score = x @ w["Q"] @ (e[inputs[j]] @ w["K"]) / np.sqrt(lm.DIM) + w["B"][i - begin, j - begin + lm.BLOCK]
+            weight.append((1 + score / lm.POWER) ** lm.POWER)
+            value.append(e[inputs[j]] @ w["V"])
+        h = x + (np.array(weight) @ np.array(value) / sum(weight)) @ w["O"]
+        z = np.append(h + np.maximum(h @ w["W1"] + w["c1"], 0) @ w["W2"], 1)
+        outer = z @ w["U"]
+        inner = (z @ w["S"][m.family[target]])[: (m.family == m.family[target]).sum()]
+        log_sum = lambda v: v.max() + np.log(np.exp(v - v.max()).sum())
+        out.append(outer[m.family[target]] - log_sum(outer) + inner[m.slot[target]] - log_sum(inner))
+        opening.append(log_sum(outer[: m.opening]) - log_sum(outer))
+    return np.array(out), np.array(opening)
+
+
+def test_forward_pass_as_written_out():
+    m, rng, n = random_model(5)
+    sequences = [rng.integers(0, lm.IDS, k) for k in (1, 40, 100)]
+    ids, lengths = flattened(sequences)
+    p, opening = lm.log_probs(m, ids, lengths)
+    want = [plain(m, s) for s in sequences]
+    assert np.allclose(p, np.concatenate([x for x, _ in want]), atol=1e-3)
+    assert np.allclose(opening, np.concatenate([x for _, x in want]), atol=1e-3)
+
+
+def test_scores_are_those_of_the_plain_model(spark, sf_dir):
+    """Every score from the written-out forward pass, the mixture and counts, word by word."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 400").limit(25)
+    scorer = lm.Scorer(docs)
+    rows, m, bpe = docs.collect(), scorer.model, lm.encoder(scorer.path)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    c = Counter(w for r in rows if not fold(r.doc_id) for w in words(r.text))
+    ends = sum(not fold(r.doc_id) for r in rows)
+    begun = Counter({m.class_of[lm.END]: ends})
+    for w, k in c.items():
+        begun[m.class_of[bpe.encode_ordinary(" " + w)[0]]] += k
+    got = {r.doc_id: r.score for r in scorer.score().collect()}
+    for r in rows:
+        own = [bpe.encode_ordinary(" " + w) for w in words(r.text)] + [[lm.END]]
+        ids = np.array([i for x in own for i in x])
+        p, opening = plain(m, ids)
+        at, want = 0, 0.0
+        for w, x in zip([*words(r.text), None], own):
+            spelled = p[at : at + len(x)].sum() + m.log_share[x].sum() - opening[at] + (opening[at + len(x)] if w is not None else 0)
+            whole = np.exp(p[at] - opening[at]) * (ends if w is None else c[w]) / max(1, begun[m.class_of[x[0]]])
+            want += math.log10(lm.MIX * whole + (1 - lm.MIX) * math.exp(spelled) + 1e-300)
+            at += len(x)
+        assert abs(got[r.doc_id] - want) < 1e-3 * (1 + abs(want))
+
+
+def test_gradients():
+    m, rng, n = random_model(1)
+    m.flat, m.E, m.gap = m.flat.astype(np.float64), m.E.astype(np.float64), m.gap.astype(np.float64)
     c, t = rng.integers(0, n, (4, lm.BLOCK)), rng.integers(0, n, (4, lm.BLOCK))
     first, real = np.array([True, False, True, False]), rng.random((4, lm.BLOCK)) < 0.8
-    _, g = m.gradients(c, first, t, real)
-    for k in m.NAMES:
-        w = getattr(m, k)
-        for _ in range(4):
-            at = tuple(rng.integers(0, s) for s in w.shape)
-            old, d = w[at], []
-            for e in (1e-5, -1e-5):
-                w[at] = old + e
-                d.append(m.gradients(c, first, t, real)[0])
-            w[at] = old
-            assert abs((d[0] - d[1]) / 2e-5 - g[k][at]) < 1e-5, k
+
+    def slope(w, at):
+        old, d = w[at], []
+        for e in (1e-5, -1e-5):
+            w[at] = old + e
+            d.append(m.gradients(c, first, t, real)[0])
+        w[at] = old
+        return (d[0] - d[1]) / 2e-5
+
+    _, own, rows, flat = m.gradients(c, first, t, real)
+    assert own.tolist() == sorted(set(c.ravel().tolist()))
+    for k, begin, end, _ in m.spans:
+        for at in rng.integers(begin, end, 6).tolist():
+            assert abs(slope(m.flat, at) - flat[at]) < 1e-5, k
+    for i in range(6):
+        assert abs(slope(m.E, (own[i], i)) - rows[i, i]) < 1e-5
 
 
 def test_each_id_is_scored_once_whatever_the_batch():
-    rng = np.random.default_rng(2)
-    n = lm.SINGLES + 2 * lm.GROUPS
-    m = lm.Model(n, rng, np.arange(lm.IDS) % n, np.zeros(lm.IDS), 50)
+    m, rng, n = random_model(2, factor=3)
     sequences = [rng.integers(0, lm.IDS, k) for k in (1, 31, 32, 33, 700, 5000)]
-    one = [lm.batch_log_probs(m, [s])[0][0] for s in sequences]
-    for a, (b, _), (c, _) in zip(one, lm.batch_log_probs(m, sequences), lm.batch_log_probs(m, sequences, most=3)):
-        assert np.allclose(a, b, atol=1e-3) and np.allclose(a, c, atol=1e-3)
+    one = [scored(m, [s])[0] for s in sequences]
+    for a, b, c in zip(one, scored(m, sequences), scored(m, sequences, most=3)):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-3) and np.allclose(a, c, rtol=1e-4, atol=1e-3)
     # a later id doesn't change an earlier score
     s = sequences[4].copy()
     s[500:] = 7
-    assert np.allclose(lm.batch_log_probs(m, [s])[0][0][:500], one[4][:500], atol=1e-3)
+    assert np.allclose(scored(m, [s])[0][:500], one[4][:500], rtol=1e-4, atol=1e-3)
 
 
 def test_words_outside_the_head_keep_their_counts(spark, sf_dir, monkeypatch):
@@ -109,23 +182,25 @@ def test_every_training_document_is_learned_from_whole(spark, monkeypatch):
 def test_long_texts_are_learned_from_to_their_end():
     rng = np.random.default_rng(3)
     n = lm.SINGLES + 2 * lm.GROUPS
-    class_of = np.minimum(np.arange(lm.IDS), n - 1)
-    m = lm.Model(n, rng, class_of, np.zeros(lm.IDS), 50)
+    m = lm.Model(n, rng, np.minimum(np.arange(lm.IDS), n - 1), np.zeros(lm.IDS), 50)
     s = np.r_[rng.integers(0, 20, 30_000), np.tile([40, 41], 20_000)]
-    before = lm.batch_log_probs(m, [s])[0][0][-2000:].mean()
-    assert lm.train_whole(m, [s], 0.01)[0] == len(s)
-    assert lm.batch_log_probs(m, [s])[0][0][-2000:].mean() > before + 1
+    before = scored(m, [s])[0][-2000:].mean()
+    assert lm.train_whole(m, [flattened([s])], 0.01)[0] == len(s)
+    assert scored(m, [s])[0][-2000:].mean() > before + 1
 
 
 def test_attention_sees_each_id_and_the_block_before():
-    rng = np.random.default_rng(4)
-    n = lm.SINGLES + 2 * lm.GROUPS
-    m = lm.Model(n, rng, np.arange(lm.IDS) % n, np.zeros(lm.IDS), 50)
-    m.U *= 10
-    s = rng.integers(0, lm.IDS, 64)
-    one = lm.batch_log_probs(m, [s])[0][0]
+    m, rng, n = random_model(4)
+    s = rng.integers(0, lm.IDS // n * n - n, 64)
+    one = scored(m, [s])[0]
     other = s.copy()
-    other[30] = (s[30] + n) % (lm.IDS // n * n)  # another id of the same class, 33 before the last
-    two = lm.batch_log_probs(m, [other])[0][0]
-    assert m.class_of[other[30]] == m.class_of[s[30]] or s[30] >= lm.IDS // n * n
-    assert np.array_equal(one[:30], two[:30]) and abs(one[63] - two[63]) > 1e-5
+    other[30] = s[30] + n  # another id of the same class, 33 before the last
+    two = scored(m, [other])[0]
+    assert m.class_of[other[30]] == m.class_of[s[30]]
+    assert np.allclose(one[:31], two[:31], atol=1e-5) and abs(one[63] - two[63]) > 1e-5
+
+
+def test_words_longer_than_any_piece(spark):
+    text = "ab" * 20_000
+    (row,) = lm.Scorer(spark.createDataFrame([(3, text)], "doc_id long, text string")).score().collect()
+    assert row.n_tokens == 2 and math.isfinite(row.score)
