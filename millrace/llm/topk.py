@@ -13,9 +13,9 @@ score. For an annulus [lo, hi] around p whose largest norm is m, the triangle in
 
 so shards and then blocks whose bound is below tau are left out; the others are expanded in
 the order of their bounds while tau rises. Bounds carry a relative slack, scores are exact
-integers. Queries travel in blocks, and only to the shards their bounds admit; what is sent to
-Python workers of every task is one interval per shard and pivot, bounded by the session's
-partitions plus the pivots.
+integers. Queries travel in blocks, and only to the shards their bounds admit; index blocks only
+to the groups of queries that ask for their shard. What is sent to Python workers of every task
+is one interval per shard and pivot: a row for SHARD_ROWS vectors, plus partitions and pivots.
 
 Cases: vectors that are null, or hold null or non-finite components, and rows without an id
 take no part; vectors of different lengths are never compared; rows that repeat an id are all
@@ -40,6 +40,8 @@ BLOCK = 2048
 QUERY_BLOCK = 256
 #: Query blocks that one task holds at most.
 QUERY_GROUP = 64
+#: Vectors that a shard is meant to hold at most.
+SHARD_ROWS = 200_000
 SLACK = 1e-9
 _KEYED = "vec_id long, dim int, pivot int, dist double, ints binary"
 _BLOCKS = "shard int, dim int, pivot int, lo double, hi double, norm double, n int, ids binary, ints binary"
@@ -159,9 +161,20 @@ class TopK:
                 held = held.slice(done)
 
         keyed = good.mapInArrow(key, _KEYED)
-        dealt = keyed.repartitionByRange(common.parts(self.spark), "dim", "pivot", "dist", "vec_id").sortWithinPartitions("dim", "pivot", "dist", "vec_id", "ints")
+        shards = max(common.parts(self.spark), -(-good.count() // SHARD_ROWS))
+        dealt = keyed.repartitionByRange(shards, "dim", "pivot", "dist", "vec_id").sortWithinPartitions("dim", "pivot", "dist", "vec_id", "ints")
         self.blocks = common.written(dealt.select("*", F.spark_partition_id().alias("shard")).mapInArrow(block, _BLOCKS))
 
+    def meetings(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Query blocks and index blocks by shard and group of queries.
+
+        A group is a run of QUERY_GROUP query blocks of one task, which lie near each other; an index block goes to
+        the groups that ask for its shard and to no others.
+        """
+        left = asked.select(F.explode("shards").alias("shard"), F.floor(F.col("number") / QUERY_GROUP).alias("part"), "number", "dim", "ids", "ints", "taus")
+        right = self.blocks.join(left.select("shard", "part").distinct(), "shard")
+        return left, right.select("shard", (F.col("part") + 0).alias("part"), "dim", "pivot", "lo", "hi", "norm", "n", "ids", "ints")
+
     def search(self, every: int, k: int = 10) -> DataFrame:
         """query_id, rank, vec_id, score: the k best of each vector whose id is divisible by every."""
         pivots = self.pivots
@@ -170,24 +183,33 @@ class TopK:
         intervals = sorted((r.dim, r.shard, r.pivot, r.lo, r.hi, r.norm) for r in plan)
 
         def queries(batches):
-            for b in batches:
-                for r in b.to_pylist():
-                    ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ints"], np.int64).reshape(r["n"], -1)
-                    mine = np.flatnonzero(ids % every == 0)
-                    for a in range(0, len(mine), QUERY_BLOCK):
-                        at = mine[a : a + QUERY_BLOCK]
-                        scores = products(x[at], x)
-                        scores[ids[at][:, None] == ids] = np.iinfo(np.int64).min
-                        taus = np.partition(scores, len(ids) - k, 1)[:, -k] if len(ids) > k else np.full(len(at), np.iinfo(np.int64).min)
-                        shards = {s for dim, s, p, lo, hi, norm in intervals if dim == r["dim"] and (bounds(x[at], _pivots_of(pivots, dim)[p], lo, hi, norm) >= taus).any()}
-                        yield pa.RecordBatch.from_pydict({"dim": pa.array([r["dim"]], pa.int32()), "ids": [ids[at].tobytes()], "ints": [x[at].tobytes()], "taus": [taus.astype(np.int64).tobytes()], "shards": pa.array([sorted(shards)], pa.list_(pa.int32()))})
-
-        asked = self.blocks.mapInArrow(queries, _QUERIES)
-        asked = common.written(asked.withColumn("number", F.monotonically_increasing_id()))
-        groups = max(1, -(-asked.count() // QUERY_GROUP))
-        # a group of query blocks meets the blocks of one shard; the index is read once for each group
-        left = asked.select(F.explode("shards").alias("shard"), (F.xxhash64("number") % groups).alias("part"), "number", "dim", "ids", "ints", "taus")
-        right = self.blocks.withColumn("part", F.explode(F.sequence(F.lit(-groups + 1), F.lit(groups - 1)))).select("shard", F.col("part").cast("long").alias("part"), "dim", "pivot", "lo", "hi", "norm", "n", "ids", "ints")
+            """Blocks of queries of one pivot, filled across index blocks."""
+            held, kind = [], None
+
+            def flush():
+                ids, x, taus = (np.concatenate([h[k] for h in held]) for k in range(3))
+                dim = kind[0]
+                shards = {s for own, s, p, lo, hi, norm in intervals if own == dim and (bounds(x, _pivots_of(pivots, dim)[p], lo, hi, norm) >= taus).any()}
+                held.clear()
+                return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [ids.tobytes()], "ints": [x.tobytes()], "taus": [taus.astype(np.int64).tobytes()], "shards": pa.array([sorted(shards)], pa.list_(pa.int32()))})
+
+            for r in (row for b in batches for row in b.to_pylist()):
+                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ints"], np.int64).reshape(r["n"], -1)
+                mine = np.flatnonzero(ids % every == 0)
+                for a in range(0, len(mine), QUERY_BLOCK):
+                    at = mine[a : a + QUERY_BLOCK]
+                    scores = products(x[at], x)
+                    scores[ids[at][:, None] == ids] = np.iinfo(np.int64).min
+                    taus = np.partition(scores, len(ids) - k, 1)[:, -k] if len(ids) > k else np.full(len(at), np.iinfo(np.int64).min)
+                    if held and (kind != (r["dim"], r["pivot"]) or sum(len(h[0]) for h in held) + len(at) > QUERY_BLOCK):
+                        yield flush()
+                    kind = r["dim"], r["pivot"]
+                    held.append((ids[at], x[at], taus))
+            if held:
+                yield flush()
+
+        asked = common.written(self.blocks.mapInArrow(queries, _QUERIES).withColumn("number", F.monotonically_increasing_id()))
+        left, right = self.meetings(asked)
 
         def meet(q, x):
             rows = x.to_pylist()
@@ -215,7 +237,7 @@ class TopK:
                     out_q.append(np.full(len(vec), ids[i]))
                     out_i.append(vec)
                     out_s.append(score)
-                    out_k.append(np.full(len(vec), r["number"] * QUERY_BLOCK + i))
+                    out_k.append(np.full(len(vec), r["number"] * (QUERY_BLOCK + 1) + i))
             join = lambda p: pa.array(np.concatenate(p).astype(np.int64) if p else np.zeros(0, np.int64))
             return pa.Table.from_arrays([join(out_q), join(out_i), join(out_s), join(out_k)], names=["query_id", "vec_id", "score", "row"])
 

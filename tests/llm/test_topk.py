@@ -30,3 +30,28 @@ def test_few_repeated_and_no_rows(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.TopK(df).search(20, 10).collect())
     assert got == [(0, 1, 1, 1024 * 512), (0, 2, 1, 1024 * 512)]
     assert topk.TopK(df.limit(0)).search(20).count() == 0
+
+
+def test_index_blocks_go_only_where_bounds_admit(spark, monkeypatch):
+    """Clusters that are far apart: the exchanged index rows are those of the admitted (shard, group) pairs."""
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 1)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    centres = np.eye(8) * 40
+    df = spark.createDataFrame([(i, (centres[i % 8] + rng.normal(0, 0.1, 8)).tolist()) for i in range(1600)], "vec_id long, embedding array<double>")
+    index, seen, own = topk.TopK(df), [], topk.TopK.meetings
+
+    def meetings(self, asked):
+        left, right = own(self, asked)
+        pairs = {(r.shard, r.part) for r in left.select("shard", "part").collect()}
+        per_shard = {r.shard: r["count"] for r in self.blocks.groupBy("shard").count().collect()}
+        seen.append((right.count(), sum(per_shard[s] for s, _ in pairs), sum(per_shard.values()) * len({p for _, p in pairs})))
+        return left, right
+
+    monkeypatch.setattr(topk.TopK, "meetings", meetings)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in index.search(20, 10).collect())
+    assert got == brute(rows, 20, 10)
+    moved, admitted, every = seen[0]
+    assert moved == admitted < every
