@@ -34,6 +34,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -341,8 +342,7 @@ def sharing(raw: list[bytes], back: list[int]) -> np.ndarray:
 
 def _shard(table: pa.Table) -> pa.Table:
     """Marks repeated windows of a shard's phrases by the run-length index."""
-    ids = table["doc_id"].to_numpy(zero_copy_only=False)
-    ids = np.where(np.isnan(ids), _LAST, ids).astype(np.int64) if ids.dtype.kind == "f" else ids
+    ids = pc.fill_null(table["doc_id"], int(_LAST)).to_numpy()
     uid, start = table["uid"].to_numpy(), table["start"].to_numpy()
     raw = table["bytes"].to_pylist()
     near = sharing(raw, table["back"].to_pylist())

@@ -86,3 +86,14 @@ def test_one_file_read_by_several_tasks(spark):
     finally:
         hadoop.unset("parquet.block.size")
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize("index", [20_000, 1])
+def test_null_and_large_ids_at_branching_anchors(spark, monkeypatch, index):
+    monkeypatch.setattr(suffix, "INDEX_PHRASES", index)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, f"{word()} {passage[rng.randrange(40):-rng.randrange(1, 40)]} {word()}") for i in [None, 5, 9, 2**60 + 1, 2**60, 2**53 + 1, 2**53, 2**62]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    check(suffix.remove_repeats(df).collect(), rows)
