@@ -65,7 +65,7 @@ def buckets(token: str) -> list[int]:
     if token[0] == "\x02":
         return [zlib.crc32(token.encode()) % BUCKETS]
     edged = f"<{token}>"
-    grams = {edged[i : i + n] for n in NGRAMS for i in range(len(edged) - n + 1)} if len(edged) < 200 else {edged[i : i + 3] for i in range(len(edged) - 2)}
+    grams = {edged[i : i + n] for n in NGRAMS for i in range(len(edged) - n + 1)}
     return [zlib.crc32(token.encode()) % BUCKETS, *(zlib.crc32(b"\x01" + g.encode()) % BUCKETS for g in grams)]
 
 
