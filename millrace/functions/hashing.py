@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,39 @@ def same_identity(saved: dict | None, now: dict, override: bool = False) -> None
     if saved is not None and saved != now and not override:
         changed = sorted(k for k in {*saved, *now} if saved.get(k) != now.get(k))
         raise ValueError(f"run identity changed: {', '.join(changed)}")
+
+
+def file_sha256(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, sha256 of whole files, worked out by the executors; each must fit a row."""
+    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def streamed_sha256(path: str) -> str:
+    """SHA-256 of one file of any size, read in pieces on the driver."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def cache_key(tokenizer_json: str, suffix: str, files: list[tuple[str, int, int]]) -> str:
+    """20 hex digits for a tokenizer, a purpose and files (path, bytes, time of change)."""
+    return canonical_digest(["encoded-cache", tokenizer_json, suffix, [list(f) for f in files]])[:20]
+
+
+def id_bytes(ids: Column) -> Column:
+    """An array of ids as little-endian 32-bit integers, one after another."""
+    swapped = lambda x: F.concat(*(F.substring(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), i, 2) for i in (7, 5, 3, 1)))
+    return F.unhex(F.array_join(F.transform(ids, swapped), ""))
+
+
+def dataset_identity(examples: DataFrame, order: str, ids: list[str], by: list[str]) -> DataFrame:
+    """SHA-256 of each group's examples in order: of the digests of the 32-bit bytes of their id columns."""
+    mark = F.sha2(F.concat(*map(id_bytes, map(F.col, ids))), 256)
+    return combined(examples.select(*by, order, mark.alias("mark")), order, "mark", by)
+
+
+def run_identities(corpora: list[dict], tokenizer_sha256: str, files: dict[str, str], settings: dict) -> dict:
+    """What a run must agree on to be continued: corpora and their builds, tokenizer, file digests, settings."""
+    return {
+        "corpora": [{k: c.get(k) for k in ("name", "path", "build_fingerprint", "documents", "tokens")} for c in sorted(corpora, key=lambda c: c["name"])],
+        "tokenizer_sha256": tokenizer_sha256.lower(), "files": dict(sorted(files.items())), "settings": canonical_digest(settings),
+    }

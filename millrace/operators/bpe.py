@@ -11,6 +11,9 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.session import checkpoint_folder
 
 # The published pattern of byte-level pre-tokens.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,10 +46,7 @@ def merged(words: DataFrame, a: str, b: str) -> DataFrame:
 def train(docs: DataFrame, merges: int, min_frequency: int = 2, every: int = 20) -> list[tuple[str, str]]:
     """The first merges, most frequent pair first, ties to the smaller pair; lineage is cut every so many rounds."""
     spark = docs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpoint_folder(spark)
     words, out = word_counts(docs).checkpoint(), []
     for i in range(merges):
         best = pair_counts(words).where(F.col("count") >= min_frequency).orderBy(F.desc("count"), "a", "b").limit(1).collect()
@@ -61,7 +61,7 @@ def train(docs: DataFrame, merges: int, min_frequency: int = 2, every: int = 20)
 
 def encode(docs: DataFrame, tokenizer_path: str, eos: int, text: str = "text") -> DataFrame:
     """docs with ids: NFC, the tokenizer file's own rules, the end id unless it is there; blank texts and empty results go. Map-only."""
-    out = docs.schema.add("ids", "array<int>").add("n_tokens", "int")
+    out = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())])
     names = [f.name for f in out]
     place = docs.columns.index(text)
 
@@ -78,3 +78,55 @@ def encode(docs: DataFrame, tokenizer_path: str, eos: int, text: str = "text") -
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
 
     return docs.mapInArrow(run, out)
+
+
+def decode(encoded: DataFrame, tokenizer_path: str, special: int, ids: str = "ids") -> DataFrame:
+    """encoded with a column decoded: the text of the ids, without the special id at their end. Map-only."""
+    out = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
+    names, place = [f.name for f in out], encoded.columns.index(ids)
+
+    def run(batches):
+        from tokenizers import Tokenizer, decoders
+
+        own = Tokenizer.from_file(tokenizer_path)
+        own.decoder = own.decoder or decoders.ByteLevel()
+        for b in batches:
+            rows = [x[:-1] if x and x[-1] == special else x or [] for x in b.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.decode_batch(rows, skip_special_tokens=False), pa.string())], names=names)
+
+    return encoded.mapInArrow(run, out)
+
+
+def token_id(tokenizer_path: str, token: str, fallback: int | None = None) -> int:
+    """The id of a token; a missing one has the fallback or is an error."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(tokenizer_path).token_to_id(token)
+    if found is None and fallback is None:
+        raise ValueError(f"the tokenizer has no token {token!r}")
+    return fallback if found is None else found
+
+
+def quality(encoded: DataFrame, unknown: int, by: list[str], text: str = "text") -> DataFrame:
+    """Bytes a token and unknown tokens of each group of encoded texts; the end id is no token of the text."""
+    n = F.col("n_tokens") - 1
+    return encoded.groupBy(*by).agg((F.sum(F.octet_length(text)) / F.sum(n)).alias("bytes_per_token"), F.sum(F.size(F.filter("ids", lambda i: i == unknown))).cast("long").alias("unknown"))
+
+
+def save(merges: list[tuple[str, str]], special: list[str], path: str) -> None:
+    """A tokenizer file for the library: special tokens first, then the 256 bytes, then the merges (hex symbols) in order."""
+    import json
+
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    symbol = {f"{b:02X}": chr(b if b in shown else next(spare)) for b in range(256)}
+    name = lambda h: "".join(symbol[h[i : i + 2]] for i in range(0, len(h), 2))
+    order = [*special, *symbol.values(), *(name(a + b) for a, b in merges)]
+    spec = {
+        "version": "1.0", "truncation": None, "padding": None, "post_processor": None,
+        "added_tokens": [{"id": i, "content": t, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, t in enumerate(special)],
+        "normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "decoder": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True},
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": {t: i for i, t in enumerate(dict.fromkeys(order))}, "merges": [[name(a), name(b)] for a, b in merges]},
+    }
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f, ensure_ascii=False)

@@ -104,3 +104,49 @@ def phase_changes(log: DataFrame, place: str = "place", phase: str = "phase") ->
 def newest(checkpoints: DataFrame, keep: int, order: str = "step") -> DataFrame:
     """The checkpoints that retention keeps."""
     return checkpoints.orderBy(F.desc(order)).limit(keep)
+
+
+def step_loss(microbatches: DataFrame, aux: float, z: float) -> DataFrame:
+    """Loss of each optimizer step: token losses weigh by supervised tokens, router terms by all packed ones.
+
+    microbatches: step, lm_loss, supervised, valid, router_aux, router_z.
+    """
+    lm = F.sum(F.col("lm_loss") * F.col("supervised")) / F.greatest(F.lit(1), F.sum("supervised"))
+    router = F.sum((aux * F.col("router_aux") + z * F.col("router_z")) * F.col("valid")) / F.greatest(F.lit(1), F.sum("valid"))
+    return microbatches.groupBy("step").agg(lm.alias("lm"), router.alias("router")).withColumn("loss", F.col("lm") + F.col("router"))
+
+
+def sequence_log_prob(losses: Column, labels: Column, ignore: int = -100) -> Column:
+    """Log-probability of a sequence: minus the sum of the token losses whose label counts."""
+    told = F.filter(F.arrays_zip(losses.alias("x"), labels.alias("y")), lambda t: t["y"] != ignore)
+    return -F.aggregate(told, F.lit(0.0), lambda a, t: a + t["x"])
+
+
+def with_reference(policy: DataFrame, reference: DataFrame) -> DataFrame:
+    """Pairs with the log-probabilities of the fixed reference model, by example. Both: example, chosen, rejected."""
+    own = reference.select("example", F.col("chosen").alias("ref_chosen"), F.col("rejected").alias("ref_rejected"))
+    return policy.join(own, "example")
+
+
+def histories(*logs: DataFrame) -> DataFrame:
+    """Metric logs one after another; columns that one doesn't have are null there."""
+    out = logs[0]
+    for x in logs[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
+def parameter_counts(m: dict) -> dict[str, Column]:
+    """Weights of a decoder with grouped attention, routed and shared gated experts. m: Columns or numbers by configuration key.
+
+    Without biases; the head is tied to the embedding.
+    """
+    head = m["n_embd"] / m["n_head"]
+    attention = 2 * m["n_embd"] * m["n_embd"] + 2 * m["n_embd"] * m["n_kv_head"] * head
+    expert, shared = 3 * m["n_embd"] * m["expert_hidden_size"], 3 * m["n_embd"] * m["shared_expert_hidden_size"]
+    out = {
+        "embedding": m["vocab_size"] * m["n_embd"], "attention": m["n_layer"] * attention, "routed_experts": m["n_layer"] * m["n_expert"] * expert,
+        "shared_experts": m["n_layer"] * shared, "routers": m["n_layer"] * m["n_embd"] * m["n_expert"], "norms": (2 * m["n_layer"] + 1) * m["n_embd"],
+    }
+    total = sum(out.values())
+    return out | {"total": total, "active": total - m["n_layer"] * (m["n_expert"] - m["top_k"]) * expert}

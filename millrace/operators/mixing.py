@@ -127,6 +127,39 @@ def cyclic(val: DataFrame, rounds: int) -> DataFrame:
     return val.where("n_tokens >= 2").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
 
 
+def rounds_for(val: DataFrame, predictions: int) -> int:
+    """How often a validation stream must begin again to give so many predictions; an error if no document has any."""
+    total = val.where("n_tokens >= 2").agg(F.sum(F.col("n_tokens") - 1)).first()[0]
+    if not total:
+        raise ValueError("no validation document has two tokens")
+    return -(-predictions // total)
+
+
+def sft_packed(stream: DataFrame, order: list[str], budget: int, longest: int) -> DataFrame:
+    """Examples one after another in microbatches of ``budget`` predictions; a cut example goes on in the next one.
+
+    stream: the columns of order, example, n_tokens (at least 2 to count). Gives microbatch, slot, example, offset,
+    predictions (at most ``longest``); a last batch that isn't full goes.
+    """
+    k = (F.col("n_tokens") - 1).cast("long")
+    placed = running(stream.where("n_tokens >= 2").withColumn("k", k), order, F.col("k"), rank="_rank", before="at").drop("_rank")
+    last = F.floor((F.col("at") + F.col("k") - 1) / budget)
+    spread = placed.withColumn("microbatch", F.explode(F.sequence(F.floor(F.col("at") / budget).cast("long"), last.cast("long"))))
+    begin = F.greatest(F.col("at"), F.col("microbatch") * budget)
+    end = F.least(F.col("at") + F.col("k"), (F.col("microbatch") + 1) * budget)
+    spread = spread.withColumn("_begin", begin).withColumn("_end", end)
+    spread = spread.withColumn("_begin", F.explode(F.sequence(F.col("_begin"), F.col("_end") - 1, F.lit(longest).cast("long"))))
+    out = spread.withColumn("predictions", F.least(F.lit(longest).cast("long"), F.col("_end") - F.col("_begin")))
+    out = out.withColumn("slot", F.col("_begin") - F.col("microbatch") * budget).withColumn("offset", F.col("_begin") - F.col("at"))
+    full = F.sum("predictions").over(Window.partitionBy("microbatch"))  # at most budget rows a group
+    return out.withColumn("_full", full).where(F.col("_full") == budget).drop("_full", "_begin", "_end", "at", "k")
+
+
+def committed(batches: DataFrame, handed_off: int) -> DataFrame:
+    """What each corpus has given in the microbatches that were handed off; those prepared ahead of them don't count."""
+    return batches.where(F.col("microbatch") < handed_off).groupBy("corpus").agg(F.sum("predictions").cast("long").alias("emitted"))
+
+
 def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: int) -> DataFrame:
     """The queue itself, piece by piece, over lengths only: corpus, doc, offset, predictions, microbatch, slot.
 

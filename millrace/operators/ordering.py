@@ -37,3 +37,12 @@ def prefix_budget(df: DataFrame, order: list, size: Column, most: int, count: in
     if count is not None:
         out = out.where(F.col("_rank") < count)
     return out.drop("_rank", "_before")
+
+
+def shard_of(ranks: DataFrame, documents: list[int], rank: str = "rank") -> DataFrame:
+    """ranks with shard and row: the shard in which a rank over all documents lies, and its place there. documents: of each shard, in order."""
+    ends = [sum(documents[: i + 1]) for i in range(len(documents))]
+    bounds = F.array(*map(F.lit, ends)) if ends else F.array().cast("array<int>")
+    shard = F.size(F.filter(bounds, lambda b: b <= F.col(rank)))
+    begin = F.element_at(F.array(*map(F.lit, [0, *ends])), shard + 1)
+    return ranks.where((F.col(rank) >= 0) & (F.col(rank) < (ends[-1] if ends else 0))).withColumn("shard", shard).withColumn("row", F.col(rank) - begin)

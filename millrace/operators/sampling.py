@@ -14,7 +14,7 @@ from millrace.operators.ordering import running
 
 def by_hash(df: DataFrame, by: str, key: str, count: int, seed: int = 0) -> DataFrame:
     """count rows of each group, in the order of a hash: the distribution of a reservoir, whatever the row order."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), by, key), key)
+    w = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), by, key)), key)
     return df.withColumn("sample_ord", F.row_number().over(w) - 1).where(F.col("sample_ord") < count)
 
 
@@ -47,10 +47,27 @@ def reservoir(df: DataFrame, by: str, order: str, count: int, seed: int) -> Data
     return ranked.join(kept, [by, "rank"])
 
 
-def val_positions(n: int, wanted: int, seed: int) -> list[int]:
-    """Validation examples of a supervised set: drawn without replacement, at least one example stays for training."""
+def shuffled(df: DataFrame, position: str, key: str, buffer: int, seed: int) -> DataFrame:
+    """df with out_order, whose ascending order is a local shuffle: a row is put off by less than ``buffer`` places, by a hash of its key.
+
+    A buffer of at most 1 leaves the order. Any row order gives the same result, so nothing has to be replayed.
+    """
+    if buffer <= 1:
+        return df.withColumn("out_order", F.col(position).cast("long"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.withColumn("out_order", F.col(position) + F.pmod(h, F.lit(buffer)))
+
+
+def hash_epochs(examples: DataFrame, key: str, epochs: int, seed: int) -> DataFrame:
+    """examples once an epoch, with epoch and mark, whose order is that epoch's permutation; for any number of rows."""
+    every = examples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    return every.withColumn("mark", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.col(key).cast("string"))))
+
+
+def val_positions(n: int, wanted: int, seed: int, offset: int = 991) -> list[int]:
+    """Validation examples of a supervised set (a preference set has offset 0): drawn without replacement, at least one example stays for training."""
     k = min(max(0, wanted), max(0, n - 1))
-    return sorted(np.random.default_rng(seed + 991).choice(n, k, replace=False).tolist()) if k else []
+    return sorted(np.random.default_rng(seed + offset).choice(n, k, replace=False).tolist()) if k else []
 
 
 def epoch_orders(spark: SparkSession, n: int, epochs: int, seed: int) -> DataFrame:

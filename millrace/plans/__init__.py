@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("corpus_queries", "record_queries", "mixing_queries", "metric_queries", "sampling_queries")
+MODULES = ("corpus_queries", "record_queries", "mixing_queries", "metric_queries", "sampling_queries", "run_queries")
 
 
 def all_queries() -> dict:

@@ -1,10 +1,17 @@
 """Metrics, metric logs, schedules, identities and corpus checks."""
 
+import json
+import uuid
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing, schedule
 from millrace.operators import bpe, metrics
+from millrace.operators.ordering import running
+from millrace.session import checkpoint_folder
 from millrace.sources import corpus
+from millrace.streaming import discovery
 
 
 def _log(spark, sf_dir):
@@ -40,10 +47,11 @@ def packed_flops(spark, sf_dir):
 
 
 def timing_stats(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL")
-    ordered = F.sort_array(F.collect_list("value"))
-    out = e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.expr("percentile(value, 0.5)").alias("median"), ordered.alias("v"))
-    return out.select("event_type", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.element_at("v", F.greatest(F.floor(F.size("v") * 0.95), F.lit(1)).cast("int")).alias("p95"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("event_type", "event_id", "value")
+    stats = e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.expr("percentile(value, 0.5)").alias("median"), F.count("*").alias("n"))
+    ranked = running(e, ["value", "event_id"], by=["event_type"])
+    out = ranked.join(stats, "event_type").where(F.col("rank") == F.greatest(F.floor(F.col("n") * 0.95), F.lit(1)) - 1)
+    return out.select("event_type", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.col("value").alias("p95"))
 
 
 def _logits(spark, sf_dir):
@@ -150,11 +158,15 @@ def bpe_merges(spark, sf_dir):
 
 
 def corpus_discovery(spark, sf_dir):
-    """Sources whose corpora are complete and not known yet."""
+    """Sources whose corpora are complete and not known yet, from their markers."""
+    folder = Path(f"{checkpoint_folder(spark)}/discovery-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:"))
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    markers = d.groupBy("source").agg(F.count("*").alias("documents"), (F.min("doc_id") % 2 == 0).alias("complete"))
-    known = d.where("source IN ('src0', 'src4')").select("source").distinct()
-    return markers.where("complete").join(known, "source", "left_anti").select("source", "documents")
+    for r in d.groupBy("source").agg(F.count("*").alias("documents"), (F.min("doc_id") % 2 == 0).alias("complete")).collect():  # a row a corpus
+        (folder / r.source).mkdir(parents=True)
+        (folder / r.source / "corpus.json").write_text(json.dumps({"documents": r.documents, "complete": r.complete}))
+    known = {str((folder / s).resolve()) for s in ("src0", "src4")}
+    found = [Path(c["path"]).name for c in discovery.complete_corpora(str(folder), known)]
+    return d.where(F.col("source").isin(found)).groupBy("source").agg(F.count("*").alias("documents"))
 
 
 _LOG = "WITH l AS (SELECT event_id AS ord, event_type AS phase, user_id % 4 AS run, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id // 3 AS DOUBLE) END AS tokens, CAST(event_id AS DOUBLE) AS step, value AS loss FROM events)"

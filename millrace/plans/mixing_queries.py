@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from millrace.operators import mixing
 from millrace.operators.ordering import prefix_budget, running
+from millrace.streaming.discovery import late_heads
 
 CORPORA = [{"name": "de", "weight": 0.4}, {"name": "en", "weight": 0.3}, {"name": "es", "weight": 0.2}, {"name": "fr", "weight": 0.1}]
 VAL, SEED, LONGEST, BUDGET = 20, 7, 256, 4096
-LATE = {"fr": 60_000}
+LATE = ["fr"]
 
 
 def _docs(spark, sf_dir):
@@ -58,7 +59,10 @@ def start_tag_mix(spark, sf_dir):
 
 
 def late_corpus_tags(spark, sf_dir):
-    return mixing.tagged(_pieces(spark, sf_dir), CORPORA, LATE).select("corpus", "doc_id", "piece", "k", "tag")
+    """Tags where one corpus comes late: it begins at the least progress of the others, here 500 predictions a document."""
+    progress = _docs(spark, sf_dir).groupBy("corpus").agg((F.count("*") * 500).alias("emitted"))
+    heads = late_heads(progress, LATE, mixing.integer_weights(CORPORA))
+    return mixing.tagged(_pieces(spark, sf_dir), CORPORA, heads).select("corpus", "doc_id", "piece", "k", "tag")
 
 
 def _packed(spark, sf_dir):
@@ -92,24 +96,15 @@ def pack_exact_balance(spark, sf_dir):
 
 
 def packed_batches(spark, sf_dir):
-    """Whole batches with byte ids, joined last."""
-    from millrace.operators.batches import byte_ids
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ids = docs.select("doc_id", F.concat(byte_ids(F.col("text")), F.array(F.lit(256))).alias("ids"))
-    b = mixing.build(_packed(spark, sf_dir).where("microbatch < 8"), ids, ["doc_id"])  # a report of the first batches
-    return b.select("microbatch", F.size("input_ids").alias("n_inputs"), F.size("targets").alias("n_targets"), F.size("position_ids").alias("n_positions"))
-
-
-def packed_batches_all(spark, sf_dir):
-    """Every whole batch with byte ids, joined last: its counts, and digests of its inputs and targets."""
+    """Every whole batch with byte ids, joined last: its counts, and digests of inputs and targets (three hex digits an id) and of positions."""
     from millrace.operators.batches import byte_ids
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = docs.select("doc_id", F.concat(byte_ids(F.col("text")), F.array(F.lit(256))).alias("ids"))
     b = mixing.build(_packed(spark, sf_dir), ids, ["doc_id"])
-    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256)
-    return b.select("microbatch", F.size("input_ids").alias("n_inputs"), F.size("targets").alias("n_targets"), F.size("position_ids").alias("n_positions"), digest("input_ids").alias("inputs_sha256"), digest("targets").alias("targets_sha256"))
+    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), 3, "0")), ""), 256)
+    positions = F.sha2(F.array_join(F.transform("position_ids", lambda x: x.cast("string")), ","), 256)
+    return b.select("microbatch", F.size("input_ids").alias("n_inputs"), digest("input_ids").alias("inputs_sha256"), digest("targets").alias("targets_sha256"), positions.alias("positions_sha256"))
 
 
 _SPLIT = f"""
@@ -140,15 +135,19 @@ ORACLES = {
     "affine_order": _SPLIT + "SELECT corpus, doc_id, train_rank, position FROM p",
     "split_totals": _SPLIT + "SELECT corpus, count(*) AS documents, CAST(sum(CASE WHEN is_val THEN 1 ELSE 0 END) AS BIGINT) AS val_documents, CAST(sum(CASE WHEN is_val THEN 0 ELSE greatest(n_tokens - 1, 0) END) AS BIGINT) AS train_prediction_tokens FROM f GROUP BY corpus",
     "start_tag_mix": _SPLIT + "SELECT corpus, doc_id, piece, k, tag FROM tg",
-    "late_corpus_tags": _SPLIT + "SELECT corpus, doc_id, piece, k, tag + CASE corpus WHEN 'fr' THEN 60000 ELSE 0 END AS tag FROM tg",
+    "late_corpus_tags": _SPLIT + "SELECT corpus, doc_id, piece, k, tag + CASE corpus WHEN 'fr' THEN (SELECT min(500 * n * factor) // 60 * 60 FROM (SELECT DISTINCT corpus, n, factor FROM d) WHERE corpus <> 'fr') ELSE 0 END AS tag FROM tg",
     "pack_microbatches": _SPLIT + "SELECT * FROM pk",
     "batch_boundaries": _SPLIT + f"SELECT microbatch, string_agg(slot, ',' ORDER BY slot) || ',{BUDGET}' AS cu_seqlens, max(predictions) AS max_seqlen, CAST(sum(predictions) AS BIGINT) AS valid_len FROM pk GROUP BY microbatch",
     "emitted_tokens": _SPLIT + "SELECT corpus, CAST(sum(predictions) AS BIGINT) AS emitted, count(DISTINCT doc_id) AS documents FROM pk GROUP BY corpus",
     "step_groups": _SPLIT + "SELECT microbatch // 3 AS step, count(DISTINCT microbatch) AS microbatches, CAST(sum(predictions) AS BIGINT) AS tokens, CAST(sum(predictions * predictions) AS BIGINT) AS squares FROM pk GROUP BY microbatch // 3",
     "val_stream": _SPLIT + "SELECT corpus, doc_id, CAST(unnest(range(0, 3)) AS INTEGER) AS round FROM f WHERE is_val AND n_tokens >= 2",
-    "packed_batches": f"SELECT CAST(unnest(range(0, 8)) AS BIGINT) AS microbatch, {BUDGET} AS n_inputs, {BUDGET} AS n_targets, {BUDGET} AS n_positions",
+    "packed_batches": _SPLIT + """
+        , h AS (SELECT doc_id, regexp_replace(hex(encode(text)), '(..)', '0\\1', 'g') || '100' AS h FROM documents),
+        x AS (SELECT microbatch, slot, predictions, substr(h, 3 * "offset" + 1, 3 * predictions) AS i, substr(h, 3 * "offset" + 4, 3 * predictions) AS t FROM pk JOIN h ON pk.doc_id = h.doc_id)
+        SELECT microbatch, CAST(sum(predictions) AS INTEGER) AS n_inputs, sha256(string_agg(i, '' ORDER BY slot)) AS inputs_sha256, sha256(string_agg(t, '' ORDER BY slot)) AS targets_sha256,
+               sha256(string_agg(array_to_string(range(0, predictions), ','), ',' ORDER BY slot)) AS positions_sha256 FROM x GROUP BY microbatch""",
 }
 QUERIES = {
     f.__name__: f
-    for f in (doc_offsets, global_rank, prefix_byte_budget, val_split, affine_order, split_totals, start_tag_mix, late_corpus_tags, pack_microbatches, batch_boundaries, emitted_tokens, step_groups, val_stream, packed_batches, packed_batches_all, pack_exact_balance)
+    for f in (doc_offsets, global_rank, prefix_byte_budget, val_split, affine_order, split_totals, start_tag_mix, late_corpus_tags, pack_microbatches, batch_boundaries, emitted_tokens, step_groups, val_stream, packed_batches, pack_exact_balance)
 }

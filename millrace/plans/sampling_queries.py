@@ -1,4 +1,4 @@
-"""Samples and seeded orders; generators have no SQL, so these have no oracle."""
+"""Samples and seeded orders; those of generators have no SQL, so they have no oracle."""
 
 from pyspark.sql import functions as F
 
@@ -21,4 +21,6 @@ def sft_epoch_order(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (reservoir_sample, hash_sample, sft_epoch_order)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "hash_sample": "SELECT source, doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes, CAST(row_number() OVER (PARTITION BY source ORDER BY md5('7:' || source || ':' || doc_id), doc_id) - 1 AS INTEGER) AS sample_ord FROM documents QUALIFY sample_ord < 15",
+}

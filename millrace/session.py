@@ -17,3 +17,17 @@ def session(name: str = "millrace", master: str | None = None, **conf: str) -> S
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share. Only local sessions may go without one and get a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="millrace-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder

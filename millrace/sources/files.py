@@ -7,9 +7,13 @@ import fnmatch
 import json
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import strip
+from millrace.operators.ordering import running
+
 PROBE = 64 << 10
 
 
@@ -22,6 +26,14 @@ def input_files(root: str, patterns=("*.jsonl", "*.jsonl.gz", "*.parquet"), excl
     return sorted(p for p in found if not any(fnmatch.fnmatch(p, x) or fnmatch.fnmatch(Path(p).name, x) for x in exclude))
 
 
+def sample_files(root: str, exclude=()) -> list[str]:
+    """The JSON-lines files that a sampler reads; none is an error."""
+    found = input_files(root, ("*.jsonl",), exclude)
+    if not found:
+        raise ValueError(f"no JSON-lines files under {root}")
+    return found
+
+
 def resolve(path: str) -> list[str]:
     """Files of a YAML manifest, a file or a folder. Lists of a manifest are under files or datasets, as paths or {path: ...}."""
     p = Path(path)
@@ -59,35 +71,69 @@ def encoding_of(path: str) -> str:
     return "utf-8"
 
 
-def json_lines(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
-    """file, line, record (VARIANT) of every line that isn't blank.
+def _decoded(batches):
+    """Lines of GB18030 files; what can't be decoded becomes U+FFFD."""
+    for b in batches:
+        lines = [x.decode("gb18030", "replace") for x in b.column("value").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lines, pa.string())], names=b.schema.names)
 
-    Strict readers fail on a line that is no JSON object and name its file; lenient ones leave it out.
-    """
-    by: dict[str, list[str]] = {}
+
+def text_lines(spark: SparkSession, paths: list[str], encodings: dict[str, str] | None = None) -> DataFrame:
+    """file, begin (of the split), id (ascending in a split), line: every line that isn't blank, stripped; byte order marks go."""
+    by: dict[bool, list[str]] = {}
     for p in paths:
-        by.setdefault("gb18030" if encoding_of(p) == "gb18030" else "utf-8", []).append(p)
+        by.setdefault((encodings or {}).get(p, None) == "gb18030" or (not encodings and encoding_of(p) == "gb18030"), []).append(p)
     frames = []
-    for encoding, own in by.items():
-        if encoding == "utf-8":
-            df = spark.read.text(own).select(F.col("_metadata.file_path").alias("file"), "value")
-        else:
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-            raw = spark.read.format("binaryFile").load(own)
-            df = raw.select(F.col("path").alias("file"), F.explode(F.split(F.decode("content", "GB18030"), "\r?\n")).alias("value"))
+    for chinese, own in by.items():
+        # lines are split at the byte 0x0A, which is no part of any longer character in either encoding
+        df = spark.read.text(own).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("id"), "value")
+        if chinese:
+            df = df.withColumn("value", F.col("value").cast("binary")).mapInArrow(_decoded, "file string, begin long, id long, value string")
         frames.append(df)
     if not frames:
-        return spark.createDataFrame([], "file string, line string, record variant")
+        return spark.createDataFrame([], "file string, begin long, id long, line string")
     df = frames[0]
     for x in frames[1:]:
         df = df.unionByName(x)
-    line = F.regexp_replace("value", "^﻿", "")
-    df = df.select("file", line.alias("line")).where(F.trim("line") != "").withColumn("record", F.try_parse_json("line"))
+    return df.select("file", "begin", "id", strip(F.regexp_replace("value", "^\ufeff", "")).alias("line"))
+
+
+def json_lines(spark: SparkSession, paths: list[str], strict: bool = True, max_records: int | None = None) -> DataFrame:
+    """file, line, record (VARIANT) of every line that isn't blank.
+
+    Strict readers fail on a line that is no JSON object and name its file and split (``bad_line`` finds its number);
+    lenient ones leave it out. max_records counts records as they are read, in the order of files and lines.
+    """
+    df = text_lines(spark, paths).where("line <> ''")
+    if max_records is not None:
+        df = running(df, ["file", "begin", "id"], rank="_rank", before="_before").where(F.col("_rank") < max_records)
+    df = df.select("file", "begin", "line", F.try_parse_json("line").alias("record"))
     good = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
     if strict:
-        checked = F.when(good, F.col("record")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("file"))).cast("variant"))
-        return df.withColumn("record", checked)
-    return df.where(good)
+        told = F.concat(F.lit("not a JSON object in "), F.col("file"), F.lit(" after byte "), F.col("begin").cast("string"), F.lit(": "), F.substring("line", 1, 80))
+        df = df.withColumn("record", F.when(good, F.col("record")).otherwise(F.raise_error(told).cast("variant")))
+        return df.select("file", "line", "record")
+    return df.where(good).select("file", "line", "record")
+
+
+def bad_line(spark: SparkSession, paths: list[str]) -> None:
+    """Fail with path:line at the first line, in the order of files, that is neither blank nor a JSON object."""
+    lines = running(text_lines(spark, paths), ["begin", "id"], by=["file"], rank="number", before="_before")
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False))
+    first = lines.where((F.col("line") != "") & ~good).select("file", "number").orderBy("file", "number").first()
+    if first:
+        raise ValueError(f"{first.file}:{first.number + 1}: not a JSON object")
+
+
+def record_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, valid, invalid: records that give a text and those that don't, counted and not raised."""
+    from millrace.functions.records import pretrain_text
+
+    rows = text_lines(spark, paths).where("line <> ''").select("file", F.try_parse_json("line").alias("v"))
+    good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    text = F.when(good, strip(pretrain_text(F.col("v"))))
+    valid = F.coalesce(text != "", F.lit(False))
+    return rows.select("file", valid.alias("ok")).groupBy("file").agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid"))
 
 
 def parquet_records(spark: SparkSession, paths: list[str]) -> DataFrame:

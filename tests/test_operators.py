@@ -167,12 +167,12 @@ def test_packed_batches_of_the_whole_table(spark):
     cells = {}
     for r in mixing_queries.pack_microbatches(spark, sf).collect():
         cells.setdefault(r.microbatch, []).append((r.slot, r.doc_id, r.offset, r.predictions))
-    digest = lambda x: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()
+    digest = lambda x: hashlib.sha256("".join(f"{i:03X}" for i in x).encode()).hexdigest()
     want = []
     for b, own in cells.items():
         x, y = ([i for _, d, a, k in sorted(own) for i in texts[d][a + s : a + s + k]] for s in (0, 1))
-        want.append((b, len(x), len(y), sum(k for *_, k in own), digest(x), digest(y)))
-    got = mixing_queries.packed_batches_all(spark, sf).collect()
+        want.append((b, len(x), digest(x), digest(y)))
+    got = mixing_queries.packed_batches(spark, sf).collect()
     assert len(want) > 8 and sorted(map(tuple, got)) == sorted(want)
 
 
