@@ -171,7 +171,8 @@ def test_packed_batches_of_the_whole_table(spark):
     want = []
     for b, own in cells.items():
         x, y = ([i for _, d, a, k in sorted(own) for i in texts[d][a + s : a + s + k]] for s in (0, 1))
-        want.append((b, len(x), digest(x), digest(y)))
+        places = ",".join(str(i) for *_, k in sorted(own) for i in range(k))
+        want.append((b, len(x), digest(x), digest(y), hashlib.sha256(places.encode()).hexdigest()))
     got = mixing_queries.packed_batches(spark, sf).collect()
     assert len(want) > 8 and sorted(map(tuple, got)) == sorted(want)
 
