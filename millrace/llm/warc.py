@@ -1,12 +1,15 @@
 """WARC records and a Merkle fixity audit of replicas.
 
 Pages become WARC resource records, laid out in files of FILE_SLOTS consecutive ids; a record's
-slot in its file follows from its id, so that a lost record shifts no other. A leaf is the
-SHA-256 of a record with its place and length (an ordered offset range); FANOUT neighbouring
-nodes hash into their parent up to one root a file. An audit compares the roots of two replicas,
+slot in its file follows from its id. A leaf is the SHA-256 of a record with its slot and length;
+FANOUT neighbouring nodes hash into their parent, each with its offset range in it, up to one
+root a file. So a root commits to the place of every byte, while a lost record, which shifts
+those behind it, changes its own ancestors only. An audit compares the roots of two replicas,
 then only the children of nodes that differ, level by level, down to records. Everything is
-grouped by file and node, whose sizes are bounded by FILE_SLOTS; the bytes themselves never
-move, only digests do.
+grouped by file and node, whose sizes are bounded by FILE_SLOTS; of pages only digests move.
+
+``store`` puts records together as the bytes of files, and ``stored`` takes the digests of offset
+ranges from such bytes, so that replicas can be audited as they lie on disk.
 
 Cases: null urls and pages count as empty; rows without an id have no place in a file and are
 left out; rows that repeat an id share its slot, in the order of their bytes' digest; empty
@@ -50,12 +53,15 @@ def layout(pages: DataFrame) -> DataFrame:
 
 
 def tree(records: DataFrame) -> list[DataFrame]:
-    """file, node, hash of each level: records' slots first, the roots last."""
-    digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"]), "")
-    level = records.select("file", F.col("slot").alias("node"), F.col("digest").alias("hash")).groupBy("file", "node").agg(F.sha2(digests, 256).alias("hash"))
+    """file, node, hash, length of each level: records' slots first, the roots last."""
+    own = F.array_join(F.transform(F.array_sort(F.collect_list("digest")), lambda x: x), "")
+    level = records.groupBy("file", F.col("slot").alias("node")).agg(F.sha2(own, 256).alias("hash"), F.sum("length").alias("length"))
+    zero = F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("at"))
+    step = lambda a, x: F.struct(F.concat(a["s"], a["at"].cast("string"), F.lit(":"), x["length"].cast("string"), F.lit(":"), x["hash"], F.lit(",")).alias("s"), (a["at"] + x["length"]).alias("at"))
+    ranges = F.aggregate(F.array_sort(F.collect_list(F.struct("node", "hash", "length"))), zero, step, lambda a: a["s"])  # at most FANOUT
     out = [level]
     for _ in range(LEVELS):
-        level = level.groupBy("file", F.floor(F.col("node") / FANOUT).cast("int").alias("up")).agg(F.sha2(digests, 256).alias("hash")).withColumnRenamed("up", "node")
+        level = level.groupBy("file", F.floor(F.col("node") / FANOUT).cast("int").alias("up")).agg(F.sha2(ranges, 256).alias("hash"), F.sum("length").alias("length")).withColumnRenamed("up", "node")
         out.append(level)
     return out
 
@@ -68,17 +74,36 @@ def differences(primary: list[DataFrame], replica: list[DataFrame]) -> DataFrame
             up = bad.select("file", F.col("node").alias("up"))
             narrow = lambda x: x.join(up, (x["file"] == up["file"]) & (F.floor(x["node"] / FANOUT) == up["up"]), "left_semi")
             a, b = narrow(a), narrow(b)
-        a, b = a.withColumnRenamed("hash", "one"), b.withColumnRenamed("hash", "two")
+        a, b = a.select("file", "node", F.col("hash").alias("one")), b.select("file", "node", F.col("hash").alias("two"))
         bad = a.join(b, ["file", "node"], "full_outer").where(~F.col("one").eqNullSafe(F.col("two")))
     return bad.select("file", "node", F.when(F.col("two").isNull(), "missing").when(F.col("one").isNull(), "extra").otherwise("corrupt").alias("status"))
 
 
+def store(pages: DataFrame) -> DataFrame:
+    """file, bytes: the records of each file one after another, in the order of ``layout``."""
+    rec = record_bytes(F.col("page_id"), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).cast("binary")
+    rows = pages.where("page_id IS NOT NULL").select(F.floor(F.col("page_id") / FILE_SLOTS).cast("long").alias("file"), F.pmod("page_id", F.lit(FILE_SLOTS)).cast("int").alias("slot"), F.sha2(rec, 256).alias("sha"), rec.alias("rec"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("slot", "sha", "rec"))), lambda x: x["rec"])
+    return rows.groupBy("file").agg(F.aggregate(own, F.lit(b""), lambda a, x: F.concat(a, x)).alias("bytes"))
+
+
+def stored(index: DataFrame, files: DataFrame) -> DataFrame:
+    """index (of ``layout``) with the digests that its offset ranges have in stored bytes; ranges beyond a file's end are left out.
+
+    files: file, bytes. A file meets the ranges of at most FILE_SLOTS slots at once, so its bytes move once.
+    """
+    ranges = index.groupBy("file").agg(F.collect_list(F.struct("page_id", "slot", "offset", "length")).alias("r"))
+    cut = F.transform("r", lambda x: F.struct(x["page_id"].alias("page_id"), x["slot"].alias("slot"), x["offset"].alias("offset"), x["length"].alias("length"), F.sha2(F.substring(F.col("bytes"), (x["offset"] + 1).cast("int"), x["length"].cast("int")), 256).alias("sha"), (x["offset"] + x["length"] <= F.octet_length("bytes")).alias("whole")))
+    rows = ranges.join(files, "file").select("file", F.explode(cut).alias("x")).where("x.whole").select("file", "x.*")
+    return rows.select("page_id", "file", "slot", "offset", "length", F.sha2(F.concat_ws(":", "slot", "length", "sha"), 256).alias("digest"))
+
+
 def audit(pages: DataFrame, copy: DataFrame) -> DataFrame:
     """page_id, file, slot, offset, length, digest, root, status of every record of pages against a replica of them."""
     spark = pages.sparkSession
     records = common.written(layout(pages), spark)
-    mine = [common.written(x, spark) for x in tree(records)]
-    bad = differences(mine, tree(common.written(layout(copy), spark)))
+    mine, theirs = ([common.written(x, spark) for x in tree(r)] for r in (records, common.written(layout(copy), spark)))
+    bad = differences(mine, theirs)
     roots = mine[-1].select("file", F.col("hash").alias("root"))
     return records.join(roots, "file").join(bad.withColumnRenamed("node", "slot"), ["file", "slot"], "left").select(
         "page_id", "file", "slot", "offset", "length", "digest", "root", F.coalesce("status", F.lit("ok")).alias("status")
@@ -107,10 +132,13 @@ _LAYOUT = """
 ORACLE = f"""
     WITH a AS ({_LAYOUT.format(html="html", where="")}),
     b AS ({_LAYOUT.format(html="CASE WHEN page_id % 97 = 13 THEN '~' || substring(html, 2) ELSE html END", where=" AND page_id % 1009 <> 5")}),
-    l0 AS (SELECT file, slot AS node, sha256(string_agg(digest, '' ORDER BY digest)) AS h FROM a GROUP BY ALL),
-    l1 AS (SELECT file, node // 8 AS node, sha256(string_agg(h, '' ORDER BY l0.node)) AS h FROM l0 GROUP BY file, node // 8),
-    l2 AS (SELECT file, node // 8 AS node, sha256(string_agg(h, '' ORDER BY l1.node)) AS h FROM l1 GROUP BY file, node // 8),
-    l3 AS (SELECT file, sha256(string_agg(h, '' ORDER BY l2.node)) AS root FROM l2 GROUP BY file)
-    SELECT a.page_id, a.file, a.slot, a."offset", a.length, a.digest, l3.root,
+    l0 AS (SELECT file, slot AS node, sha256(string_agg(digest, '' ORDER BY digest)) AS h, CAST(sum(length) AS BIGINT) AS len FROM a GROUP BY ALL),
+    c0 AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY file, node // 8 ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM l0),
+    l1 AS (SELECT file, node // 8 AS node, sha256(string_agg(z || ':' || len || ':' || h || ',', '' ORDER BY c0.node)) AS h, CAST(sum(len) AS BIGINT) AS len FROM c0 GROUP BY file, node // 8),
+    c1 AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY file, node // 8 ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM l1),
+    l2 AS (SELECT file, node // 8 AS node, sha256(string_agg(z || ':' || len || ':' || h || ',', '' ORDER BY c1.node)) AS h, CAST(sum(len) AS BIGINT) AS len FROM c1 GROUP BY file, node // 8),
+    c2 AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY file, node // 8 ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM l2),
+    l3 AS (SELECT file, node // 8 AS node, sha256(string_agg(z || ':' || len || ':' || h || ',', '' ORDER BY c2.node)) AS h, CAST(sum(len) AS BIGINT) AS len FROM c2 GROUP BY file, node // 8)
+    SELECT a.page_id, a.file, a.slot, a."offset", a.length, a.digest, l3.h AS root,
            CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.digest <> b.digest THEN 'corrupt' ELSE 'ok' END AS status
     FROM a JOIN l3 ON a.file = l3.file LEFT JOIN b ON a.page_id = b.page_id"""
