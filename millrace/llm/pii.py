@@ -14,7 +14,8 @@ pattern of at least PATTERN_SCORE, are added as spans of that kind. Strict spans
 
 Strict patterns are written so that Java's matcher is linear: possessive repeats, and starts
 only at the beginning of a run or where the last match ended. Positions come from splitting
-the text by a pattern and adding up code-point lengths of what lies between and the matches.
+the text by a pattern and adding up code-point lengths of what lies between and the matches;
+spans are made in runs and compared in order, so that a text with many matches stays linear.
 
 Cases: a null or empty text has no spans; a null id stays null; repeated rows are reported each,
 and count as one edge; a failing strict match consumes its characters; an empty table gives
@@ -26,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
 from millrace.llm import common
 
 ROUNDS = 3
@@ -45,7 +47,9 @@ STRICT = {
 }
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-_SPAN = "array<struct<s:int,e:int,v:string,l:string>>"
+_ONE_SPAN = "struct<s:int,e:int,v:string,l:string>"
+#: Elements of a run of a fold.
+FOLD = 256
 
 
 def _located(text: Column, pattern: str, possible: Column) -> tuple[Column, Column]:
@@ -56,17 +60,52 @@ def _located(text: Column, pattern: str, possible: Column) -> tuple[Column, Colu
     )
 
 
+def _folded(count: Column, state: Column, kind: str, step) -> Column:
+    """The array of what step(state, i) gives for i below count, beside the next state, in time linear but for FOLD.
+
+    An array that grows by one is copied each time, so runs of FOLD elements are made first and put together at the end.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(a, i):
+        after, element = step(a["s"], i)
+        return F.struct(after.alias("s"), F.array_append(a["out"], element).alias("out"))
+
+    def run(a, c):
+        own = F.aggregate(F.sequence(c * FOLD, F.least(count, (c + 1) * FOLD) - 1), F.struct(a["s"].alias("s"), empty.alias("out")), one)
+        return let(own, lambda x: F.struct(x["s"].alias("s"), F.array_append(a["out"], x["out"]).alias("out")))
+
+    runs = F.sequence(F.lit(0), F.floor((F.greatest(count, F.lit(1)) - 1) / FOLD).cast("int"))
+    whole = F.aggregate(runs, F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out")), run, lambda a: F.flatten(a["out"]))
+    return F.when(count > 0, whole).otherwise(empty)
+
+
 def _spans(p: str, m: str) -> Column:
     """Start, end, text and left context of each match, in code points."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(a, z):
-        start = a["at"] + F.length(z[p])
-        end = start + F.length(z[m])
-        span = F.struct(start.alias("s"), end.alias("e"), z[m].alias("v"), F.substring(z[p], -CONTEXT, CONTEXT).alias("l"))
-        return F.struct(end.alias("at"), F.array_append(a["out"], span).alias("out"))
+    def step(at, i):
+        before, match = F.get(p, i), F.get(m, i)
+        start = at + F.length(before)
+        end = start + F.length(match)
+        return end, F.struct(start.alias("s"), end.alias("e"), match.alias("v"), F.substring(before, -CONTEXT, CONTEXT).alias("l"))
+
+    return _folded(F.size(m), F.lit(0), _ONE_SPAN, step)
+
+
+def _clear(spans: str, base: str) -> tuple[Column, Column]:
+    """Numbers of the spans (in order, disjoint) that no base span overlaps, by one pass over all of them in order, which is to be the column _events."""
+    place = lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), i.cast("int").alias("i"))
+    last = F.array(place({"s": F.lit(2**31 - 1), "e": F.lit(2**31 - 1)}, F.size(spans)))  # brings the last one out
+    events = F.array_sort(F.concat(F.transform(base, lambda x: place(x, F.lit(-1))), F.transform(spans, place), last))
+    state = F.struct(F.lit(0).alias("reach"), F.lit(-1).alias("i"), F.lit(0).alias("e"), F.lit(False).alias("hit"))
+
+    def step(a, j):
+        x = F.get("_events", j)
+        found = F.struct(F.greatest(a["reach"], x["e"]).alias("reach"), a["i"].alias("i"), a["e"].alias("e"), (a["hit"] | (x["s"] < a["e"])).alias("hit"))
+        opened = F.struct(a["reach"].alias("reach"), x["i"].alias("i"), x["e"].alias("e"), (x["s"] < a["reach"]).alias("hit"))
+        return F.when(x["i"] < 0, found).otherwise(opened), F.when((x["i"] < 0) | a["hit"], -1).otherwise(a["i"])
 
-    return F.aggregate(F.arrays_zip(F.slice(p, 1, F.size(m)).alias(p), F.col(m)), zero, step, lambda a: a["out"])
+    return events, F.filter(_folded(F.size("_events"), state, "int", step), lambda i: i >= 0)
 
 
 def _digits(v: Column) -> Column:
@@ -138,8 +177,10 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
         start = x["s"] + lead
         return F.struct(_loose(v).alias("k"), start.alias("s"), (start + F.length(v)).alias("e"), v.alias("v"), _pattern(x["l"]).alias("l"))
 
-    free = F.filter(F.transform("t", bare), lambda x: (x["e"] > x["s"]) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    return df.select("doc_id", *keep, "base", free.alias("loose"), F.monotonically_increasing_id().alias("row"))
+    df = df.select("doc_id", *keep, "base", F.filter(F.transform("t", bare), lambda x: x["e"] > x["s"]).alias("_b"))
+    events, clear = _clear("_b", "base")
+    df = df.select("*", events.alias("_events")).select("doc_id", *keep, "base", "_b", clear.alias("_clear"))
+    return df.select("doc_id", *keep, "base", F.transform("_clear", lambda i: F.get("_b", i)).alias("loose"), F.monotonically_increasing_id().alias("row"))
 
 
 def learn(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
