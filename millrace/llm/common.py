@@ -8,6 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import checkpoint_folder
+
+#: Bytes of a table's files for one bucket of a packed exchange.
+BUCKET_BYTES = 32 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,15 +24,16 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(df: DataFrame) -> int:
+    """How many buckets a table's packed exchange has: the session's partitions, or more where the table's files are large."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df.inputFiles()  # without files the planner's size is a guess
+    return max(parts(df.sparkSession), -(-size // BUCKET_BYTES) if leaves else 1)
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder that all executors share; a temporary one only where a local session names none."""
+    return checkpoint_folder(spark)
 
 
 def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:

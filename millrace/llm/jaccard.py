@@ -208,7 +208,7 @@ def _profile(table: pa.Table) -> pa.Table:
 
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n, signature of every row; tokens and prefixes of those that may have a link."""
-    buckets = common.parts(docs.sparkSession)
+    buckets = common.buckets(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.spark_partition_id().cast("long").alias("part"))
     answers = rows.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_answer, _ANSWER)
     return answers.groupBy("batch").applyInArrow(_profile, _PROFILE)
@@ -272,7 +272,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     for turn in range(STAR_ROUNDS + 1):
         own = postings.withColumn("root", F.col("node")) if comp is None else postings.join(comp.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         if comp is not None:
-            mixed = own.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+            # written, as are centres below, so that a join on a hot token stands alone and can be split
+            mixed = common.written(own.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token"), spark)
             own = common.written(own.join(mixed, "token", "left_semi"), spark)
             if own.isEmpty():
                 break
@@ -284,7 +285,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             apart = (F.col("a") < F.col("b")) & ~F.arrays_overlap("past_a", "past_b")
         else:
             first = F.struct(-F.col("mass"), "node") if turn == 0 else F.xxhash64("node", "token", F.lit(turn))
-            centre = own.groupBy("token").agg(F.min_by(F.struct(*side("a")), first).alias("c")).select("token", "c.*")
+            centre = common.written(own.groupBy("token").agg(F.min_by(F.struct(*side("a")), first).alias("c")).select("token", "c.*"), spark)
             right, apart = own.select("token", *side("b")), F.col("a") != F.col("b")
         pairs = right.join(centre, "token").where(close & (F.col("root_a") != F.col("root_b")) & apart)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -309,9 +310,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest id of each component, with all its columns (rows that repeat that id all stay)."""
-    first = jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    """One row of each component, with all its columns: that of the smallest id (null ids last), of equal ids the one read first.
+
+    docs must be read alike each time, as files are.
+    """
+    keyed = docs.withColumn("_uid", F.monotonically_increasing_id())
+    groups = jaccard_components(keyed.select(F.col("_uid").alias("doc_id"), "text")).select(F.col("doc_id").alias("_uid"), "component_id")
+    ids = keyed.select("_uid", F.col("doc_id").alias("_id")).join(groups, "_uid")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_uid")).alias("f")).select(F.col("f._uid").alias("_uid"))
+    return keyed.join(first, "_uid", "left_semi").drop("_uid")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -40,3 +40,37 @@ def test_stages(spark, tmp_path):
         assert rows[4][i].source == r.source
     assert set(rows[4]) == set(rows[3]) and any(re.search(r"\[(EMAIL|IP|CARD|PHONE)\]", r.text) for r in rows[4].values())
     assert check_packing(kept[-1].collect(), {i: r.text for i, r in rows[4].items()}) < 0.02
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, repeats, ties, a very long text and columns named as the operators name theirs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    good = docs.where("length(text) > 300").orderBy("doc_id").first().text
+    rows = [(1, good, 1, None), (1, good, 2, "x"), (None, good, 3, None), (7, None, 4, None), (8, "", 5, None), (None, None, 6, None), (9, good + " and some more", 7, ""), (10, (good + " ") * 300 + "end", 8, None)]
+    names = "doc_id long, text string, score int, _uid string"
+    for table in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            path = str(tmp_path / f"{name}-{table.isEmpty()}")
+            if name == "near_dedup":
+                kept = kept.withColumnRenamed("_uid", "node")
+            stage(spark, kept, "/root/testdata/sf0.001").write.parquet(path)
+            kept = spark.read.parquet(path)
+            if name == "exact_dedup" and not table.isEmpty():
+                left = kept.collect()
+                assert sorted(((r.text or "")[:5], r.doc_id) for r in left if r.doc_id not in (9, 10)) == [("", 8), (good[:5], 1)]
+            if name == "near_dedup" and not table.isEmpty():
+                assert {r.doc_id for r in kept.collect()} in ({1, 8}, {1, 8, 10}, {1, 8, 9}, {1, 8, 9, 10})
+        if table.isEmpty():
+            assert kept.count() == 0
+    scored = quality.keep_good(spark.createDataFrame(rows, names), quality.fit(docs, common.table(spark, "/root/testdata/sf0.001", "labels")))
+    assert scored.columns == ["doc_id", "text", "score", "_uid"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    from millrace.llm import jaccard
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, 1), (5, text + " x", 2), (3, text, 3), (3, text, 4), (None, "other words here", 5), (None, "other words here", 6), (None, None, 7)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k int").coalesce(1)).collect()
+    assert sorted(r.k for r in kept) == [3, 5, 7]
