@@ -405,7 +405,7 @@ def _cut(batches):
 def removal_spans(texts: DataFrame) -> DataFrame:
     """uid, gone_from, gone_to, more_from, more_to: the intervals to remove. texts: uid, doc_id, text, read alike each time."""
     spark = texts.sparkSession
-    buckets = common.parts(spark)
+    buckets = common.buckets(texts)
     answers = texts.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_answer, _ANSWER)
     found = common.written(answers.groupBy("batch").applyInArrow(_documents, _DOC), spark)
     common.drop_shuffles(spark)
