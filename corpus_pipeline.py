@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
+
+Cases: a null text counts as empty in every stage; it is scored like an empty text, and of all empty
+texts one row stays. Rows without an id are scored and packed like others; of equal or near texts a
+row with an id is preferred (in drop_copies the largest id, in drop_near_copies the smallest). Rows
+that repeat an id count as rows of their own. Texts are read whole, however long. An empty table goes
+through all stages and gives an empty result. Other columns are carried along and never read, but
+for n_chars, which follows a redacted text, so names that operators use inside can't clash.
 """
 
 from __future__ import annotations
