@@ -168,10 +168,16 @@ class TopK:
     def meetings(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Query blocks and index blocks by shard and group of queries.
 
-        A group is a run of QUERY_GROUP query blocks of one task, which lie near each other; an index block goes to
-        the groups that ask for its shard and to no others.
+        A group is a run of QUERY_GROUP query blocks in index order, which lie near each other; an index block goes
+        to the groups that ask for its shard and to no others.
         """
-        left = asked.select(F.explode("shards").alias("shard"), F.floor(F.col("number") / QUERY_GROUP).alias("part"), "number", "dim", "ids", "ints", "taus")
+        task = F.shiftright("number", 33)
+        counts = asked.groupBy(task.alias("task")).count().orderBy("task").collect()  # a row a task
+        ends = np.cumsum([0, *(r["count"] for r in counts)]).tolist()
+        begins = self.spark.createDataFrame([(r.task, n) for r, n in zip(counts, ends)], "task long, begin long")
+        own = asked.withColumn("task", task).join(F.broadcast(begins), "task")
+        part = F.floor((F.col("begin") + F.col("number") - F.shiftleft("task", 33)) / QUERY_GROUP)
+        left = own.select(F.explode("shards").alias("shard"), part.alias("part"), "number", "dim", "ids", "ints", "taus")
         right = self.blocks.join(left.select("shard", "part").distinct(), "shard")
         return left, right.select("shard", (F.col("part") + 0).alias("part"), "dim", "pivot", "lo", "hi", "norm", "n", "ids", "ints")
 
