@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, exact_dedup, jaccard, lm, packing, pii, quality, suffix, topk, warc
+from millrace.llm import bpe, exact_dedup, jaccard, langid, lm, packing, pii, quality, suffix, topk, warc
 
 QUERIES = {
     "op1_run_length_index": suffix.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_bootstrapped_pii": pii.op8,
     "op9_multi_order_jaccard": jaccard.op9,
     "op10_window_packing": packing.op10,
+    "op11_bitmask_language": langid.op11,
 }
 
 ORACLES = {
