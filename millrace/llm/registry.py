@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, exact_dedup, jaccard, langid, lm, negatives, packing, pii, quality, suffix, topk, warc
+from millrace.llm import bpe, exact_dedup, jaccard, langid, lexical, lm, negatives, packing, pii, quality, suffix, topk, warc
 
 QUERIES = {
     "op1_run_length_index": suffix.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_window_packing": packing.op10,
     "op11_bitmask_language": langid.op11,
     "op12_norm_bucket_negatives": negatives.op12,
+    "op13_tiered_search": lexical.op13,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_pivot_distance_topk": topk.ORACLE,
     "op6_tree_merge_dedup": exact_dedup.ORACLE,
     "op12_norm_bucket_negatives": negatives.ORACLE,
+    "op13_tiered_search": lexical.ORACLE,
 }
