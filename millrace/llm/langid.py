@@ -82,7 +82,7 @@ def ngrams(held: list, order: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(a) - order + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    good = good[:n] & (letter[:n] | letter[order - 1 :])
+    good = good[:n] & (letter[:n] | letter[1:]) if order == 2 else good[:n]
     for i in range(1, order - 1):
         good &= letter[i : n + i]
     at = np.flatnonzero(good)

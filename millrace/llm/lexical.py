@@ -145,7 +145,7 @@ class TieredIndex:
             from pyspark import TaskContext
 
             number = TaskContext.get().partitionId() << 32
-            for ids, texts in _blocks(batches):
+            for ids, texts in _blocks(batches, BLOCK_DOCS, BLOCK_BYTES):
                 data, begins = _bytes(texts)
                 ids = ids.to_pylist()
                 flat = np.array([0 if i is None else i for i in ids], np.int64)
@@ -258,14 +258,14 @@ class TieredIndex:
         return max(1, -(-items.count() // ITEMS))
 
 
-def _blocks(batches):
-    """Ids and texts of at most BLOCK_DOCS rows and, but for one long text, BLOCK_BYTES bytes; by id within a block, so that places order like ids."""
+def _blocks(batches, most: int, room: int):
+    """Ids and texts of at most so many rows and, but for one long text, so many bytes; by id within a block, so that places order like ids."""
     held, count, size = [], 0, 0
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
         start = 0
         for i, s in enumerate(sizes.tolist()):
-            if count and (count >= BLOCK_DOCS or size + s > BLOCK_BYTES):
+            if count and (count >= most or size + s > room):
                 held.append(b.slice(start, i - start))
                 yield _joined(held)
                 held, count, size, start = [], 0, 0, i
