@@ -1,7 +1,6 @@
 """Byte-level BPE: pre-tokens, pair counts, training rounds and encoding.
 
-Training works on the table of distinct pre-tokens with their counts: every round counts adjacent
-pairs (partial sums before the exchange), takes the best and merges it everywhere.
+Training (``bpe_training``) works on the table of distinct pre-tokens with their counts, many merges a round.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import checkpoint_folder
+from millrace.operators import bpe_training
 
 # The published pattern of byte-level pre-tokens.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,28 +34,9 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.where(F.size("symbols") > 1).select(F.explode(pairs).alias("p"), "freq").groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("freq").alias("count"))
 
 
-def merged(words: DataFrame, a: str, b: str) -> DataFrame:
-    """The words with each occurrence of the pair, from the left, as one symbol."""
-    joined = F.concat(F.lit("|"), F.array_join("symbols", "|"), F.lit("|"))
-    # symbols are hex digits; the look-ahead leaves the bar for the next match
-    new = F.regexp_replace(joined, rf"(?<=\|){a}\|{b}(?=\|)", a + b)
-    return words.select(F.filter(F.split(new, r"\|"), lambda x: x != "").alias("symbols"), "freq")
-
-
-def train(docs: DataFrame, merges: int, min_frequency: int = 2, every: int = 20) -> list[tuple[str, str]]:
-    """The first merges, most frequent pair first, ties to the smaller pair; lineage is cut every so many rounds."""
-    spark = docs.sparkSession
-    checkpoint_folder(spark)
-    words, out = word_counts(docs).checkpoint(), []
-    for i in range(merges):
-        best = pair_counts(words).where(F.col("count") >= min_frequency).orderBy(F.desc("count"), "a", "b").limit(1).collect()
-        if not best:
-            break
-        out.append((best[0].a, best[0].b))
-        words = merged(words, *out[-1])
-        if (i + 1) % every == 0:
-            words = words.checkpoint()
-    return out
+def train(docs: DataFrame, merges: int, min_frequency: int = 2, text: str = "text") -> list[tuple[str, str]]:
+    """The merges that make so many new tokens, in order, as hex digits: the most frequent pair first, ties to the older symbols (``bpe_training``)."""
+    return [(a.hex().upper(), b.hex().upper()) for a, b in bpe_training.train(docs, merges, PATTERN, min_frequency, text)]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, eos: int, text: str = "text") -> DataFrame:
@@ -114,14 +94,11 @@ def quality(encoded: DataFrame, unknown: int, by: list[str], text: str = "text")
 
 
 def save(merges: list[tuple[str, str]], special: list[str], path: str) -> None:
-    """A tokenizer file for the library: special tokens first, then the 256 bytes, then the merges (hex symbols) in order."""
+    """A tokenizer file for the library: special tokens first, then the 256 bytes in the order of their characters, then the merges (hex symbols) in order."""
     import json
 
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    symbol = {f"{b:02X}": chr(b if b in shown else next(spare)) for b in range(256)}
-    name = lambda h: "".join(symbol[h[i : i + 2]] for i in range(0, len(h), 2))
-    order = [*special, *symbol.values(), *(name(a + b) for a, b in merges)]
+    name = lambda h: "".join(bpe_training.CHARACTERS[c] for c in bytes.fromhex(h))
+    order = [*special, *sorted(bpe_training.CHARACTERS), *(name(a + b) for a, b in merges)]
     spec = {
         "version": "1.0", "truncation": None, "padding": None, "post_processor": None,
         "added_tokens": [{"id": i, "content": t, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, t in enumerate(special)],
