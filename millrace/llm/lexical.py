@@ -6,7 +6,7 @@ blocks of at most BLOCK_DOCS rows and about BLOCK_BYTES of text and inverts them
 the rest in tier 2, with the largest impact below each tier (the residual bound). Postings of a common term are
 spread over the blocks, so no term is one group. A document's impact for a term is (10^9 tf) div (1000 tf + 20 m).
 
-Search, in rounds: the first reads tier 0 of the items' terms only. In each block an item's documents get the sum of
+Search: the rows of the items' terms are taken out of the index once. The first round reads only their tier 0. In each block an item's documents get the sum of
 what was read (a lower bound) and that sum plus the residuals of their other terms (an upper bound). The limit of an item is its
 k-th best lower bound over all blocks. Where a document that isn't settled (bounds differ) could still reach the limit, the
 item lacks a proof of exactness in that block and falls through: the next round reads one tier more for these (item, block) pairs
@@ -165,21 +165,25 @@ class TieredIndex:
 
         self.rows = common.written(rows.mapInArrow(index, _SCHEMA))
 
-    def weights(self, items: DataFrame) -> DataFrame:
-        """item, term, w: each item's distinct terms with their weight (terms of no document are left out). items: item, text."""
-        asked = items.select("item", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-        df = self.rows.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("df"))
+    def lists(self, asked: DataFrame) -> DataFrame:
+        """The index's rows of the terms of asked (item, term), apart from the others, so that later reads and exchanges hold no more."""
+        return common.written(self.rows.join(asked.select("term").distinct(), "term", "left_semi"))
+
+    def weights(self, asked: DataFrame, lists: DataFrame) -> DataFrame:
+        """item, term, w: asked with the terms' weights (terms of no document are left out)."""
+        df = lists.groupBy("term").agg(F.sum("df").alias("df"))
         w = F.floor(1000 * F.log((2.0 * self.n + 2) / (2.0 * F.col("df") + 1))).cast("long")
         return asked.join(df, "term").select("item", "term", w.alias("w"))
 
-    def _round(self, asked: DataFrame, tiers: int, k: int) -> DataFrame:
+    def _round(self, lists: DataFrame, asked: DataFrame, tiers: int, k: int) -> DataFrame:
         """block, item, reach, docs, scores of each pair: what is settled or ranks by its lower bound, from so many tiers.
 
         asked: block, part, item, term, w, limit (an item's limit so far).
         """
         names = [f"{c}{t}" for t in range(tiers) for c in ("docs", "impacts")]
         need = asked.select(F.col("block") + 0, (F.col("part") + 0).alias("part"), F.concat("term").alias("term")).toDF("block", "part", "term").distinct()  # columns of its own
-        hits = self.rows.join(need, ["block", "term"]).select("block", "part", "term", "residuals", *names)
+        # a row an asked pair of block and term on both sides, so neither fits a broadcast for all sizes
+        hits = lists.join(need.hint("merge"), ["block", "term"]).select("block", "part", "term", "residuals", *names)
 
         def run(q: pa.Table, x: pa.Table) -> pa.Table:
             out: dict = {"block": [], "item": [], "reach": [], "docs": [], "lower": [], "upper": []}
@@ -218,14 +222,16 @@ class TieredIndex:
     def search(self, items: DataFrame, k: int = 50) -> DataFrame:
         """item_id, rank, doc_id, score: the k best documents of each item (item_id, text)."""
         numbered = common.written(items.select(F.col("item_id"), F.col("text").cast("string").alias("text")).withColumn("item", F.monotonically_increasing_id()))
-        weights = common.written(self.weights(numbered))
+        terms = common.written(numbered.select("item", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")))
+        lists = self.lists(terms)
+        weights = common.written(self.weights(terms, lists))
         part = F.pmod(F.hash("item"), F.lit(self._parts(numbered))).alias("part")
-        blocks = self.rows.where("term IS NOT NULL").select("block", "term")
+        blocks = lists.select("block", "term")
         # which blocks hold a term of an item: pairs, not postings
         asked = common.written(blocks.join(weights, "term").select("block", part, "item", "term", "w", F.lit(1).cast("long").alias("limit")))
         settled = None
         for tiers in (1, 2, 3):
-            found = self._round(asked, tiers, k)
+            found = self._round(lists, asked, tiers, k)
             kept = found if settled is None else settled.unionByName(found)
             best = kept.select("item", F.explode("lower").alias("lower"))
             first = best.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("lower")))).where(F.col("r") <= k)  # limited in each task before the exchange
@@ -235,10 +241,10 @@ class TieredIndex:
             unproved = common.written(judged.where("reach >= limit").select("block", "item", "limit"))
             if tiers == 3 or unproved.isEmpty():
                 break
-            asked = common.written(unproved.join(weights, "item").select("block", part, "item", "term", "w", "limit"))
+            asked = common.written(unproved.hint("merge").join(weights, "item").select("block", part, "item", "term", "w", "limit"))
         rows = settled.select("block", "item", F.explode(F.arrays_zip("docs", "lower", "upper")).alias("r")).where("r.lower = r.upper").select("block", "item", F.col("r.docs").alias("doc"), F.col("r.lower").alias("score"))
         top = rows.join(limit, "item", "left").where(F.col("score") >= F.coalesce("limit", F.lit(1))).drop("limit")
-        named = top.join(self.ids(), ["block", "doc"])
+        named = top.join(self.ids().hint("merge"), ["block", "doc"])
         rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "block", "doc"))
         ranked = named.withColumn("rank", rank).where(F.col("rank") <= k)
         return ranked.join(numbered.select("item", "item_id"), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")

@@ -65,9 +65,9 @@ def test_only_unproved_pairs_fall_through(spark, small, monkeypatch):
     docs = [(i, f"common rare{i // 2} " + "filler " * (i % 17)) for i in range(240)]
     rounds, own = [], lexical.TieredIndex._round
 
-    def watch(self, asked, tiers, k):
+    def watch(self, lists, asked, tiers, k):
         rounds.append((tiers, {r.item for r in asked.select("item").distinct().collect()}, asked.select("item", "block").distinct().count()))
-        return own(self, asked, tiers, k)
+        return own(self, lists, asked, tiers, k)
 
     monkeypatch.setattr(lexical.TieredIndex, "_round", watch)
     items = [(0, "rare5"), (1, "common")]
