@@ -38,9 +38,9 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def texts(spark, root: str, exclude):
-    """file and text of every record under root that gives one."""
-    lines = files.json_lines(spark, files.sample_files(root, exclude), strict=False)
+def texts(spark, root: str, exclude, strict: bool = True):
+    """file and text of every record under root that gives one; a line that is no object is an error, or left out."""
+    lines = files.json_lines(spark, files.sample_files(root, exclude), strict)
     return lines.select("file", strip(pretrain_text(F.col("record"))).alias("text")).where("text <> ''")
 
 
@@ -51,13 +51,13 @@ def main(argv: list[str] | None = None) -> dict:
         from millrace.functions.hashing import streamed_sha256
 
         eos = bpe.token_id(a.tokenizer, a.eos)
-        encoded = bpe.encode(texts(spark, a.input, a.exclude), a.tokenizer, eos).select("ids", "n_tokens")
         from tokenizers import Tokenizer
 
-        out = corpus.write_corpus(encoded, a.output, a.name, Tokenizer.from_file(a.tokenizer).get_vocab_size(), streamed_sha256(a.tokenizer), eos, a.fresh)
+        size = Tokenizer.from_file(a.tokenizer).get_vocab_size()
+        out = corpus.build_corpus(spark, files.listed(a.input, exclude=a.exclude), a.output, lambda rows: bpe.encode(rows, a.tokenizer, eos), a.name, size, streamed_sha256(a.tokenizer), eos, a.fresh)
     elif a.command == "sample":
         found = files.sample_files(a.input, a.exclude)
-        rows = texts(spark, a.input, a.exclude).withColumnRenamed("file", "source_file").withColumn("key", F.sha2("text", 256))
+        rows = texts(spark, a.input, a.exclude, strict=False).withColumnRenamed("file", "source_file").withColumn("key", F.sha2("text", 256))
         sample = sampling.by_hash(rows, "source_file", "key", a.samples_per_file, a.seed).drop("key")
         bytes_of = sample.groupBy("source_file").agg(F.sum(F.octet_length("text")).cast("long").alias("sample_bytes"))
         counts = files.record_counts(spark, found).select(F.col("file").alias("source_file"), F.col("valid").alias("valid_documents"), F.col("invalid").alias("invalid_records"))

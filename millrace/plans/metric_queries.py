@@ -2,7 +2,6 @@
 
 import json
 import uuid
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from millrace.functions import hashing, schedule
 from millrace.operators import bpe, metrics
 from millrace.operators.ordering import running
 from millrace.session import checkpoint_folder
-from millrace.sources import corpus
+from millrace.sources import corpus, storage
 from millrace.streaming import discovery
 
 
@@ -160,13 +159,12 @@ def bpe_merges(spark, sf_dir):
 
 def corpus_discovery(spark, sf_dir):
     """Sources whose corpora are complete and not known yet, from their markers."""
-    folder = Path(f"{checkpoint_folder(spark)}/discovery-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:"))
+    folder = f"{checkpoint_folder(spark)}/discovery-{uuid.uuid4().hex}"
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for r in d.groupBy("source").agg(F.count("*").alias("documents"), (F.min("doc_id") % 2 == 0).alias("complete")).collect():  # a row a corpus
-        (folder / r.source).mkdir(parents=True)
-        (folder / r.source / "corpus.json").write_text(json.dumps({"documents": r.documents, "complete": r.complete}))
-    known = {str((folder / s).resolve()) for s in ("src0", "src4")}
-    found = [Path(c["path"]).name for c in discovery.complete_corpora(str(folder), known)]
+        storage.write_text(f"{folder}/{r.source}/corpus.json", json.dumps({"documents": r.documents, "complete": r.complete}))
+    known = {storage.shown(f"{folder}/{s}") for s in ("src0", "src4")}
+    found = [c["path"].rpartition("/")[2] for c in discovery.complete_corpora(folder, known)]
     return d.where(F.col("source").isin(found)).groupBy("source").agg(F.count("*").alias("documents"))
 
 

@@ -9,7 +9,7 @@ from millrace.operators import batches, bpe, metrics, mixing, sampling
 from millrace.operators.ordering import running, shard_of
 from millrace.plans import mixing_queries, record_queries
 from millrace.session import checkpoint_folder
-from millrace.sources import cached, files
+from millrace.sources import cached, files, shards
 
 EOS = 50256
 # The shape of the reference-size model.
@@ -17,7 +17,7 @@ SHAPE = {"vocab_size": 32768, "n_head": 8, "n_kv_head": 4, "n_embd": 1024, "n_ex
 
 
 def _folder(spark) -> str:
-    return f"{checkpoint_folder(spark)}/query-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    return f"{checkpoint_folder(spark)}/query-{uuid.uuid4().hex}"
 
 
 def _tokenizer() -> str:
@@ -56,6 +56,16 @@ def jsonl_limited(spark, sf_dir):
     return rows.select(F.try_variant_get("record", "$.doc_id", "long").alias("doc_id"), F.try_variant_get("record", "$.text", "string").alias("text"))
 
 
+def encoded_lines(spark, sf_dir):
+    """Digests of all texts, read again from JSON lines in four encodings: UTF-8 and GB18030 files are cut, UTF-16 and UTF-32 files are not."""
+    folder = _folder(spark)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for i, name in enumerate(("UTF-8", "GB18030", "UTF-16", "UTF-32")):
+        d.where(F.pmod("doc_id", F.lit(4)) == i).write.option("encoding", name).option("lineSep", "\n").json(f"{folder}/{name}")
+    rows = files.json_lines(spark, files.input_files(folder, ("*.json",)))
+    return rows.select(F.try_variant_get("record", "$.doc_id", "long").alias("doc_id"), F.sha2(F.try_variant_get("record", "$.text", "string"), 256).alias("text_sha256"))
+
+
 def sft_cache(spark, sf_dir):
     """Encoded conversations from a keyed table, the second time without encoding."""
     folder, key = _folder(spark), {"purpose": "sft", "eos": batches.EOS, "files": [f"{sf_dir}/conversations.parquet"]}
@@ -131,15 +141,25 @@ def model_sizes(spark, sf_dir):
 
 
 def resumed_tasks(spark, sf_dir):
-    """Documents by task after a second run, in which one task's fingerprint had changed, and how many tasks it wrote."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("task"), "doc_id")
-    tasks = d.groupBy("task").agg(F.sha2(F.concat_ws(":", F.count("*"), F.max("doc_id")), 256).alias("fingerprint"))
-    folder, keep = _folder(spark), lambda x: x
-    cached.write_tasks(d, tasks, folder, keep)
-    first = tasks.agg(F.min("task")).first()[0]
-    changed = tasks.withColumn("fingerprint", F.when(F.col("task") == first, "changed").otherwise(F.col("fingerprint")))
-    written = cached.write_tasks(d, changed, folder, keep)
-    return spark.read.parquet(f"{folder}/shards").groupBy(F.col("task").cast("string").alias("task")).agg(F.count("*").alias("documents")).withColumn("written", F.lit(written).cast("long"))
+    """Texts by task (source) after three runs: the first writes all; before the second one task is gone, one has become empty and one text of another
+    was edited; the third finds nothing to do. How many tasks each run wrote, too."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("task"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    names = [r.task for r in d.groupBy("task").count().orderBy("task").collect()]  # a row a task
+    place = {n: i for i, n in enumerate(names)}
+    at = F.create_map(*(F.lit(x) for kv in place.items() for x in kv))[F.col("task")] if place else F.lit(0)
+    later = d.where((at != 0) & (at != 1)).withColumn("text", F.when((at == 2) & (F.col("doc_id") % 10 == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    folder, written = _folder(spark), []
+    for df, own in ((d, names), (later, names[1:]), (later, names[1:])):
+        # every text counts, in any order: a sum of digests
+        digests = df.groupBy("task").agg(F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", "doc_id", "text"), 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
+        marks = {r.task: r.digest for r in digests.collect()}
+        tasks = [shards.Task(n, marks.get(n, "empty")) for n in own]
+        written.append(shards.write_tasks(spark, tasks, folder, lambda todo, df=df: df.where(F.col("task").isin(todo))))
+    part = {e["part"]: e["task"] for e in shards.task_rows(folder)}
+    parts = spark.createDataFrame(list(part.items()), "part string, task string")
+    rows = shards.read_tasks(spark, folder).join(F.broadcast(parts), "part")
+    runs = [F.lit(n).cast("long").alias(f"run_{i}") for i, n in enumerate(written)]
+    return rows.groupBy("task").agg(F.count("*").alias("documents"), F.count_if(F.col("text").endswith("!")).alias("edited")).select("task", "documents", "edited", *runs)
 
 
 _WS = record_queries.WS
@@ -153,6 +173,7 @@ ORACLES = {
         FROM (SELECT doc_id, nfc_normalize(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')) AS t FROM documents) WHERE t <> ''""",
     "jsonl_counts": f"SELECT source, count(*) FILTER (kind = 'good') AS valid, count(*) FILTER (kind IN ('bad', 'empty')) AS invalid FROM ({_KIND}) GROUP BY source HAVING count(*) FILTER (kind <> 'blank') > 0",
     "jsonl_limited": f"SELECT CASE WHEN doc_id % 13 <> 0 THEN doc_id END AS doc_id, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE text END AS text FROM (SELECT * FROM ({_KIND}) WHERE kind <> 'blank' ORDER BY doc_id LIMIT 150) WHERE kind <> 'bad'",
+    "encoded_lines": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
     "sft_cache": f"SELECT *, TRUE AS reused FROM ({_IDS})",
     "sft_total_tokens": f"SELECT CAST(sum(greatest(n_ids - 1, 0)) AS BIGINT) AS tokens, count(*) AS examples FROM ({_IDS})",
     "sft_packed_epochs": f"""
@@ -176,12 +197,16 @@ ORACLES = {
     "committed_cursor": mixing_queries._SPLIT + "SELECT corpus, CAST(sum(predictions) AS BIGINT) AS emitted FROM pk WHERE microbatch < 5 GROUP BY corpus",
     "metric_histories": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS loss, CASE WHEN event_id % 2 = 1 THEN value END AS val_loss FROM events",
     "model_sizes": f"SELECT * EXCLUDE (t), t AS total, t - n_layer * 7 * 3 * 1024 * 2240 AS active FROM (SELECT *, embedding + attention + routed_experts + shared_experts + routers + norms AS t FROM ({_LAYERS}))",
-    "resumed_tasks": "SELECT source AS task, count(*) AS documents, 1 AS written FROM documents GROUP BY source",
+    "resumed_tasks": """
+        WITH p AS (SELECT source, dense_rank() OVER (ORDER BY source) - 1 AS place, doc_id, coalesce(text, '') AS text FROM documents)
+        SELECT source AS task, count(*) AS documents, count(*) FILTER (text LIKE '%!' OR (place = 2 AND doc_id % 10 = 0)) AS edited,
+               (SELECT count(DISTINCT source) FROM documents) AS run_0, 2 AS run_1, 0 AS run_2
+        FROM p WHERE place > 1 GROUP BY source, place""",
 }
 QUERIES = {
     f.__name__: f
     for f in (
-        encode_round_trip, jsonl_counts, jsonl_limited, sft_cache, sft_total_tokens, sft_packed_epochs, reference_margins, dataset_identities, shuffle_buffer,
+        encode_round_trip, jsonl_counts, jsonl_limited, encoded_lines, sft_cache, sft_total_tokens, sft_packed_epochs, reference_margins, dataset_identities, shuffle_buffer,
         step_losses, shard_lookup, committed_cursor, metric_histories, model_sizes, resumed_tasks,
     )
 }

@@ -1,100 +1,24 @@
-"""Derived tables that are kept under the identity of what they were made from, and corpora kept in memory."""
+"""Derived tables that are kept under the identity of what they were made from."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.hashing import canonical_digest
-
-
-def _path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small file of any Hadoop file system; None if it isn't there."""
-    p, fs = _path(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file of any Hadoop file system, put in place whole."""
-    p, fs = _path(spark, path)
-    temp, _ = _path(spark, path + ".tmp")
-    stream = fs.create(temp, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    fs.delete(p, False)
-    if not fs.rename(temp, p):
-        raise OSError(f"can't put {path} in place")
+from millrace.sources import storage
 
 
 def keyed_table(spark: SparkSession, path: str, key: dict, build, rows: int | None = None, rebuild: bool = False) -> tuple[DataFrame, bool]:
     """The table under path if it was made under the same key (and has so many rows); else what build() gives, written there. Whether it was reused."""
     mark, digest = f"{path}/key.json", canonical_digest(key)
-    saved = None if rebuild else read_text(spark, mark)
+    saved = None if rebuild else storage.read_text(mark)
     if saved is not None and json.loads(saved).get("key") == digest:
         df = spark.read.parquet(f"{path}/table")
         if rows is None or df.count() == rows:
             return df, True
-    p, fs = _path(spark, mark)
-    fs.delete(p, False)
+    storage.remove(mark)
     build().write.mode("overwrite").parquet(f"{path}/table")
-    write_text(spark, mark, json.dumps({"key": digest}))
+    storage.write_text(mark, json.dumps({"key": digest}))
     return spark.read.parquet(f"{path}/table"), False
-
-
-class CorpusCache:
-    """Corpora read once and shared; they are kept in memory or on disk while their files fit a byte budget."""
-
-    def __init__(self, spark: SparkSession, most: int):
-        self.spark, self.left, self.frames, self.kept = spark, most, {}, set()
-
-    def read(self, path: str) -> DataFrame:
-        if path not in self.frames:
-            p, fs = _path(self.spark, path)
-            size, df = fs.getContentSummary(p).getLength(), self.spark.read.parquet(path)
-            if size <= self.left:
-                self.left -= size
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
-                self.kept.add(path)
-            self.frames[path] = df
-        return self.frames[path]
-
-    def release(self) -> None:
-        for path in self.kept:
-            self.frames[path].unpersist()
-        self.frames, self.kept = {}, set()
-
-
-def pending(tasks: DataFrame, done: DataFrame) -> DataFrame:
-    """Tasks without a finished output of the same fingerprint. Both: task, fingerprint."""
-    return tasks.join(done, ["task", "fingerprint"], "left_anti")
-
-
-def write_tasks(records: DataFrame, tasks: DataFrame, path: str, encode) -> int:
-    """Encode and write the tasks whose saved output is missing or of another fingerprint, each to its own folder; how many.
-
-    records: task and what encode reads; tasks: task, fingerprint. The list of finished tasks is written after the data.
-    """
-    spark = tasks.sparkSession
-    there = read_text(spark, f"{path}/tasks.json")
-    done = spark.createDataFrame(json.loads(there) if there else [], "task string, fingerprint string")
-    todo = pending(tasks, done).persist()
-    count = todo.count()
-    if count:
-        encoded = encode(records.join(todo.select("task"), "task", "left_semi"))
-        encoded.write.partitionBy("task").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/shards")
-        write_text(spark, f"{path}/tasks.json", json.dumps(sorted([r.task, r.fingerprint] for r in tasks.collect())))  # a row a file
-    todo.unpersist()
-    return count

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources import storage
+
 
 def write_sample(sample: DataFrame, path: str, manifest: str, per_file: DataFrame) -> dict:
     """JSON lines of text and source_file in order of file and place, and a manifest of counts written last.
@@ -23,9 +23,7 @@ def write_sample(sample: DataFrame, path: str, manifest: str, per_file: DataFram
 
 def report(path: str, value: dict) -> dict:
     """A JSON report, put in place whole."""
-    temp = Path(path).with_suffix(".tmp")
-    temp.write_text(json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True))
-    os.replace(temp, path)
+    storage.write_text(path, json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True))
     return value
 
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.cached import read_text, write_text
+from millrace.sources import storage
 
 STATE_VERSION = 4
 
@@ -18,16 +17,16 @@ STATE_VERSION = 4
 def complete_corpora(root: str, known: set[str], weight: float = 1.0, val_docs: int = 0) -> list[dict]:
     """Folders under root with a complete marker that aren't known yet; unreadable markers are passed over."""
     out = []
-    for marker in sorted(Path(root).glob("*/corpus.json")):
-        path = str(marker.parent.resolve())
+    for name in storage.names_in(root):
+        path = storage.shown(f"{root}/{name}")
         if path in known:
             continue
         try:
-            meta = json.loads(marker.read_text())
-        except (OSError, ValueError):
+            meta = json.loads(storage.read_text(f"{path}/corpus.json") or "null")
+        except ValueError:
             continue
         if isinstance(meta, dict) and meta.get("complete") is True:
-            out.append({"name": f"auto-{marker.parent.name}-{hashlib.sha256(path.encode()).hexdigest()[:10]}", "path": path, "weight": weight, "val_docs": val_docs})
+            out.append({"name": f"auto-{name}-{hashlib.sha256(path.encode()).hexdigest()[:10]}", "path": path, "weight": weight, "val_docs": val_docs})
     return out
 
 
@@ -39,7 +38,7 @@ def watch(spark: SparkSession, root: str, apply, seconds: float = 600, known: se
     """
     seen = set() if known is None else known
     if checkpoint:
-        seen.update(json.loads(read_text(spark, f"{checkpoint}/known.json") or "[]"))
+        seen.update(json.loads(storage.read_text(f"{checkpoint}/known.json") or "[]"))
 
     def step(_: DataFrame, __: int) -> None:
         new = complete_corpora(root, seen)
@@ -47,7 +46,7 @@ def watch(spark: SparkSession, root: str, apply, seconds: float = 600, known: se
             apply(new)
             seen.update(c["path"] for c in new)
             if checkpoint:
-                write_text(spark, f"{checkpoint}/known.json", json.dumps(sorted(seen)))
+                storage.write_text(f"{checkpoint}/known.json", json.dumps(sorted(seen)))
 
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     out = clock.writeStream.foreachBatch(step).trigger(processingTime=f"{seconds} seconds")
@@ -79,14 +78,12 @@ def late_heads(progress: DataFrame, late: list[str], factors: dict[str, int]) ->
 
 
 def save_state(path: str, state: dict) -> None:
-    temp = Path(path).with_suffix(".tmp")
-    temp.write_text(json.dumps(state | {"version": STATE_VERSION}, sort_keys=True))
-    temp.replace(path)
+    storage.write_text(path, json.dumps(state | {"version": STATE_VERSION}, sort_keys=True))
 
 
 def load_state(path: str) -> dict:
     """A saved state. Version 2 and files without one knew one corpus list and no late corpora; later ones are refused."""
-    state = json.loads(Path(path).read_text())
+    state = json.loads(storage.read_text(path))
     version = state.get("version", 1)
     if version in (1, 2):
         return {"late": [], "handed_off": 0} | state | {"version": STATE_VERSION}

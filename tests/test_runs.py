@@ -1,5 +1,6 @@
 import hashlib
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import hashing
 from millrace.operators import batches, bpe, metrics, mixing, ordering, sampling
-from millrace.sources import cached, config, files
+from millrace.sources import cached, config, corpus, files, shards, storage
 from millrace.streaming import discovery
 
 
@@ -90,28 +91,119 @@ def test_keyed_tables(spark, tmp_path):
     assert cached.keyed_table(spark, path, {"a": 2}, build, rebuild=True)[1] is False and len(made) == 4
 
 
-def test_corpora_are_kept_within_a_budget(spark, tmp_path):
-    for k in ("a", "b"):
-        spark.range(1000).write.parquet(str(tmp_path / k))
-    one = cached.CorpusCache(spark, 1 << 20)
-    assert one.read(str(tmp_path / "a")) is one.read(str(tmp_path / "a")) and one.read(str(tmp_path / "b")).count() == 1000 and len(one.kept) == 2
-    one.release()
-    none = cached.CorpusCache(spark, 10)
-    assert none.read(str(tmp_path / "a")).count() == 1000 and not none.kept
-
-
 def test_only_changed_tasks_are_written(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "task string, x int")
-    tasks = lambda b: spark.createDataFrame([("a", "1"), ("b", b)], "task string, fingerprint string")
-    seen = []
-
-    def encode(df):
-        seen.append(sorted(r.x for r in df.collect()))
-        return df
+    path, asked = str(tmp_path / "out"), []
+
+    def run(marks, **how):
+        def encoded(names):
+            asked.append(sorted(names))
+            return rows.where(rows.task.isin(names) & (rows.x > 0)).selectExpr("task", f"x + {marks.get('add', 0)} AS x")
+
+        tasks = [shards.Task(k, v) for k, v in marks.items() if k != "add"]
+        return shards.write_tasks(spark, tasks, path, encoded, totals=("x",), **how)
+
+    read = lambda: sorted(r.x for r in shards.read_tasks(spark, path).collect())
+    folders = lambda: [n for n in storage.names_in(f"{path}/shards") if n.startswith("part=")]
+    assert run({"a": "1", "b": "1"}) == 2 and read() == [1, 2, 3]
+    assert run({"a": "1", "b": "1"}) == 0 and run({"a": "1", "b": "2", "add": 10}) == 1 and read() == [1, 2, 13]
+    assert asked == [["a", "b"], ["b"]] and [e["totals"]["x"] for e in shards.task_rows(path)] == [3, 13]
+    # a task that wrote rows and has none now, one that is gone, and one that comes in between
+    assert run({"a": "1", "c": "1"}) == 1 and read() == [1, 2] and len(folders()) == 1
+    assert run({"c": "1", "a": "1"}) == 0 and [e["task"] for e in shards.task_rows(path)] == ["c", "a"]
+    # what a run that died has left is neither read nor kept
+    rows.withColumnRenamed("task", "part").write.partitionBy("part").mode("append").parquet(f"{path}/shards")
+    assert read() == [1, 2] and run({"a": "1"}) == 0 and len(folders()) == 1
+    with pytest.raises(ValueError, match="rerun with --fresh"):
+        run({"b": "1", "a": "1"}, in_place=True)
+    assert run({"b": "1", "a": "1"}, in_place=True, fresh=True) == 2 and read() == [1, 2, 3]
+    assert run({}) == 0 and read() == []
+
+
+def test_waves_commit_one_by_one(spark, tmp_path):
+    """A run that dies in its second wave leaves the first one for the next run."""
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "task string, x int")
+    tasks, asked = [shards.Task(k, "1", 10) for k in "abc"], []
+
+    def encoded(names, dies=False):
+        asked.append(sorted(names))
+        if dies and "b" in names:
+            raise RuntimeError("lost")
+        return rows.where(rows.task.isin(names))
 
     path = str(tmp_path / "out")
-    assert [cached.write_tasks(rows, tasks(f), path, encode) for f in ("1", "1", "2")] == [2, 0, 1]
-    assert seen == [[1, 2, 3], [3]] and spark.read.parquet(f"{path}/shards").count() == 3
+    with pytest.raises(RuntimeError):
+        shards.write_tasks(spark, tasks, path, lambda names: encoded(names, True), wave_bytes=10)
+    assert [r.x for r in shards.read_tasks(spark, path).collect()] == [1]
+    assert shards.write_tasks(spark, tasks, path, encoded, wave_bytes=20) == 2 and asked == [["a"], ["b"], ["b", "c"]]
+    assert sorted(r.x for r in shards.read_tasks(spark, path).collect()) == [1, 2, 3]
+
+
+def test_build_scenarios(spark, tmp_path):
+    """Fresh build, unchanged rerun, an earlier file, fresh again, a file less, refusals of the loader."""
+    source, out = tmp_path / "in put", str(tmp_path / "out")
+    source.mkdir()
+    reads = []
+
+    def put(name, *texts):
+        (source / name).write_text("".join(json.dumps({"text": t}) + "\n" for t in texts))
+
+    def encode(rows):
+        reads.append(sorted({r.task.rpartition("/")[2] for r in rows.collect()}))
+        ids = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: i)
+        return rows.select("task", ids.alias("ids"), F.length("text").alias("n_tokens"))
+
+    build = lambda fresh=False: corpus.build_corpus(spark, files.listed(str(source)), out, encode, "c", 1000, "aa", 2, fresh)
+    put("b.jsonl", "beta document", " ", "more")
+    first = build(fresh=True)
+    assert (first["documents"], first["tokens"], first["complete"]) == (2, 17, True)
+    assert build() == first and reads == [["b.jsonl"]]
+    put("a.jsonl", "alpha document")
+    with pytest.raises(ValueError, match="rerun with --fresh"):
+        build()
+    assert build(fresh=True)["documents"] == 3 and corpus.read_corpus(spark, out, 1000, "aa").count() == 3
+    (source / "b.jsonl").unlink()
+    last = build()
+    assert len(last["shard_files"]) == 1 and last["shard_files"][0].startswith("part=000000-") and corpus.read_corpus(spark, out).count() == 1 and len(reads) == 2
+    spark.createDataFrame([("x", 1)], "text string, y int").coalesce(1).write.parquet(str(tmp_path / "p"))
+    next((tmp_path / "p").glob("*.parquet")).rename(source / "c.parquet")
+    assert build()["documents"] == 2 and reads[-1] == ["c.parquet"]
+    marker = Path(out) / "corpus.json"
+    kept = marker.read_text()
+    for text, match in ((None, "no corpus.json"), (json.dumps(json.loads(kept) | {"complete": False}), "not marked complete")):
+        marker.unlink() if text is None else marker.write_text(text)
+        with pytest.raises(ValueError, match=match):
+            corpus.read_corpus(spark, out)
+    marker.write_text(kept)
+    (Path(out) / "shards" / "part=999999-x").mkdir()
+    with pytest.raises(ValueError, match="shard set does not match"):
+        corpus.read_corpus(spark, out)
+    (source / "d.jsonl.gz").write_bytes(b"")
+    with pytest.raises(ValueError, match="gzip"):
+        build()
+    (source / "d.jsonl.gz").unlink()
+    put("d.jsonl", "x")
+    (source / "d.jsonl").write_text("[1]\n")
+    with pytest.raises(Exception, match="not a JSON object"):
+        build()
+    assert files.listed("file://" + str(source))[0].path == str(source / "a.jsonl") and files.input_files(str(tmp_path / "none")) == []
+
+
+def test_first_lines_move_no_line(spark, tmp_path):
+    lines = {"a": ["1", "", "2", "3"], "b": [], "c": [str(i) for i in range(4, 60)], "d": ["z"] * 5}
+    for name, own in lines.items():
+        (tmp_path / f"{name}.txt").write_text("\n".join(own) + "\n")
+    (tmp_path / "bb.txt").write_bytes("é\n\nü\n".encode("utf-16"))
+    order = ["1", "2", "3", "é", "ü", *lines["c"], *lines["d"]]
+    paths = files.input_files(str(tmp_path), ("*.txt",))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16b")
+    try:
+        for n in (0, 1, 3, 4, 5, 6, 20, 61, 62, 66, 100):
+            df = files.first_lines(spark, paths, n)
+            assert sorted(r.line for r in df.collect()) == sorted(order[:n]), n
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_tokenizer_file_round_trip(spark, tmp_path):
@@ -231,13 +323,18 @@ def test_command_line(spark, tmp_path):
 
     root = tmp_path / "in"
     root.mkdir()
-    (root / "a.jsonl").write_text("".join(json.dumps({"text": f"some words and number {i}"}) + "\n" for i in range(30)) + "broken\n")
+    (root / "a.jsonl").write_text("".join(json.dumps({"text": f"some words and number {i}"}) + "\n" for i in range(30)))
     t = str(tmp_path / "t.json")
     assert main(["tokenizer", "--input", str(root), "--output", t, "--vocab-size", "266"])["vocab_size"] == 266
     with pytest.raises(ValueError, match="merges"):
         main(["tokenizer", "--input", str(root), "--output", t + "2", "--vocab-size", "400"])
     meta = main(["build", "--input", str(root), "--output", str(tmp_path / "out"), "--tokenizer", t, "--name", "x"])
     assert (meta["documents"], meta["vocab_size"], meta["complete"]) == (30, 266, True)
+    (root / "b.jsonl").write_text("broken\n")
+    for command in (["tokenizer", "--vocab-size", "266", "--output", t + "3"], ["build", "--output", str(tmp_path / "out"), "--tokenizer", t, "--name", "x"]):
+        with pytest.raises(Exception, match="not a JSON object"):
+            main([command[0], "--input", str(root), *command[1:]])
+    assert main(["build", "--input", str(root), "--exclude", "b.*", "--output", str(tmp_path / "out"), "--tokenizer", t, "--name", "x"])["documents"] == 30
     totals = main(["sample", "--input", str(root), "--output", str(tmp_path / "s"), "--manifest", str(tmp_path / "m.json"), "--samples-per-file", "4"])
     assert (totals["valid_documents"], totals["invalid_records"]) == (30, 1)
     assert spark.read.json(str(tmp_path / "s")).count() == 4
