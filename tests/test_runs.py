@@ -40,7 +40,16 @@ def test_gb18030_is_split_and_decoded(spark, tmp_path):
     assert sorted(r.t for r in got) == sorted(f"汉字{i}㐀" for i in range(3000))
 
 
-def test_sampler_needs_files(tmp_path):
+def test_wide_encodings_are_read_whole(spark, tmp_path):
+    for name in ("utf-16", "utf-32", "utf-8-sig", "gb18030"):
+        (tmp_path / f"{name}.jsonl").write_bytes("".join(f'{{"text": "汉字 ä {i}"}}\n' for i in range(50)).encode(name))
+    paths = files.input_files(str(tmp_path))
+    assert [files.encoding_of(p) for p in paths] == ["gb18030", "utf-16", "utf-32", "utf-8-sig"]
+    got = files.json_lines(spark, paths).select(F.try_variant_get("record", "$.text", "string").alias("t")).collect()
+    assert sorted(r.t for r in got) == sorted([f"汉字 ä {i}" for i in range(50)] * 4)
+
+
+def test_sampler_needs_files(spark, tmp_path):
     with pytest.raises(ValueError, match="no JSON-lines files"):
         files.sample_files(str(tmp_path))
 
