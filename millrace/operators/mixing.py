@@ -6,12 +6,14 @@ Everything here works on one row a document or piece; token ids are joined when
 from __future__ import annotations
 
 import math
+import uuid
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ordering import running
+from millrace.session import checkpoint_folder
 
 SEED_STEP = 1009
 
@@ -160,38 +162,95 @@ def committed(batches: DataFrame, handed_off: int) -> DataFrame:
     return batches.where(F.col("microbatch") < handed_off).groupBy("corpus").agg(F.sum("predictions").cast("long").alias("emitted"))
 
 
-def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: int) -> DataFrame:
-    """The queue itself, piece by piece, over lengths only: corpus, doc, offset, predictions, microbatch, slot.
+def _replay(docs: dict[str, list], done: dict[str, int], scale: dict[str, int], marks: list[int], budget: int, longest: int) -> tuple[list, list[dict]]:
+    """The queue from the predictions that each corpus has given: pieces (start tag, corpus, doc, offset, predictions, at), and what
+    had been given when the least tag reached each mark. docs: (first prediction in the corpus, predictions, doc) in order.
 
-    One group folds all documents' lengths, as the order of a cut piece depends on all before it. Use
-    ``packed`` where the order of cut pieces needn't be exact.
+    A corpus's place follows from what it has given, and the place in the batches from the sum of it: there is no other state.
+    """
+    queues = {c: [d for d in reversed(rows) if d[0] + d[1] > done[c]] for c, rows in docs.items()}
+    at, out, states, waiting = sum(done.values()), [], [], list(marks)
+    while True:
+        live = [c for c in queues if queues[c]]
+        least = min((done[c] * scale[c] for c in live), default=math.inf)
+        while waiting and least >= waiting[0]:
+            states.append(dict(done))
+            waiting.pop(0)
+        if not waiting:
+            return out, states
+        c = next(c for c in live if done[c] * scale[c] == least)
+        begin, k, doc = queues[c][-1]
+        n = min(longest, budget - at % budget, begin + k - done[c])
+        out.append((least, c, doc, done[c] - begin, n, at))
+        done[c] += n
+        at += n
+        if done[c] == begin + k:
+            queues[c].pop()
+
+
+def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: int, chunk: int = 1 << 22, warm: int | None = None) -> DataFrame:
+    """The queue itself, piece by piece, over lengths only: corpus, doc_id, offset, predictions, microbatch, slot. Equal to one fold over all documents.
+
+    Start tags never fall, so the queue is cut at multiples of a tag into stretches of about ``chunk`` predictions, which tasks replay
+    apart. A stretch doesn't know where its first pieces begin, as that depends on all cuts before: it starts ``warm`` predictions earlier at
+    the begin of documents, by when it has nearly always met the true course, and reports what each corpus had given at both ends. The driver
+    compares these (a row a stretch and corpus); stretches whose begin isn't their forerunner's end are replayed from there until all ends meet. Every round
+    makes one more stretch certain at least, and ties go to the earlier corpus, so the result doesn't depend on how it was cut.
     """
     import pandas as pd
 
-    scale = integer_weights(corpora)
-    names = [c["name"] for c in corpora]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        queues = {c: rows[rows.corpus == c].sort_values("position")[["doc_id", "n_tokens"]].values.tolist()[::-1] for c in names}
-        head: dict = {c: None for c in names}
-        done, out, batch, slot, kept = dict.fromkeys(names, 0), [], 0, 0, 0
-        while True:
-            for c in names:
-                while head[c] is None and queues[c]:
-                    doc, n = queues[c].pop()
-                    head[c] = (doc, 0, n - 1) if n >= 2 else None
-            live = [c for c in names if head[c] is not None]
-            if not live:
-                break
-            c = min(live, key=lambda x: (done[x] * scale[x], names.index(x)))
-            doc, at, left = head[c]
-            k = min(longest, budget - slot, left)
-            out.append((c, doc, at, k, batch, slot))
-            done[c] += k
-            head[c] = (doc, at + k, left - k) if left > k else None
-            slot += k
-            if slot == budget:
-                batch, slot, kept = batch + 1, 0, len(out)
-        return pd.DataFrame(out[:kept], columns=["corpus", "doc_id", "offset", "predictions", "microbatch", "slot"])
-
-    return parts_of.select(F.lit(0).alias("all"), "corpus", "doc_id", "n_tokens", "position").groupBy("all").applyInPandas(fold, "corpus string, doc_id long, offset long, predictions long, microbatch long, slot long")
+    spark = parts_of.sparkSession
+    scale, names = integer_weights(corpora), [c["name"] for c in corpora]
+    per = max(1, chunk * math.prod(scale.values()) // sum(math.prod(scale.values()) // v for v in scale.values()))  # tags of a stretch
+    lead = per * (warm if warm is not None else max(8 * budget, chunk // 16)) // chunk
+    docs = running(parts_of.where("n_tokens >= 2").select("corpus", "doc_id", "position", (F.col("n_tokens") - 1).cast("long").alias("k")), ["position"], F.col("k"), by=["corpus"], rank="_rank").drop("_rank", "position")
+    totals = {n: 0 for n in names} | {r.corpus: r.k for r in docs.groupBy("corpus").agg(F.sum("k").alias("k")).collect()}  # a row a corpus
+    factors = spark.createDataFrame([(k, v) for k, v in scale.items()], "corpus string, factor long")
+    first = F.floor(F.greatest(F.col("before") * F.col("factor") - 1, F.lit(0)) / per)
+    last = F.floor(((F.col("before") + F.col("k")) * F.col("factor") - 1 + lead) / per)
+    placed = docs.join(F.broadcast(factors), "corpus").withColumn("stretch", F.explode(F.sequence(first.cast("long"), last.cast("long")))).drop("factor")
+    ends = max((totals[n] * scale[n] for n in names), default=0)
+    placed = placed.where(F.col("stretch") < -(-ends // per))
+    folder = f"{checkpoint_folder(spark)}/queue-{uuid.uuid4().hex}"
+    placed.write.option("compression", "zstd").parquet(f"{folder}/placed")
+    placed = spark.read.schema(placed.schema).parquet(f"{folder}/placed")
+    fields = "stretch long, corpus string, doc_id long, offset long, predictions long, microbatch long, slot long, given array<long>"
+
+    def replay(known: dict[int, list[int]]):
+        def fold(rows: pd.DataFrame) -> pd.DataFrame:
+            i = int(rows.stretch.iloc[0])
+            own = {c: sorted(map(tuple, rows.loc[rows.corpus == c, ["before", "k", "doc_id"]].values.tolist())) for c in names}
+            marks = [i * per, (i + 1) * per]
+            if i in known:
+                done = dict(zip(names, known[i]))
+            else:  # from the begin of the documents that are under way at the earlier tag; a corpus without any is over
+                done = {c: own[c][0][0] if own[c] else totals[c] for c in names}
+            pieces, states = _replay(own, done, scale, marks, budget, longest)
+            out = [(i, c, d, o, n, at // budget, at % budget, None) for tag, c, d, o, n, at in pieces if tag >= marks[0]]
+            out += [(i, None, None, None, None, None, None, [s[c] for c in names]) for s in states]
+            return pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")]).astype({c: "Int64" for c in ("doc_id", "offset", "predictions", "microbatch", "slot")})
+
+        return fold
+
+    known: dict[int, list[int]] = {0: [0] * len(names)}
+    found, runs, todo = {}, {}, None
+    while todo is None or todo:
+        turn = max(runs.values(), default=-1) + 1
+        rows = placed if todo is None else placed.where(F.col("stretch").isin(todo))
+        # rows of documents that end before the stretch's own lead are not there, so a task holds about chunk predictions of each corpus at most
+        rows.groupBy("stretch").applyInPandas(replay(known), fields).write.option("compression", "zstd").parquet(f"{folder}/turn-{turn}")
+        states = spark.read.schema(fields).parquet(f"{folder}/turn-{turn}").where("given IS NOT NULL").select("stretch", "given").collect()
+        for i in {r.stretch for r in states}:
+            found[i] = sorted(r.given for r in states if r.stretch == i)  # what was given at the begin and at the end
+            runs[i] = turn
+        todo = [i for i in sorted(found) if i and found[i][0] != found[i - 1][1]]
+        known |= {i: found[i - 1][1] for i in todo}
+    if not runs:
+        return spark.createDataFrame([], "corpus string, doc_id long, offset long, predictions long, microbatch long, slot long")
+    which = spark.createDataFrame(list(runs.items()), "stretch long, turn int")
+    pieces = None
+    for turn in sorted(set(runs.values())):
+        part = spark.read.schema(fields).parquet(f"{folder}/turn-{turn}").withColumn("turn", F.lit(turn))
+        pieces = part if pieces is None else pieces.unionByName(part)
+    full = sum(totals.values()) // budget
+    return pieces.where("given IS NULL").join(F.broadcast(which), ["stretch", "turn"]).where(F.col("microbatch") < full).select("corpus", "doc_id", "offset", "predictions", "microbatch", "slot")

@@ -58,6 +58,36 @@ def test_packed_batches_cover_every_prediction(spark):
     assert abs(first["a"] - first["b"]) <= 32
 
 
+def plain_queue(rows, plan, budget, longest):
+    """One fold over all documents: the corpus that has given least by its weight gives its next piece, ties to the earlier one."""
+    scale, names = mixing.integer_weights(plan), [c["name"] for c in plan]
+    queues = {c: [(d, n) for _, d, n in sorted((p, d, n) for k, d, n, p in rows if k == c and n >= 2)] for c in names}
+    at, given, out, total = dict.fromkeys(names, 0), dict.fromkeys(names, 0), [], 0
+    while any(queues.values()):
+        c = min((k for k in names if queues[k]), key=lambda k: (given[k] * scale[k], names.index(k)))
+        doc, n = queues[c][0]
+        k = min(longest, budget - total % budget, n - 1 - at[c])
+        out.append((c, doc, at[c], k, total // budget, total % budget))
+        given[c], total, at[c] = given[c] + k, total + k, at[c] + k
+        if at[c] == n - 1:
+            queues[c].pop(0)
+            at[c] = 0
+    return sorted(r for r in out if r[4] < total // budget)
+
+
+@pytest.mark.parametrize("chunk,warm", [(300, 0), (300, 100), (2000, None), (1 << 22, None)])
+def test_queue_in_stretches_is_the_queue(spark, chunk, warm):
+    import random
+
+    rng = random.Random(chunk)
+    plan = [{"name": "a", "weight": 0.5}, {"name": "b", "weight": 0.3}, {"name": "c", "weight": 1.7}, {"name": "none", "weight": 1}]
+    rows = [("a", i, rng.choice([0, 1, 2, 5, 40]), i) for i in range(300)] + [("b", 1000 + i, rng.randint(2, 300), 50 - i) for i in range(30)] + [("c", 2000, 3000, 0), ("c", 2001, 7, 1)]
+    df = spark.createDataFrame(rows, "corpus string, doc_id long, n_tokens long, position long")
+    got = sorted(tuple(r) for r in mixing.pack_exact(df, plan, 128, 32, chunk, warm).collect())
+    assert got == plain_queue(rows, plan, 128, 32)
+    assert mixing.pack_exact(df.limit(0), plan, 128, 32, chunk, warm).count() == 0
+
+
 def test_masks_and_padding(spark):
     df = spark.createDataFrame([([("user", "hi"), ("assistant", "yé")],)], "m array<struct<role:string,content:string>>")
     x = df.select(batches.sft_messages(F.col("m")).alias("x")).first().x
