@@ -162,23 +162,25 @@ def committed(batches: DataFrame, handed_off: int) -> DataFrame:
     return batches.where(F.col("microbatch") < handed_off).groupBy("corpus").agg(F.sum("predictions").cast("long").alias("emitted"))
 
 
-def _replay(docs: dict[str, list], done: dict[str, int], scale: dict[str, int], marks: list[int], budget: int, longest: int) -> tuple[list, list[dict]]:
+def _replay(docs: dict[str, list], done: dict[str, int], scale: dict[str, int], heads: dict[str, int], marks: list[int], base: int, budget: int, longest: int) -> tuple[list, list[dict]]:
     """The queue from the predictions that each corpus has given: pieces (start tag, corpus, doc, offset, predictions, at), and what
-    had been given when the least tag reached each mark. docs: (first prediction in the corpus, predictions, doc) in order.
+    had been given when the least tag reached each mark. docs: (first prediction in the corpus, predictions, doc) in order; base: what had been
+    given before the first batch.
 
     A corpus's place follows from what it has given, and the place in the batches from the sum of it: there is no other state.
     """
     queues = {c: [d for d in reversed(rows) if d[0] + d[1] > done[c]] for c, rows in docs.items()}
-    at, out, states, waiting = sum(done.values()), [], [], list(marks)
+    at, out, states, waiting = sum(done.values()) - base, [], [], list(marks)
+    tag = lambda c: heads[c] + done[c] * scale[c]
     while True:
         live = [c for c in queues if queues[c]]
-        least = min((done[c] * scale[c] for c in live), default=math.inf)
+        least = min(map(tag, live), default=math.inf)
         while waiting and least >= waiting[0]:
             states.append(dict(done))
             waiting.pop(0)
         if not waiting:
             return out, states
-        c = next(c for c in live if done[c] * scale[c] == least)
+        c = next(c for c in live if tag(c) == least)
         begin, k, doc = queues[c][-1]
         n = min(longest, budget - at % budget, begin + k - done[c])
         out.append((least, c, doc, done[c] - begin, n, at))
@@ -188,7 +190,7 @@ def _replay(docs: dict[str, list], done: dict[str, int], scale: dict[str, int],
             queues[c].pop()
 
 
-def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: int, chunk: int = 1 << 22, warm: int | None = None) -> DataFrame:
+def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: int, chunk: int = 1 << 22, warm: int | None = None, given: dict[str, int] | None = None, heads: dict[str, int] | None = None) -> DataFrame:
     """The queue itself, piece by piece, over lengths only: corpus, doc_id, offset, predictions, microbatch, slot. Equal to one fold over all documents.
 
     Start tags never fall, so the queue is cut at multiples of a tag into stretches of about ``chunk`` predictions, which tasks replay
@@ -196,6 +198,10 @@ def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: i
     the begin of documents, by when it has nearly always met the true course, and reports what each corpus had given at both ends. The driver
     compares these (a row a stretch and corpus); stretches whose begin isn't their forerunner's end are replayed from there until all ends meet. Every round
     makes one more stretch certain at least, and ties go to the earlier corpus, so the result doesn't depend on how it was cut.
+
+    given: what each corpus has given in batches that were handed over (``committed``); the queue goes on there, with batch 0. Batches
+    prepared beyond them are forgotten, so the next ones may have another budget or length, or further corpora. heads: the tags at which corpora
+    that came later begin.
     """
     import pandas as pd
 
@@ -203,14 +209,21 @@ def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: i
     scale, names = integer_weights(corpora), [c["name"] for c in corpora]
     per = max(1, chunk * math.prod(scale.values()) // sum(math.prod(scale.values()) // v for v in scale.values()))  # tags of a stretch
     lead = per * (warm if warm is not None else max(8 * budget, chunk // 16)) // chunk
+    start = {n: (given or {}).get(n, 0) for n in names}
+    begin_at = {n: (heads or {}).get(n, 0) for n in names}
     docs = running(parts_of.where("n_tokens >= 2").select("corpus", "doc_id", "position", (F.col("n_tokens") - 1).cast("long").alias("k")), ["position"], F.col("k"), by=["corpus"], rank="_rank").drop("_rank", "position")
     totals = {n: 0 for n in names} | {r.corpus: r.k for r in docs.groupBy("corpus").agg(F.sum("k").alias("k")).collect()}  # a row a corpus
-    factors = spark.createDataFrame([(k, v) for k, v in scale.items()], "corpus string, factor long")
-    first = F.floor(F.greatest(F.col("before") * F.col("factor") - 1, F.lit(0)) / per)
-    last = F.floor(((F.col("before") + F.col("k")) * F.col("factor") - 1 + lead) / per)
-    placed = docs.join(F.broadcast(factors), "corpus").withColumn("stretch", F.explode(F.sequence(first.cast("long"), last.cast("long")))).drop("factor")
-    ends = max((totals[n] * scale[n] for n in names), default=0)
-    placed = placed.where(F.col("stretch") < -(-ends // per))
+    live = [n for n in names if start[n] < totals[n]]
+    if not live:
+        return spark.createDataFrame([], "corpus string, doc_id long, offset long, predictions long, microbatch long, slot long")
+    factors = spark.createDataFrame([(k, v, begin_at[k], start[k]) for k, v in scale.items()], "corpus string, factor long, head long, given long")
+    left = docs.join(F.broadcast(factors), "corpus").where(F.col("before") + F.col("k") > F.col("given"))  # documents that were used up are over
+    first = F.floor(F.greatest(F.col("head") + F.col("before") * F.col("factor") - 1, F.lit(0)) / per)
+    last = F.floor((F.col("head") + (F.col("before") + F.col("k")) * F.col("factor") - 1 + lead) / per)
+    placed = left.withColumn("stretch", F.explode(F.sequence(first.cast("long"), last.cast("long")))).drop("factor", "head", "given")
+    initial = min(begin_at[n] + start[n] * scale[n] for n in live) // per
+    ends = max(begin_at[n] + totals[n] * scale[n] for n in live)
+    placed = placed.where((F.col("stretch") < -(-ends // per)) & (F.col("stretch") >= initial))
     folder = f"{checkpoint_folder(spark)}/queue-{uuid.uuid4().hex}"
     placed.write.option("compression", "zstd").parquet(f"{folder}/placed")
     placed = spark.read.schema(placed.schema).parquet(f"{folder}/placed")
@@ -224,15 +237,15 @@ def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: i
             if i in known:
                 done = dict(zip(names, known[i]))
             else:  # from the begin of the documents that are under way at the earlier tag; a corpus without any is over
-                done = {c: own[c][0][0] if own[c] else totals[c] for c in names}
-            pieces, states = _replay(own, done, scale, marks, budget, longest)
+                done = {c: max(start[c], own[c][0][0]) if own[c] else start[c] if begin_at[c] + start[c] * scale[c] >= marks[1] else totals[c] for c in names}
+            pieces, states = _replay(own, done, scale, begin_at, marks, sum(start.values()), budget, longest)
             out = [(i, c, d, o, n, at // budget, at % budget, None) for tag, c, d, o, n, at in pieces if tag >= marks[0]]
             out += [(i, None, None, None, None, None, None, [s[c] for c in names]) for s in states]
             return pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")]).astype({c: "Int64" for c in ("doc_id", "offset", "predictions", "microbatch", "slot")})
 
         return fold
 
-    known: dict[int, list[int]] = {0: [0] * len(names)}
+    known: dict[int, list[int]] = {initial: [start[c] for c in names]}
     found, runs, todo = {}, {}, None
     while todo is None or todo:
         turn = max(runs.values(), default=-1) + 1
@@ -243,14 +256,13 @@ def pack_exact(parts_of: DataFrame, corpora: list[dict], budget: int, longest: i
         for i in {r.stretch for r in states}:
             found[i] = sorted(r.given for r in states if r.stretch == i)  # what was given at the begin and at the end
             runs[i] = turn
-        todo = [i for i in sorted(found) if i and found[i][0] != found[i - 1][1]]
-        known |= {i: found[i - 1][1] for i in todo}
-    if not runs:
-        return spark.createDataFrame([], "corpus string, doc_id long, offset long, predictions long, microbatch long, slot long")
+        order = sorted(found)  # stretches without a document, between a corpus's end and a later one's head, are not there
+        todo = [i for h, i in zip(order, order[1:]) if found[i][0] != found[h][1]]
+        known |= {i: found[h][1] for h, i in zip(order, order[1:]) if i in todo}
     which = spark.createDataFrame(list(runs.items()), "stretch long, turn int")
     pieces = None
     for turn in sorted(set(runs.values())):
         part = spark.read.schema(fields).parquet(f"{folder}/turn-{turn}").withColumn("turn", F.lit(turn))
         pieces = part if pieces is None else pieces.unionByName(part)
-    full = sum(totals.values()) // budget
+    full = (sum(totals.values()) - sum(start.values())) // budget
     return pieces.where("given IS NULL").join(F.broadcast(which), ["stretch", "turn"]).where(F.col("microbatch") < full).select("corpus", "doc_id", "offset", "predictions", "microbatch", "slot")

@@ -58,13 +58,17 @@ def test_packed_batches_cover_every_prediction(spark):
     assert abs(first["a"] - first["b"]) <= 32
 
 
-def plain_queue(rows, plan, budget, longest):
+def plain_queue(rows, plan, budget, longest, given=None, heads=None):
     """One fold over all documents: the corpus that has given least by its weight gives its next piece, ties to the earlier one."""
     scale, names = mixing.integer_weights(plan), [c["name"] for c in plan]
     queues = {c: [(d, n) for _, d, n in sorted((p, d, n) for k, d, n, p in rows if k == c and n >= 2)] for c in names}
-    at, given, out, total = dict.fromkeys(names, 0), dict.fromkeys(names, 0), [], 0
+    at, given, heads, out, total = dict.fromkeys(names, 0), dict.fromkeys(names, 0) | (given or {}), dict.fromkeys(names, 0) | (heads or {}), [], 0
+    for c, used in given.items():
+        while queues[c] and used >= queues[c][0][1] - 1:
+            used -= queues[c].pop(0)[1] - 1
+        at[c] = used
     while any(queues.values()):
-        c = min((k for k in names if queues[k]), key=lambda k: (given[k] * scale[k], names.index(k)))
+        c = min((k for k in names if queues[k]), key=lambda k: (heads[k] + given[k] * scale[k], names.index(k)))
         doc, n = queues[c][0]
         k = min(longest, budget - total % budget, n - 1 - at[c])
         out.append((c, doc, at[c], k, total // budget, total % budget))
@@ -86,6 +90,16 @@ def test_queue_in_stretches_is_the_queue(spark, chunk, warm):
     got = sorted(tuple(r) for r in mixing.pack_exact(df, plan, 128, 32, chunk, warm).collect())
     assert got == plain_queue(rows, plan, 128, 32)
     assert mixing.pack_exact(df.limit(0), plan, 128, 32, chunk, warm).count() == 0
+    # after five batches were handed over: the same batches again, or others of another size with a corpus that came late
+    state = {c: sum(r[3] for r in got if r[0] == c and r[4] < 5) for c in "abc"}
+    on = lambda df, plan, budget, **how: sorted(tuple(r) for r in mixing.pack_exact(df, plan, budget, 32, chunk, warm, given=state, **how).collect())
+    assert on(df, plan, 128) == sorted((*r[:4], r[4] - 5, r[5]) for r in got if r[4] >= 5)
+    more = [*plan[:3], {"name": "none", "weight": 2.5}]
+    rows += [("none", 5000 + i, 20 + i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "corpus string, doc_id long, n_tokens long, position long")
+    scale = mixing.integer_weights(more)
+    head = max(state[c] * scale[c] for c in "abc")
+    assert on(df, more, 96, heads={"none": head}) == plain_queue(rows, more, 96, 32, state, {"none": head})
 
 
 def test_masks_and_padding(spark):
