@@ -8,16 +8,33 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import running
+
 
 def fingerprint(*cols: str) -> Column:
     """SHA-256 of the canonical JSON (keys sorted) of the named columns."""
     return F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
 
 
-def combined(df: DataFrame, order: str, mark: str, by: list[str]) -> DataFrame:
-    """SHA-256 of each group's fingerprints joined by line ends, in order. Groups are runs of files, not of rows."""
-    marks = F.transform(F.array_sort(F.collect_list(F.struct(order, mark))), lambda x: x[mark])
-    return df.groupBy(*by).agg(F.sha2(F.array_join(marks, "\n"), 256).alias("fingerprint"), F.count("*").alias("tasks"))
+#: Fingerprints that are joined to one text at most.
+FOLD = 1 << 16
+
+
+def combined(df: DataFrame, order: str, mark: str, by: list[str], fold: int = FOLD) -> DataFrame:
+    """SHA-256 of each group's fingerprints joined by line ends, in order (ties by fingerprint).
+
+    Of a group of over ``fold`` fingerprints, runs of so many are folded first, then the runs' digests (one alone stays itself), level by level, so that no
+    task holds more than one run. The digest depends on the rows and their order, not on how they are partitioned.
+    """
+    rows = running(df.select(*by, F.col(order).alias("_o"), F.col(mark).alias("_m")), ["_o", "_m"], by=by, rank="_at", before="_none").select(*by, "_at", "_m", F.lit(1).cast("long").alias("_n"))
+    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    first = True
+    while first or most > 1:
+        runs = F.floor(F.col("_at") / fold).cast("long").alias("_at")
+        marks = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_m"))), lambda x: x["_m"])
+        rows = rows.select(*by, runs.alias("_run"), "_at", "_m", "_n").groupBy(*by, "_run").agg(F.when((F.count("*") == 1) & F.lit(not first), F.first("_m")).otherwise(F.sha2(F.array_join(marks, "\n"), 256)).alias("_m"), F.sum("_n").alias("_n")).withColumnRenamed("_run", "_at")
+        most, first = -(-most // fold), False
+    return rows.select(*by, F.col("_m").alias("fingerprint"), F.col("_n").alias("tasks"))
 
 
 def canonical_digest(value) -> str:

@@ -6,6 +6,8 @@ Rows are range-partitioned by the order; windows run inside partitions, and the
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,13 @@ def prefix_budget(df: DataFrame, order: list, size: Column, most: int, count: in
 
 def shard_of(ranks: DataFrame, documents: list[int], rank: str = "rank") -> DataFrame:
     """ranks with shard and row: the shard in which a rank over all documents lies, and its place there. documents: of each shard, in order."""
-    ends = [sum(documents[: i + 1]) for i in range(len(documents))]
-    bounds = F.array(*map(F.lit, ends)) if ends else F.array().cast("array<int>")
-    shard = F.size(F.filter(bounds, lambda b: b <= F.col(rank)))
-    begin = F.element_at(F.array(*map(F.lit, [0, *ends])), shard + 1)
-    return ranks.where((F.col(rank) >= 0) & (F.col(rank) < (ends[-1] if ends else 0))).withColumn("shard", shard).withColumn("row", F.col(rank) - begin)
+    ends = np.cumsum(np.asarray(documents, np.int64))  # eight bytes a shard go to each task, and a rank is looked up by halving
+    total = int(ends[-1]) if len(ends) else 0
+
+    @F.pandas_udf("shard long, row long")
+    def find(r: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(ends, r.to_numpy(), side="right")
+        return pd.DataFrame({"shard": at, "row": r.to_numpy() - np.concatenate([[0], ends])[at]})
+
+    found = ranks.where((F.col(rank) >= 0) & (F.col(rank) < total)).withColumn("_found", find(F.col(rank).cast("long")))
+    return found.withColumns({"shard": F.col("_found.shard"), "row": F.col("_found.row")}).drop("_found")

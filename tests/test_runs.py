@@ -349,3 +349,27 @@ def test_command_line(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).count() == 4
     (probe,) = main(["qa", "--tokenizer", t, "--text", "some é words"])["probes"]
     assert probe["exact"] and probe["tokens"] > 3
+
+
+def test_folded_fingerprints(spark):
+    rows = [("a", i * 7 % 1000, f"m{i}") for i in range(1000)] + [("b", 5, "x"), ("b", 5, "a"), (None, 1, "z")]
+    df = spark.createDataFrame(rows, "g string, o int, m string")
+
+    def plain(marks, fold, first=True):
+        sha = lambda part: part[0] if len(part) == 1 and not first else hashlib.sha256("\n".join(part).encode()).hexdigest()
+        marks = [sha(marks[i : i + fold]) for i in range(0, len(marks), fold)]
+        return marks[0] if len(marks) == 1 else plain(marks, fold, False)
+
+    for fold in (1 << 16, 1000, 999, 10, 3):
+        want = {g: (plain([m for k, _, m in sorted(rows, key=lambda r: r[1:]) if k == g], fold), sum(k == g for k, _, _ in rows)) for g in ("a", "b", None)}
+        got = {r.g: (r.fingerprint, r.tasks) for r in hashing.combined(df.repartition(5), "o", "m", ["g"], fold).collect()}
+        assert got == want, fold
+        assert got == {r.g: (r.fingerprint, r.tasks) for r in hashing.combined(df.coalesce(1), "o", "m", ["g"], fold).collect()}
+
+
+def test_many_shards_are_searched_by_halving(spark):
+    sizes = [i % 3 for i in range(100_000)]
+    ends = np.cumsum(sizes)
+    ranks = [0, 1, 2, 50_000, int(ends[-1]) - 1]
+    got = {r["rank"]: (r.shard, r["row"]) for r in ordering.shard_of(spark.createDataFrame([(r,) for r in [*ranks, -1, int(ends[-1])]], "rank long"), sizes).collect()}
+    assert got == {r: ((s := int(np.searchsorted(ends, r, side="right"))), r - int(ends[s - 1] if s else 0)) for r in ranks}
