@@ -58,6 +58,68 @@ def shuffled(df: DataFrame, position: str, key: str, buffer: int, seed: int) ->
     return df.withColumn("out_order", F.col(position) + F.pmod(h, F.lit(buffer)))
 
 
+def draws(seed: int, begin: int, sizes: np.ndarray) -> np.ndarray:
+    """The buffer's draws from step ``begin`` on, each below its size; a draw depends on seed and step only."""
+    with np.errstate(over="ignore"):
+        x = (np.arange(begin, begin + len(sizes), dtype=np.uint64) + np.uint64(seed % 2**64) * np.uint64(0xD1342543DE82EF95)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ x >> np.uint64(32)) % sizes.astype(np.uint64)).astype(np.int64)
+
+
+def buffered(n: int, buffer: int, seed: int, begin: int, end: int) -> list[int]:
+    """When each of the rows begin to end (of n) leaves a shuffle buffer, without replaying what came before them.
+
+    The buffer is a list that is filled up behind and gives the row at a drawn place. Of rows before and behind the block only
+    their number in the list matters, so a block is replayed from the step at which its first row comes in to that at which its last one leaves.
+    """
+    step = max(0, begin - buffer + 1)
+    older, own, newer, came, out, left = begin - step, [], 0, begin, [0] * (end - begin), end - begin
+    while left:
+        for place in draws(seed, step, np.minimum(buffer, n - np.arange(step, min(n, step + 4096)))).tolist():
+            while older + len(own) + newer < buffer and came < n:
+                if came < end:
+                    own.append(came)
+                else:
+                    newer += 1
+                came += 1
+            if place < older:
+                older -= 1
+            elif place < older + len(own):
+                out[own.pop(place - older) - begin] = step
+                left -= 1
+            else:
+                newer -= 1
+            step += 1
+            if not left:
+                break
+    return out
+
+
+def shuffle_buffer(df: DataFrame, position: str, by: str, buffer: int, seed: int, block: int = 1 << 18) -> DataFrame:
+    """df with out_order: when its row leaves a shuffle buffer of so many rows, for each group apart. position: 0-based and gapless in a group.
+
+    Only numbers are shuffled, in blocks of positions that are replayed apart; rows are joined to them last. A buffer of at most 1 keeps the order.
+    """
+    import pyarrow as pa
+
+    sizes = df.groupBy(by).agg(F.count("*").alias("n"))
+    blocks = sizes.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long")))).repartition(by, "begin")
+    own = F.when(F.col(by).isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(seed), by))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                n, begin, mark = (b.column(k)[i].as_py() for k in (1, 2, 3))
+                end = min(n, begin + block)
+                order = buffered(n, max(1, buffer), mark, begin, end)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * (end - begin), b.schema.field(0).type), pa.array(np.arange(begin, end)), pa.array(order, pa.int64())], names=["_by", "_at", "out_order"])
+
+    kind = dict(df.dtypes)[by]
+    orders = blocks.select(by, "n", "begin", own.alias("mark")).mapInArrow(run, f"_by {kind}, _at long, out_order long")
+    return df.join(orders, df[by].eqNullSafe(orders["_by"]) & (df[position] == orders["_at"])).drop("_by", "_at")
+
+
 def hash_epochs(examples: DataFrame, key: str, epochs: int, seed: int) -> DataFrame:
     """examples once an epoch, with epoch and mark, whose order is that epoch's permutation; for any number of rows."""
     every = examples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

@@ -85,13 +85,15 @@ def top_k_logits(spark, sf_dir):
 
 
 def cosine_schedule(spark, sf_dir):
-    s = spark.range(1200).withColumnRenamed("id", "step")
-    return s.select("step", F.round(schedule.cosine_lr(F.col("step"), 1000, 100, 3e-4, 3e-5) * 1e4, 8).alias("lr"))
+    """The learning rate at the step of every event."""
+    s = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 1200).alias("step"))
+    return s.select("event_id", "step", F.round(schedule.cosine_lr(F.col("step"), 1000, 100, 3e-4, 3e-5) * 1e4, 8).alias("lr"))
 
 
 def sequence_schedule(spark, sf_dir):
-    s = spark.range(101).select((F.col("id") / 100).alias("progress"))
-    return s.select("progress", schedule.scheduled(F.col("progress"), [{"until": 0.3, "seq": 512}, {"until": 0.6}, {"until": 0.9, "seq": 2048}], "seq", 256).alias("seq"))
+    """The sequence length at the progress of every event."""
+    s = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 101 / 100).alias("progress"))
+    return s.select("event_id", "progress", schedule.scheduled(F.col("progress"), [{"until": 0.3, "seq": 512}, {"until": 0.6}, {"until": 0.9, "seq": 2048}], "seq", 256).alias("seq"))
 
 
 def fingerprints(spark, sf_dir):
@@ -192,8 +194,8 @@ ORACLES = {
     "router_summary": _RT + " SELECT label, round(load_cv, 6) AS load_cv, round(load_entropy, 6) AS load_entropy, round(aux_loss, 6) AS aux_loss FROM y",
     "layer_summary": _RT + " SELECT round(avg(aux_loss), 6) AS mean_aux, round(max(aux_loss), 6) AS worst_aux, count(*) AS layers FROM y",
     "top_k_logits": _LG + " SELECT vec_id, CAST(len(list_filter(g, lambda v: v >= list_reverse_sort(g)[3])) AS INTEGER) AS kept, round(list_reverse_sort(g)[3], 6) AS edge FROM g",
-    "cosine_schedule": "SELECT step, round(1e4 * CASE WHEN step < 100 THEN 3e-4 * (step + 1) / 100.0 WHEN step >= 1000 THEN 3e-5 ELSE 3e-5 + 0.5 * (1 + cos(pi() * ((step - 100) / 900.0))) * (3e-4 - 3e-5) END, 8) AS lr FROM range(0, 1200) AS r(step)",
-    "sequence_schedule": "SELECT i / 100 AS progress, CASE WHEN i / 100 < 0.6 THEN 512 ELSE 2048 END AS seq FROM range(0, 101) AS r(i)",
+    "cosine_schedule": "SELECT event_id, step, round(1e4 * CASE WHEN step < 100 THEN 3e-4 * (step + 1) / 100.0 WHEN step >= 1000 THEN 3e-5 ELSE 3e-5 + 0.5 * (1 + cos(pi() * ((step - 100) / 900.0))) * (3e-4 - 3e-5) END, 8) AS lr FROM (SELECT event_id, event_id % 1200 AS step FROM events)",
+    "sequence_schedule": "SELECT event_id, i / 100 AS progress, CASE WHEN i / 100 < 0.6 THEN 512 ELSE 2048 END AS seq FROM (SELECT event_id, event_id % 101 AS i FROM events)",
     "fingerprints": f"SELECT doc_id, {_FP} AS fingerprint FROM documents",
     "combined_fingerprints": f"SELECT source, sha256(string_agg({_FP}, chr(10) ORDER BY doc_id)) AS fingerprint, count(*) AS tasks FROM documents GROUP BY source",
     "corpus_reconcile": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS status FROM (SELECT doc_id FROM documents WHERE lang = 'en') d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",

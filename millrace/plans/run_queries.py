@@ -135,9 +135,10 @@ def metric_histories(spark, sf_dir):
 
 
 def model_sizes(spark, sf_dir):
-    """Weights by component for 1 to 28 layers."""
+    """Weights by component of models with as many layers as each part's size."""
     sizes = metrics.parameter_counts(SHAPE | {"n_layer": F.col("n_layer")})
-    return spark.range(1, 29).select(F.col("id").alias("n_layer")).select("n_layer", *(F.lit(v).cast("long").alias(k) for k, v in sizes.items()))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_size").cast("long").alias("n_layer"))
+    return parts.select("p_partkey", "n_layer", *(F.lit(v).cast("long").alias(k) for k, v in sizes.items()))
 
 
 def resumed_tasks(spark, sf_dir):
@@ -165,7 +166,7 @@ def resumed_tasks(spark, sf_dir):
 _WS = record_queries.WS
 _KIND = f"""SELECT source, doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'bad' WHEN doc_id % 11 = 0 THEN 'blank' WHEN doc_id % 13 = 0 THEN 'empty'
             WHEN coalesce(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '') = '' THEN 'empty' ELSE 'good' END AS kind FROM documents"""
-_LAYERS = "SELECT i AS n_layer, 32768 * 1024 AS embedding, i * (2 * 1024 * 1024 + 2 * 1024 * 512) AS attention, i * 8 * 3 * 1024 * 2240 AS routed_experts, i * 3 * 1024 * 416 AS shared_experts, i * 1024 * 8 AS routers, (2 * i + 1) * 1024 AS norms FROM range(1, 29) AS r(i)"
+_LAYERS = "SELECT p_partkey, i AS n_layer, 32768 * 1024 AS embedding, i * (2 * 1024 * 1024 + 2 * 1024 * 512) AS attention, i * 8 * 3 * 1024 * 2240 AS routed_experts, i * 3 * 1024 * 416 AS shared_experts, i * 1024 * 8 AS routers, (2 * i + 1) * 1024 AS norms FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS i FROM part)"
 _IDS = record_queries.ORACLES["sft_mask_lengths"]
 ORACLES = {
     "encode_round_trip": f"""

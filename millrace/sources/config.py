@@ -20,13 +20,14 @@ def load_config(path: str) -> dict:
     return yaml.safe_load(text) or {}
 
 
-def lookup(config: dict, *keys: str, default=None):
-    """The value under nested keys, or the default where a level is missing."""
-    for k in keys:
-        if not isinstance(config, dict) or k not in config:
-            return default
-        config = config[k]
-    return config
+def settings(config: dict, under: str = "") -> dict:
+    """Every value of a nested configuration by its dotted path, sections too."""
+    out = {}
+    for k, v in config.items():
+        out[f"{under}{k}"] = v
+        if isinstance(v, dict):
+            out |= settings(v, f"{under}{k}.")
+    return out
 
 
 def beside(path: str, base: str) -> str:
@@ -36,8 +37,8 @@ def beside(path: str, base: str) -> str:
 
 def project_file(config: dict, key: str, default: str, smoke: bool = False) -> str:
     """A path of the project section; smoke runs may have one of their own."""
-    small = lookup(config, "smoke", key) if smoke else None
-    return str(small or lookup(config, "project", key, default=default))
+    every = settings(config)
+    return str(smoke and every.get(f"smoke.{key}") or every.get(f"project.{key}", default))
 
 
 def check_keys(config: dict, known: set[str]) -> None:
@@ -46,19 +47,40 @@ def check_keys(config: dict, known: set[str]) -> None:
         raise ValueError(f"unknown configuration keys: {', '.join(unknown)}")
 
 
+# The sizes of a model, those that 8-bit products need in sixteens, and the choices that settings have (the first is the default).
+SIZES = ("vocab_size", "block_size", "n_layer", "n_head", "n_kv_head", "n_embd", "n_expert", "expert_hidden_size", "shared_expert_hidden_size")
+SIXTEENS = ("n_embd", "expert_hidden_size", "shared_expert_hidden_size")
+CHOICES = {
+    "router_gemm_precision": ("float32", "bfloat16"),
+    "te_grouped_linear_backend": ("legacy", "ops"),
+    "linear_cross_entropy_backend": ("auto", "standard", "liger", "checkpointed"),
+}
+
+
+def model_faults(config: dict) -> list[str]:
+    """All rules that a model configuration breaks."""
+    found = [f"{k} must be a positive integer" for k in SIZES if not isinstance(config.get(k), int) or config[k] <= 0]
+    if found:
+        return found
+    width, heads, groups = (config[k] for k in ("n_embd", "n_head", "n_kv_head"))
+    rules = {
+        "n_embd must be a multiple of n_head": width % heads == 0,
+        "n_head must be a multiple of n_kv_head": heads % groups == 0,
+        "the size of a head must be even": width // heads % 2 == 0,
+        "top_k must be 1": config.get("top_k", 1) == 1,
+        "linear_cross_entropy_chunk_size must be positive": config.get("linear_cross_entropy_chunk_size", 2048) > 0,
+        "dropout must be in [0, 1)": 0 <= config.get("dropout", 0.0) < 1,
+        **{f"{k} must be a multiple of 16": config[k] % 16 == 0 for k in SIXTEENS},
+        **{f"{k} must be one of {', '.join(v)}": config.get(k, v[0]) in v for k, v in CHOICES.items()},
+    }
+    return [rule for rule, holds in rules.items() if not holds]
+
+
 def check_model(config: dict) -> None:
-    """Fail on a model configuration that can't be built."""
-    for k in ("vocab_size", "block_size", "n_layer", "n_head", "n_kv_head", "n_embd", "n_expert", "expert_hidden_size", "shared_expert_hidden_size", "top_k"):
-        if not isinstance(config.get(k), int) or config[k] <= 0:
-            raise ValueError(f"{k} must be a positive integer")
-    if config["n_embd"] % config["n_head"]:
-        raise ValueError("n_embd must be a multiple of n_head")
-    if config["n_head"] % config["n_kv_head"]:
-        raise ValueError("n_head must be a multiple of n_kv_head")
-    if config["top_k"] > config["n_expert"]:
-        raise ValueError("top_k is greater than n_expert")
-    if not 0 <= config.get("dropout", 0.0) < 1:
-        raise ValueError("dropout must be in [0, 1)")
+    """Fail on a model configuration that can't be built, with every broken rule."""
+    found = model_faults(config)
+    if found:
+        raise ValueError("; ".join(found))
 
 
 def check_special_ids(ids: dict[str, int | None], wanted: dict[str, int]) -> None:

@@ -73,14 +73,17 @@ def test_configuration_checks(tmp_path):
     y = tmp_path / "c.json"
     y.write_text('{"project": {"out": "o"}, "smoke": {"out": "s"}}')
     c = config.load_config(str(y))
-    assert config.lookup(c, "project", "out") == "o" and config.lookup(c, "no", "x", default=3) == 3
+    assert config.settings(c) == {"project": {"out": "o"}, "project.out": "o", "smoke": {"out": "s"}, "smoke.out": "s"}
     assert (config.project_file(c, "out", "d"), config.project_file(c, "out", "d", smoke=True), config.project_file(c, "z", "d")) == ("o", "s", "d")
     with pytest.raises(ValueError, match="smoke"):
         config.check_keys(c, {"project"})
-    shape = dict.fromkeys(("vocab_size", "block_size", "n_layer", "n_expert", "expert_hidden_size", "shared_expert_hidden_size", "top_k"), 4) | {"n_head": 4, "n_kv_head": 2, "n_embd": 8}
+    shape = dict.fromkeys(config.SIZES, 4) | {"n_head": 4, "n_kv_head": 2, "n_embd": 32, "expert_hidden_size": 16, "shared_expert_hidden_size": 48}
     config.check_model(shape)
-    for change in ({"n_embd": 7}, {"n_kv_head": 3}, {"top_k": 5}, {"dropout": 1.0}, {"n_layer": 0}):
-        with pytest.raises(ValueError):
+    for change, told in (
+        ({"n_embd": 7}, "multiple of n_head"), ({"n_kv_head": 3}, "multiple of n_kv_head"), ({"top_k": 2}, "top_k"), ({"dropout": 1.0}, "dropout"), ({"n_layer": 0}, "n_layer"), ({"n_head": 32, "n_kv_head": 1}, "even"), ({"n_expert": None}, "n_expert"),
+        ({"expert_hidden_size": 8}, "expert_hidden_size must be a multiple of 16"), ({"router_gemm_precision": "half"}, "float32, bfloat16"), ({"te_grouped_linear_backend": "x"}, "legacy, ops"), ({"linear_cross_entropy_backend": "x"}, "liger"), ({"linear_cross_entropy_chunk_size": 0}, "chunk_size"),
+    ):
+        with pytest.raises(ValueError, match=told):
             config.check_model(shape | change)
     config.check_special_ids({"<pad>": 0}, {"<pad>": 0})
     with pytest.raises(ValueError, match="<eos>"):
@@ -373,3 +376,21 @@ def test_many_shards_are_searched_by_halving(spark):
     ranks = [0, 1, 2, 50_000, int(ends[-1]) - 1]
     got = {r["rank"]: (r.shard, r["row"]) for r in ordering.shard_of(spark.createDataFrame([(r,) for r in [*ranks, -1, int(ends[-1])]], "rank long"), sizes).collect()}
     assert got == {r: ((s := int(np.searchsorted(ends, r, side="right"))), r - int(ends[s - 1] if s else 0)) for r in ranks}
+
+
+@pytest.mark.parametrize("buffer", [0, 1, 2, 7, 64, 1000])
+def test_shuffle_buffer_is_a_buffer(spark, buffer):
+    sizes = {"a": 500, "b": 3, None: 40}
+    df = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g string, at long")
+    marks = {r.g: r.m for r in df.select("g", F.when(F.col("g").isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(7), "g")).alias("m")).distinct().collect()}
+    want = {}
+    for g, n in sizes.items():
+        rows, held, out = iter(range(n)), [], []
+        while len(out) < n:
+            while len(held) < max(1, buffer) and (r := next(rows, None)) is not None:
+                held.append(r)
+            out.append(held.pop(int(sampling.draws(marks[g], len(out), np.array([len(held)]))[0])))
+        want |= {(g, r): t for t, r in enumerate(out)}
+    for block in (13, 1 << 18):
+        assert {(r.g, r["at"]): r.out_order for r in sampling.shuffle_buffer(df, "at", "g", buffer, 7, block).collect()} == want
+    assert buffer < 2 or any(r[1] != t for r, t in want.items())
