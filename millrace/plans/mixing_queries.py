@@ -95,6 +95,16 @@ def pack_exact_balance(spark, sf_dir):
     return mixing.pack_exact(_split(spark, sf_dir).where("NOT is_val"), CORPORA, BUDGET, LONGEST)
 
 
+def resumed_batches(spark, sf_dir):
+    """The exact queue's batches from the sixth on, and whether a run that goes on from what five batches had given makes the same pieces."""
+    docs = _split(spark, sf_dir).where("NOT is_val").select("corpus", "doc_id", "n_tokens", "position")
+    whole = mixing.pack_exact(docs, CORPORA, BUDGET, LONGEST)
+    given = {r.corpus: r.emitted for r in mixing.committed(whole, 5).collect()}  # a row a corpus
+    later = mixing.pack_exact(docs, CORPORA, BUDGET, LONGEST, given=given).withColumn("microbatch", F.col("microbatch") + 5)
+    both = whole.where("microbatch >= 5").join(later.withColumn("again", F.lit(True)), ["corpus", "doc_id", "offset", "predictions", "microbatch", "slot"], "full_outer")
+    return both.groupBy("microbatch").agg(F.sum("predictions").alias("predictions"), F.bool_and(F.coalesce("again", F.lit(False))).alias("same"))
+
+
 def packed_batches(spark, sf_dir):
     """Every whole batch with byte ids, joined last: its counts, and digests of inputs and targets (three hex digits an id) and of positions."""
     from millrace.operators.batches import byte_ids
@@ -128,6 +138,7 @@ _SPLIT = f"""
 """
 
 ORACLES = {
+    "resumed_batches": _SPLIT + f"SELECT microbatch, CAST({BUDGET} AS BIGINT) AS predictions, TRUE AS same FROM (SELECT unnest(range(5, CAST((SELECT sum(n_tokens - 1) FROM p WHERE n_tokens >= 2) AS BIGINT) // {BUDGET})) AS microbatch)",
     "doc_offsets": 'SELECT source, doc_id, CAST(strlen(text) + 1 AS BIGINT) AS n_tokens, row_number() OVER w - 1 AS rank, CAST(coalesce(sum(strlen(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)',
     "global_rank": "SELECT lang AS corpus, doc_id, CAST(strlen(text) + 1 AS BIGINT) AS n_tokens, row_number() OVER w - 1 AS rank, CAST(coalesce(sum(strlen(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM documents WINDOW w AS (ORDER BY lang, doc_id)",
     "prefix_byte_budget": "SELECT doc_id, CAST(n AS INTEGER) AS n_bytes FROM (SELECT doc_id, strlen(text) AS n, sum(strlen(text)) OVER (ORDER BY doc_id) AS s, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE s <= 1000000 AND r <= 400",
@@ -149,5 +160,5 @@ ORACLES = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (doc_offsets, global_rank, prefix_byte_budget, val_split, affine_order, split_totals, start_tag_mix, late_corpus_tags, pack_microbatches, batch_boundaries, emitted_tokens, step_groups, val_stream, packed_batches, pack_exact_balance)
+    for f in (doc_offsets, global_rank, prefix_byte_budget, val_split, affine_order, split_totals, start_tag_mix, late_corpus_tags, pack_microbatches, batch_boundaries, emitted_tokens, step_groups, val_stream, packed_batches, pack_exact_balance, resumed_batches)
 }

@@ -40,6 +40,19 @@ def sft_mask_lengths(spark, sf_dir):
     return rows.where(batches.usable(F.col("x"))).select("conv_id", F.size("x.ids").alias("n_ids"), F.size(F.filter("x.mask", lambda b: b)).alias("n_supervised"))
 
 
+def _shown(ids, width: int):
+    """A digest of ids, each in so many hex digits."""
+    return F.sha2(F.lower(F.array_join(F.transform(ids, lambda x: F.lpad(F.hex(x.cast("long")), width, "0")), "")), 256)
+
+
+def sft_ids(spark, sf_dir):
+    """Digests of all ids (three hex digits each) and of the mask of each conversation."""
+    x = batches.sft_messages(F.col("m"))
+    rows = _records(spark, sf_dir).select("conv_id", records.normalize(records.conversation(F.col("v"))).alias("m")).select("conv_id", x.alias("x")).where(batches.usable(F.col("x")))
+    mask = F.array_join(F.transform("x.mask", lambda b: F.when(b, "1").otherwise("0")), "")
+    return rows.select("conv_id", _shown(F.col("x.ids"), 3).alias("ids_sha256"), F.sha2(mask, 256).alias("mask_sha256"))
+
+
 def next_token_labels(spark, sf_dir):
     """Inputs and masked labels of each conversation, as counts."""
     x = batches.sft_messages(F.col("m"))
@@ -67,6 +80,12 @@ def dpo_windows(spark, sf_dir):
     return _examples(spark, sf_dir).select("conv_id", *size("chosen"), *size("rejected"))
 
 
+def dpo_ids(spark, sf_dir):
+    """Digests of the inputs and of the labels that aren't ignored, of both sides of each pair."""
+    shown = lambda c: [_shown(F.col(f"{c}.inputs"), 2).alias(f"{c}_inputs"), _shown(F.filter(f"{c}.labels", lambda y: y != batches.IGNORE), 2).alias(f"{c}_labels")]
+    return _examples(spark, sf_dir).select("conv_id", *shown("chosen"), *shown("rejected"))
+
+
 def padded_pairs(spark, sf_dir):
     ranked = running(_examples(spark, sf_dir), ["conv_id"], rank="example")
     out = batches.collate(ranked, 4)
@@ -99,6 +118,10 @@ ORACLES = {
         SELECT conv_id, CAST(sum(strlen(role) + 5 + strlen(text) + 1 + CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS INTEGER) AS n_ids,
                CAST(sum(CASE WHEN role = 'assistant' THEN strlen(text) + 2 ELSE 0 END) AS INTEGER) AS n_supervised
         FROM conversations GROUP BY conv_id HAVING sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) > 0""",
+    "sft_ids": """
+        SELECT conv_id, sha256(string_agg(regexp_replace(lower(hex(encode('<|' || role || '|>' || chr(10) || text || chr(10)))), '(..)', '0\\1', 'g') || CASE WHEN role = 'assistant' THEN '100' ELSE '' END, '' ORDER BY turn)) AS ids_sha256,
+               sha256(string_agg(repeat('0', strlen(role) + 5) || repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, strlen(text) + 1) || CASE WHEN role = 'assistant' THEN '1' ELSE '' END, '' ORDER BY turn)) AS mask_sha256
+        FROM conversations GROUP BY conv_id HAVING sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) > 0""",
     "next_token_labels": """
         SELECT conv_id, n - 1 AS n_inputs, n - 1 AS n_labels, n - 1 - s AS n_ignored, CASE WHEN last = 'assistant' THEN 256 ELSE -100 END AS last_label FROM (
             SELECT conv_id, CAST(sum(strlen(role) + 5 + strlen(text) + 1 + CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS INTEGER) AS n,
@@ -106,10 +129,13 @@ ORACLES = {
             FROM conversations GROUP BY conv_id) WHERE s > 0""",
     "dpo_pairs": _TALK + "SELECT conv_id, prompt, response AS chosen, rejected FROM pair WHERE prompt IS NOT NULL AND response IS NOT NULL AND rejected IS NOT NULL",
     "dpo_windows": _TALK + "SELECT conv_id, CAST(nc - 1 AS INTEGER) AS chosen_inputs, CAST(nc - h AS INTEGER) AS chosen_supervised, CAST(nr - 1 AS INTEGER) AS rejected_inputs, CAST(nr - h AS INTEGER) AS rejected_supervised FROM win",
+    "dpo_ids": _TALK + f""",
+        x AS (SELECT conv_id, h, nc, nr, lower(hex(encode(prefix || regexp_replace(response, '{WS}+$', '') || '<|eos|>'))) AS c, lower(hex(encode(prefix || regexp_replace(rejected, '{WS}+$', '') || '<|eos|>'))) AS r FROM win JOIN fmt USING (conv_id))
+        SELECT conv_id, sha256(substr(c, 1, 2 * (nc - 1))) AS chosen_inputs, sha256(substr(c, 2 * h + 1, 2 * (nc - h))) AS chosen_labels, sha256(substr(r, 1, 2 * (nr - 1))) AS rejected_inputs, sha256(substr(r, 2 * h + 1, 2 * (nr - h))) AS rejected_labels FROM x""",
     "padded_pairs": _TALK + """,
         n AS (SELECT (row_number() OVER (ORDER BY conv_id) - 1) // 4 AS batch, * FROM win),
         b AS (SELECT batch, CAST(2 * count(*) AS INTEGER) AS n_rows, greatest(max(nc), max(nr)) - 1 AS longest, least(min(nc), min(nr)) - 1 AS shortest, sum(nc + nr - 2) AS total, sum(nc + nr - 2 * h) AS s FROM n GROUP BY batch),
         w AS (SELECT *, CASE WHEN n_rows = 2 AND longest = shortest THEN longest ELSE (longest + 15) // 16 * 16 END AS width FROM b)
         SELECT batch, CAST(width AS INTEGER) AS width, n_rows, CAST(CASE WHEN shortest < width THEN total ELSE 0 END AS INTEGER) AS tokens, CAST(s AS INTEGER) AS supervised FROM w""",
 }
-QUERIES = {f.__name__: f for f in (render_conversations, sft_pairs, format_prompts, sft_mask_lengths, next_token_labels, dpo_pairs, dpo_windows, padded_pairs)}
+QUERIES = {f.__name__: f for f in (render_conversations, sft_pairs, format_prompts, sft_mask_lengths, sft_ids, next_token_labels, dpo_pairs, dpo_windows, dpo_ids, padded_pairs)}
