@@ -93,6 +93,28 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "y", "ids", "counts"])
 
 
+_SHARED: dict = {}
+
+
+def token_values(weight: np.ndarray) -> _Known:
+    """For each token the sum of its buckets' weights (real) and their number (imaginary); tasks of one Python worker share what it has met."""
+    mark = zlib.crc32(weight.tobytes())
+    if mark not in _SHARED:
+        at = lambda raw: float(weight[zlib.crc32(raw) % BUCKETS])
+        grams = _Known(lambda g: at(b"\x01" + g.encode()))
+
+        def value(token):
+            if token[0] == "\x02":
+                return complex(at(token.encode()), 1)
+            edged = f"<{token}>"
+            own = {edged[i : i + n] for n in NGRAMS for i in range(len(edged) - n + 1)}
+            return complex(at(token.encode()) + sum(map(grams.__getitem__, sorted(own))), 1 + len(own))
+
+        _SHARED.clear()
+        _SHARED[mark] = _Known(value)
+    return _SHARED[mark]
+
+
 def train(rows: list, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
     """Each bucket's contribution to the logit of label 1, and the bias. rows: (label, buckets, counts)."""
     rng = np.random.default_rng(seed)
@@ -148,13 +170,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], held_out: int = HELD
     shipped = docs.sparkSession.sparkContext.broadcast(weights)  # one number a bucket, whatever the input
 
     def run(batches):
-        weight = shipped.value
-
-        def value(token):
-            b = buckets(token)
-            return complex(float(weight[b].sum()), len(b))
-
-        known = _Known(value)
+        known = token_values(shipped.value)
         for batch in batches:
             out = []
             for text in batch.column("text"):
@@ -174,13 +190,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        weight = shipped.value
-
-        def value(token):
-            b = buckets(token)
-            return complex(float(weight[b].sum()), len(b))
-
-        known = _Known(value)
+        known = token_values(shipped.value)
         edge = np.log(threshold / (1 - threshold)) - bias
         for batch in batches:
             keep = []
