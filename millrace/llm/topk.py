@@ -15,11 +15,12 @@ so shards and then blocks whose bound is below tau are left out; the others are
 the order of their bounds while tau rises. Bounds carry a relative slack, scores are exact
 integers. Queries travel in blocks, and only to the shards their bounds admit; index blocks only
 to the groups of queries that ask for their shard. What is sent to Python workers of every task
-is one interval per shard and pivot: a row for SHARD_ROWS vectors, plus partitions and pivots.
+is one interval per shard and pivot: a row for SHARD_BYTES of vectors, plus partitions and pivots. A task holds a shard and a group of
+query blocks, both bounded in bytes, whatever the length of the vectors.
 
 Cases: vectors that are null, or hold null or non-finite components, and rows without an id
 take no part; vectors of different lengths are never compared; rows that repeat an id are all
-candidates, none of them for a query of that id, and an id queries once, with the row that
+candidates, none of them for a query of that id (the SQL joins by id alike), and an id queries once, with the row that
 comes first in the index; ties go to the smaller id; fewer than k candidates give fewer rows; an empty
 table gives an empty result; other columns are not read. Scores are exact as long as
 they fit 63 bits.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ BLOCK = 2048
 QUERY_BLOCK = 256
 #: Query blocks that one task holds at most.
 QUERY_GROUP = 64
-#: Vectors that a shard is meant to hold at most.
-SHARD_ROWS = 200_000
+#: Bytes of integers that a block, or a block of queries, holds at most (one vector at least), and that a shard is meant to hold.
+BLOCK_BYTES = 1 << 20
+SHARD_BYTES = 32 << 20
 SLACK = 1e-9
 _KEYED = "vec_id long, dim int, pivot int, dist double, ints binary"
 _BLOCKS = "shard int, dim int, pivot int, lo double, hi double, norm double, n int, ids binary, ints binary"
@@ -51,7 +54,7 @@ _QUERIES = "dim int, ids binary, ints binary, taus binary, shards array<int>"
 def _integers(column) -> list[np.ndarray]:
     """floor(1024 * x) of each list, as int64."""
     flat = np.floor(1024.0 * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
-    ends = np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
     return np.split(flat, ends[:-1]) if len(ends) else []
 
 
@@ -144,8 +147,9 @@ class TopK:
                 edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), held.num_rows]
                 done = 0
                 for a, z in zip(edges[:-1], edges[1:]):
-                    for s in range(a, z, BLOCK):
-                        e = min(s + BLOCK, z)
+                    most = max(1, min(BLOCK, BLOCK_BYTES // (8 * held["dim"][a].as_py() + 1)))
+                    for s in range(a, z, most):
+                        e = min(s + most, z)
                         if b is not None and e == held.num_rows:
                             break
                         part = held.slice(s, e - s)
@@ -161,7 +165,8 @@ class TopK:
                 held = held.slice(done)
 
         keyed = good.mapInArrow(key, _KEYED)
-        shards = max(common.parts(self.spark), -(-good.count() // SHARD_ROWS))
+        total = good.agg(F.sum(8 * F.size("embedding") + 16)).first()[0] or 0
+        shards = max(common.parts(self.spark), -(-total // SHARD_BYTES))
         dealt = keyed.repartitionByRange(shards, "dim", "pivot", "dist", "vec_id").sortWithinPartitions("dim", "pivot", "dist", "vec_id", "ints")
         self.blocks = common.written(dealt.select("*", F.spark_partition_id().alias("shard")).mapInArrow(block, _BLOCKS))
 
@@ -201,13 +206,13 @@ class TopK:
 
             for r in (row for b in batches for row in b.to_pylist()):
                 ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ints"], np.int64).reshape(r["n"], -1)
-                mine = np.flatnonzero(ids % every == 0)
-                for a in range(0, len(mine), QUERY_BLOCK):
-                    at = mine[a : a + QUERY_BLOCK]
+                mine, most = np.flatnonzero(ids % every == 0), max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * r["dim"] + 1)))
+                for a in range(0, len(mine), most):
+                    at = mine[a : a + most]
                     scores = products(x[at], x)
                     scores[ids[at][:, None] == ids] = np.iinfo(np.int64).min
                     taus = np.partition(scores, len(ids) - k, 1)[:, -k] if len(ids) > k else np.full(len(at), np.iinfo(np.int64).min)
-                    if held and (kind != (r["dim"], r["pivot"]) or sum(len(h[0]) for h in held) + len(at) > QUERY_BLOCK):
+                    if held and (kind != (r["dim"], r["pivot"]) or sum(len(h[0]) for h in held) + len(at) > most):
                         yield flush()
                     kind = r["dim"], r["pivot"]
                     held.append((ids[at], x[at], taus))
@@ -218,10 +223,10 @@ class TopK:
         left, right = self.meetings(asked)
 
         def meet(q, x):
-            rows = x.to_pylist()
-            for a in rows:
-                a["ids"] = np.frombuffer(a["ids"], np.int64)
-                a["ints"] = np.frombuffer(a["ints"], np.int64).reshape(a["n"], -1)
+            rows = x.drop_columns(["ids", "ints"]).to_pylist()
+            for i, a in enumerate(rows):  # vectors stay where they are
+                a["ids"] = np.frombuffer(x["ids"][i].as_buffer(), np.int64)
+                a["ints"] = np.frombuffer(x["ints"][i].as_buffer(), np.int64).reshape(a["n"], -1)
             out_q, out_i, out_s, out_k = [], [], [], []
             for r in q.to_pylist():
                 ids, taus = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["taus"], np.int64).copy()

@@ -55,3 +55,14 @@ def test_index_blocks_go_only_where_bounds_admit(spark, monkeypatch):
     assert got == brute(rows, 20, 10)
     moved, admitted, every = seen[0]
     assert moved == admitted < every
+
+
+def test_wide_vectors_stay_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 1 << 16)
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 768).tolist()) for i in range(120)], "vec_id long, embedding array<double>")
+    index = topk.TopK(df)
+    assert max(len(r.ints) for r in index.blocks.collect()) <= 1 << 14
+    assert max(r["count"] for r in index.blocks.groupBy("shard").count().collect()) * (1 << 14) <= 4 << 16
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in index.search(20, 10).collect()) == brute([(r.vec_id, r.embedding) for r in df.collect()], 20, 10)
