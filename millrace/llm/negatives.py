@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ class NormIndex:
         def key(batches):
             for b in batches:
                 values = np.floor(scale * b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
-                ends = np.cumsum(pa.compute.list_value_length(b.column("embedding")).to_numpy(zero_copy_only=False).astype(np.int64))
+                ends = np.cumsum(pc.list_value_length(b.column("embedding")).to_numpy(zero_copy_only=False).astype(np.int64))
                 own = np.split(values, ends[:-1]) if len(ends) else []
                 size = np.array([np.sqrt(float((v.astype(np.float64) ** 2).sum())) for v in own])
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array([len(v) for v in own], pa.int32()), pa.array(size, pa.float64()), pa.array([v.tobytes() for v in own], pa.binary())], names=["vec_id", "label", "dim", "norm", "ints"])
