@@ -7,13 +7,18 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import bpe_training
 
+#: Letters of texts, and ids, that the tokenizers library has at once in a task (a longer text is a block of its own).
+BLOCK_LETTERS = 1 << 19
+BLOCK_IDS = 1 << 17
 # The published pattern of byte-level pre-tokens.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -39,8 +44,23 @@ def train(docs: DataFrame, merges: int, min_frequency: int = 2, text: str = "tex
     return [(a.hex().upper(), b.hex().upper()) for a, b in bpe_training.train(docs, merges, PATTERN, min_frequency, text)]
 
 
+def blocks(sizes, most: int):
+    """Stretches (begin, end) of rows whose sizes sum up to most, or of one larger row."""
+    begin, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and total + n > most:
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if len(sizes) > begin:
+        yield begin, len(sizes)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, eos: int, text: str = "text") -> DataFrame:
-    """docs with ids: NFC, the tokenizer file's own rules, the end id unless it is there; blank texts and empty results go. Map-only."""
+    """docs with ids: NFC, the tokenizer file's own rules, the end id unless it is there; blank texts and empty results go. Map-only.
+
+    The library's own record of a token takes far more room than its id, so a batch is encoded in blocks of letters.
+    """
     out = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())])
     names = [f.name for f in out]
     place = docs.columns.index(text)
@@ -49,13 +69,16 @@ def encode(docs: DataFrame, tokenizer_path: str, eos: int, text: str = "text") -
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(tokenizer_path)
-        for b in batches:
-            texts = [unicodedata.normalize("NFC", (t or "").strip()) for t in b.column(place).to_pylist()]
-            ids = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
-            keep = pa.array([bool(t) and bool(i) for t, i in zip(texts, ids)])
-            ids = [i if i and i[-1] == eos else [*i, eos] for i in ids]
-            columns = [*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+        for whole in batches:
+            for begin, end in blocks(pc.fill_null(pc.utf8_length(whole.column(place)), 0).to_pylist(), BLOCK_LETTERS):
+                b = whole.slice(begin, end - begin)
+                texts = [unicodedata.normalize("NFC", (t or "").strip()) for t in b.column(place).to_pylist()]
+                found = [np.array(e.ids, np.int32) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+                keep = pa.array([bool(t) and len(i) > 0 for t, i in zip(texts, found)])
+                found = [i if len(i) and i[-1] == eos else np.append(i, np.int32(eos)) for i in found]
+                n = np.array([len(i) for i in found], np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(n)], names=names).filter(keep)
 
     return docs.mapInArrow(run, out)
 
@@ -70,9 +93,11 @@ def decode(encoded: DataFrame, tokenizer_path: str, special: int, ids: str = "id
 
         own = Tokenizer.from_file(tokenizer_path)
         own.decoder = own.decoder or decoders.ByteLevel()
-        for b in batches:
-            rows = [x[:-1] if x and x[-1] == special else x or [] for x in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.decode_batch(rows, skip_special_tokens=False), pa.string())], names=names)
+        for whole in batches:
+            for begin, end in blocks(pc.fill_null(pc.list_value_length(whole.column(place)), 0).to_pylist(), BLOCK_IDS):
+                b = whole.slice(begin, end - begin)
+                rows = [x[:-1] if x and x[-1] == special else x or [] for x in b.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.decode_batch(rows, skip_special_tokens=False), pa.string())], names=names)
 
     return encoded.mapInArrow(run, out)
 

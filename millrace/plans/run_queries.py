@@ -29,7 +29,7 @@ def _tokenizer() -> str:
 def encode_round_trip(spark, sf_dir):
     """Every document encoded (composed, stripped, the end id behind) and decoded again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, _tokenizer(), EOS), _tokenizer(), EOS)
+    out = bpe.decode(bpe.encode(docs, _tokenizer(), EOS).drop("text"), _tokenizer(), EOS)
     return out.select("doc_id", (F.element_at("ids", -1) == EOS).alias("ends"), (F.size("ids") == F.col("n_tokens")).alias("counted"), F.octet_length("decoded").alias("n_bytes"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
