@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import strip
 from millrace.operators.ordering import running
-from millrace.sources import storage
+from millrace.sources import storage, wide
 
 PROBE = 64 << 10
 
@@ -81,29 +81,23 @@ def _decoded(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lines, pa.string())], names=b.schema.names)
 
 
-def _whole(batches):
-    """Lines of UTF-16 and UTF-32 files, which can't be cut at a byte: a file is one task."""
-    for b in batches:
-        for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            lines = raw.decode("utf-32" if raw.startswith((codecs.BOM_UTF32_LE, codecs.BOM_UTF32_BE)) else "utf-16", "replace").split("\n")
-            yield pa.RecordBatch.from_pydict({"file": pa.array([path] * len(lines), pa.string()), "begin": pa.array([0] * len(lines), pa.int64()), "value": pa.array(lines, pa.string())})
-
-
 def text_lines(spark: SparkSession, paths: list[str], encodings: dict[str, str] | None = None) -> DataFrame:
     """file, begin (of the split), id (ascending in a split), line: every line that isn't blank, stripped; byte order marks go.
 
     Files are cut by Spark where their encoding allows it: UTF-8 and GB18030 at the byte 0x0A, which is no part of any longer
-    character in either; UTF-16 and UTF-32 files are read whole.
+    character in either, and UTF-16 and UTF-32 files as ``wide`` says.
     """
-    by: dict[str, list[str]] = {}
+    by: dict[str, list] = {}
     for p in paths:
         name = (encodings or {}).get(p) or encoding_of(p)
-        by.setdefault("whole" if name in ("utf-16", "utf-32") else "gb18030" if name == "gb18030" else "utf-8", []).append(p)
+        if name in ("utf-16", "utf-32"):
+            by.setdefault("wide", []).append((p, name))
+        else:
+            by.setdefault("gb18030" if name == "gb18030" else "utf-8", []).append(p)
     frames = []
     for kind, own in by.items():
-        if kind == "whole":
-            raw = spark.read.format("binaryFile").load(own).select(F.col("_metadata.file_path").alias("path"), "content")
-            df = raw.mapInArrow(_whole, "file string, begin long, value string").select("file", "begin", F.monotonically_increasing_id().alias("id"), "value")
+        if kind == "wide":
+            df = wide.lines(spark, own)
         else:
             df = spark.read.text(own).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("id"), "value")
         if kind == "gb18030":
