@@ -207,10 +207,14 @@ def _profile(table: pa.Table) -> pa.Table:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, signature of every row; tokens and prefixes of those that may have a link."""
+    """doc_id, n, signature of every row; tokens and prefixes of those that may have a link.
+
+    The answers are written, so that what was sent to the buckets leaves the disks before the profiles take room.
+    """
     buckets = common.buckets(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.spark_partition_id().cast("long").alias("part"))
-    answers = rows.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_answer, _ANSWER)
+    answers = common.written(rows.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_answer, _ANSWER), docs.sparkSession)
+    common.drop_shuffles(docs.sparkSession)
     return answers.groupBy("batch").applyInArrow(_profile, _PROFILE)
 
 
@@ -236,8 +240,14 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     return rooted.select("node", "root").join(least, "root").select("node", "root", "label")
 
 
+def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of the pairs; the tokens of all others stay where they are as long as the pairs are few."""
+    return nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that share prefix tokens under every order and are similar enough."""
+    nodes = _named(pairs, nodes)
     names = ["n", "tokens", *(f"p{k}" for k in range(1, ORDERS))]
     left = nodes.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in names))
     right = nodes.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in names))
@@ -251,7 +261,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
-    whole = common.written(profiles(docs).withColumn("node", F.monotonically_increasing_id()), spark)
+    profiled = profiles(docs)
+    whole = common.written(profiled.withColumn("node", F.monotonically_increasing_id()), spark)
+    common.discard(profiled)
     common.drop_shuffles(spark)
     rows = common.written(whole.select("doc_id", "n", "s1", "s2", "node", F.col("tokens").isNotNull().alias("may")), spark)
     some = rows.where("n > 0")

@@ -78,3 +78,20 @@ def test_an_excerpt_as_first_centre_hides_no_pair(spark):
     assert hidden
     one = list(enumerate(groups[hidden[0]]))
     assert got(spark, one) == brute(one) and brute(one)[1][2] == 0
+
+
+def test_what_was_sent_is_not_held_beside_the_profiles(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(20)], "doc_id long, text string")
+    plan = jaccard.profiles(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and plan.count("FlatMapGroupsInArrow") == 1  # buckets' answers are a table, their exchange is over
+
+
+def test_only_nodes_of_pairs_move_to_be_verified(spark, tmp_path):
+    row = lambda i: (i, 8, list(range(8)), [1], [2], [3], 0.0)
+    nodes = spark.createDataFrame([row(i) for i in range(500)], "node long, n long, tokens array<long>, p0 array<long>, p1 array<long>, p2 array<long>, mass double")
+    pairs = spark.createDataFrame([(1, 2), (2, 7)], "a long, b long")
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    nodes, pairs = spark.read.parquet(str(tmp_path / "nodes")), spark.read.parquet(str(tmp_path / "pairs"))
+    assert sorted(r.node for r in jaccard._named(pairs, nodes).collect()) == [1, 2, 7]
+    assert sorted(map(tuple, jaccard._verified(pairs, nodes).collect())) == [(1, 2), (2, 7)]
