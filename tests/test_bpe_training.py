@@ -57,3 +57,18 @@ def test_rounds_give_the_greedy_merges(spark, merges, batch, keep, sample):
 def test_nothing_to_merge(spark):
     df = spark.createDataFrame([("abc",)], "text string")
     assert bpe_training.train(df, 5, bpe.PATTERN) == [] and bpe_training.train(df.limit(0), 5, bpe.PATTERN) == []
+
+
+def test_few_rounds_where_most_words_are_rare(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(2, 9))) for _ in range(40)) for _ in range(60)]
+    rounds, counted = [], bpe_training.pair_table
+    monkeypatch.setattr(bpe_training, "pair_table", lambda words: rounds.append(1) or counted(words))
+    assert bpe_training.train(spark.createDataFrame([(t,) for t in texts], "text string"), 150, bpe.PATTERN, sample=1500) == plain(texts, 150)
+    assert len(rounds) <= 12
+
+
+def test_a_merge_that_spells_a_token_ends_the_round(spark):
+    texts = ["a" * n + " " + "ab" * n + " " + "aab" * (n % 5) for n in range(1, 40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert bpe_training.train(df, 40, bpe.PATTERN) == plain(texts, 40)
