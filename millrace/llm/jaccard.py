@@ -45,6 +45,8 @@ WORDS = 5
 PERCENT = 75
 ORDERS = 3
 STAR_ROUNDS = 3
+#: Rows of nodes that every task may have at hand, so that tokens and postings of others aren't moved.
+NAMED = 1_000_000
 #: Shingles and documents of a batch at most (the last document may exceed the first).
 BATCH_TOKENS = 1_000_000
 BATCH_DOCS = 50_000
@@ -240,9 +242,15 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     return rooted.select("node", "root").join(least, "root").select("node", "root", "label")
 
 
+def _at_hand(df: DataFrame) -> DataFrame:
+    """A table for a join, sent to every task as long as it is small enough for that."""
+    return F.broadcast(df) if df.count() <= NAMED else df
+
+
 def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The nodes of the pairs; the tokens of all others stay where they are as long as the pairs are few."""
-    return nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return nodes.join(_at_hand(named), "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -268,12 +276,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = common.written(whole.select("doc_id", "n", "s1", "s2", "node", F.col("tokens").isNotNull().alias("may")), spark)
     some = rows.where("n > 0")
     sets = common.written(some.where("may").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("label"), F.min("node").alias("node")), spark)
-    nodes = whole.drop("doc_id", "s1", "s2").join(sets.select("node"), "node", "left_semi")
-    nodes = common.written(nodes.where(F.size("p0") > 0), spark)
-    common.discard(whole)
-    common.drop_shuffles(spark)
+    # tokens stay in their files; of equal sets, only the representative's prefix moves, and later what pairs name
+    nodes = whole.drop("doc_id", "s1", "s2").where(F.size("p0") > 0)
+    heads = common.written(nodes.select("node", "n", "mass", F.size("tokens").alias("shared"), "p0").join(sets.select("node"), "node", "left_semi"), spark)
     # rest: tokens of the set from this one on, in the first order (unshared ones come before all others)
-    postings = nodes.select("node", "n", "mass", F.size("tokens").alias("shared"), F.posexplode("p0").alias("place", "token"))
+    postings = heads.select("node", "n", "mass", "shared", F.posexplode("p0").alias("place", "token"))
     postings = postings.select("node", "n", "mass", "token", "place", (F.col("shared") - F.col("place")).alias("rest"))
     # tokens that only one node has in its prefix lead to no pair
     busy = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
@@ -282,7 +289,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     close = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & ((100 + PERCENT) * F.least("rest_a", "rest_b") >= PERCENT * (F.col("n_a") + F.col("n_b")))
     links, done, comp = None, None, None
     for turn in range(STAR_ROUNDS + 1):
-        own = postings.withColumn("root", F.col("node")) if comp is None else postings.join(comp.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = postings.withColumn("root", F.col("node")) if comp is None else postings.join(_at_hand(comp.select("node", "root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
         if comp is not None:
             # written, as are centres below, so that a join on a hot token stands alone and can be split
             mixed = common.written(own.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token"), spark)
@@ -292,7 +299,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         last = turn == STAR_ROUNDS
         side = lambda x, *more: [F.col(c).alias(f"{c}_{x}" if c != "node" else x) for c in ("node", "n", "rest", "root", *more)]
         if last:
-            own = own.join(nodes.select("node", "p0"), "node").withColumn("past", F.slice("p0", 1, F.col("place")))
+            own = own.join(heads.select("node", "p0"), "node").withColumn("past", F.slice("p0", 1, F.col("place")))
             centre, right = own.select("token", *side("a", "past")), own.select("token", *side("b", "past"))
             apart = (F.col("a") < F.col("b")) & ~F.arrays_overlap("past_a", "past_b")
         else:

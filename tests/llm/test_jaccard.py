@@ -95,3 +95,16 @@ def test_only_nodes_of_pairs_move_to_be_verified(spark, tmp_path):
     nodes, pairs = spark.read.parquet(str(tmp_path / "nodes")), spark.read.parquet(str(tmp_path / "pairs"))
     assert sorted(r.node for r in jaccard._named(pairs, nodes).collect()) == [1, 2, 7]
     assert sorted(map(tuple, jaccard._verified(pairs, nodes).collect())) == [(1, 2), (2, 7)]
+
+
+def test_tokens_of_nodes_without_pairs_stay_where_no_table_is_small(spark):
+    row = lambda i: (i, 40, list(range(i * 100, i * 100 + 40)), [i * 100], [i * 100], [i * 100], 1.0)
+    nodes = spark.createDataFrame([row(i) for i in range(50)], "node long, n long, tokens array<long>, p0 array<long>, p1 array<long>, p2 array<long>, mass double")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jaccard._named(pairs, nodes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
