@@ -36,7 +36,6 @@ from __future__ import annotations
 import base64
 import copy
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -73,9 +72,10 @@ RATE = 0.01
 #: Blocks of a step, and of a batch that is scored.
 BATCH = 128
 MOST = 128
+#: Blocks whose attention is worked out together, so that it stays in a core's cache.
+PART = 32
 #: Tasks whose sums one task adds up.
 FAN_IN = 64
-CACHE_ENTRIES = 600_000
 #: Words, and bytes of words, that a task counts before it sends them on.
 COUNTED, COUNTED_BYTES = 1_000_000, 64 << 20
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -111,24 +111,34 @@ def opening_ids(path: str) -> np.ndarray:
     return np.array([i == END or bpe.decode_single_token_bytes(i)[:1] == b" " for i in range(IDS)])
 
 
-def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def encoded(words: pa.Array, path: str, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words, each with a space before it, and where each word's begin, the end last.
+
+    Between white space a word's ids don't depend on its neighbours, so words go to the tokenizer together and are told
+    apart by the ids that begin with a space (``opens``). Words that hold other white space could grow together: they go one by one.
+    """
+    bpe, odd = encoder(path), pc.match_substring_regex(words, chunks._SPACE).to_numpy(zero_copy_only=False)
+    out, counts = [], np.zeros(len(words), np.int64)
+    if not odd.all():
+        ids = bpe.encode_to_numpy(" " + " ".join(words.filter(pa.array(~odd)).to_pylist())).astype(np.uint16)
+        begin = np.flatnonzero(opens[ids])
+        counts[~odd] = np.diff(begin, append=len(ids))
+        out.append(ids)
+    if not odd.any():
+        return (np.concatenate(out) if out else np.zeros(0, np.uint16)), np.r_[0, np.cumsum(counts)]
+    single = [np.array(bpe.encode_ordinary(" " + w), np.uint16) for w in words.filter(pa.array(odd)).to_pylist()]
+    counts[odd] = [len(x) for x in single]
+    order = np.argsort(np.r_[np.repeat(np.flatnonzero(~odd), counts[~odd]), np.repeat(np.flatnonzero(odd), counts[odd])], kind="stable")
+    return np.concatenate([*out, *single])[order], np.r_[0, np.cumsum(counts)]
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of texts, the number of each occurrence's word, and where each text's occurrences begin."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = pc.if_else(pc.equal(lists.values, ""), None, lists.values).dictionary_encode()  # white space at an edge leaves an empty word
     index = coded.indices.fill_null(-1).to_numpy()
     kept = index >= 0
-    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), index[kept], np.r_[0, np.cumsum(kept)][lists.offsets.to_numpy()]
-
-
-class _Known(dict):
-    def __init__(self, compute):
-        self.compute = compute
-
-    def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        out = self[key] = self.compute(key)
-        return out
+    return coded.dictionary, index[kept], np.r_[0, np.cumsum(kept)][lists.offsets.to_numpy()]
 
 
 # --- the class model
@@ -160,66 +170,96 @@ class Model:
         """The weights by name, as views of a vector like ``flat``."""
         return {k: flat[a:z].reshape(shape) for k, a, z, shape in self.spans}
 
-    def forward(self, c: np.ndarray, first: np.ndarray) -> dict:
-        """c: the input ids, in blocks; first: blocks that open a document. What stands before the output layer, row by row."""
+    def joined(self, w: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The products of the weights that act as one: of queries and keys, with what attention divides by, and of values and outputs."""
+        return w["Q"] @ w["K"].T / np.asarray(POWER * np.sqrt(DIM), w["Q"].dtype), w["V"] @ w["O"]
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What queries and the feed-forward layer take from each id, for a model that no longer changes."""
+        w = self.views(self.flat)
+        return self.E @ self.joined(w)[0], self.E @ w["W1"] + w["c1"]
+
+    def attended(self, q: np.ndarray, kv: np.ndarray, first: np.ndarray, w: dict, kept: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of keys' weights times values, and of the weights, PART blocks at a time. kept: where the weights and what their gradient needs are left."""
+        out, bias, keys = np.empty((len(q), BLOCK, DIM), q.dtype), 1 + w["B"] / POWER, kv.transpose(0, 2, 1)
+        total, one = np.empty(len(q) * BLOCK, q.dtype), np.ones(2 * BLOCK, q.dtype)
+        room, mask = np.empty((PART, BLOCK, 2 * BLOCK), q.dtype), self.mask.astype(q.dtype)
+        for i in range(0, len(q), PART):
+            own = slice(i, min(len(q), i + PART))
+            u = np.matmul(q[own], keys[own], out=room[: own.stop - i])
+            u += bias
+            u *= mask
+            u[first[own], :, :BLOCK] = 0
+            if kept is None:
+                e = u
+                for _ in range(3):
+                    e *= e
+            else:
+                e, u7 = (x[own] for x in kept)
+                np.multiply(u, u, out=e)
+                np.multiply(u, e, out=u7)
+                e *= e
+                u7 *= e
+                e *= e
+            np.matmul(e, kv[own], out=out[own])
+            np.matmul(e.reshape(-1, 2 * BLOCK), one, out=total[i * BLOCK : own.stop * BLOCK])
+        return out.reshape(-1, DIM), total[:, None]
+
+    def forward(self, c: np.ndarray, first: np.ndarray, tables: tuple | None = None) -> dict:
+        """c: the input ids, in blocks; first: blocks that open a document; tables: of ``tables``, where no gradient is asked for. What stands before the output layer, row by row."""
         w, n = self.views(self.flat), len(c)
-        x = self.E[c.ravel()]
-        three = np.zeros(((n + 1) * BLOCK, 3 * DIM + 1), x.dtype)  # query, key, value, 1; a block of nothing before the first
-        np.matmul(x, self.projections(w), out=three[BLOCK:, :-1])
-        three[:, -1] = 1
-        a, b = three.strides
-        q = as_strided(three[BLOCK:], (n, BLOCK, DIM), (BLOCK * a, a, b))
-        kk = as_strided(three[:, DIM:], (n, 2 * BLOCK, DIM), (BLOCK * a, a, b))
-        vv = as_strided(three[:, 2 * DIM :], (n, 2 * BLOCK, DIM + 1), (BLOCK * a, a, b))
-        u = q @ kk.transpose(0, 2, 1)
-        u += 1 + w["B"] / POWER
-        u *= self.mask
-        u[first, :, :BLOCK] = 0
-        e = u * u
-        u7 = e * u
-        e *= e
-        u7 *= e
-        e *= e
-        a = (e @ vv).reshape(-1, DIM + 1)
-        total, a = a[:, DIM:], a[:, :DIM] / a[:, DIM:]
-        h = x + a @ w["O"]
-        f = h @ w["W1"]
-        f += w["c1"]
-        f *= f > 0
-        z = np.empty((len(x), DIM + 1), x.dtype)
-        z[:, DIM] = 1
-        np.add(h, f @ w["W2"], out=z[:, :DIM])
-        return {"x": x, "q": q, "kk": kk, "vv": vv, "e": e, "u7": u7, "total": total, "a": a, "h": h, "f": f, "z": z, "w": w}
-
-    @staticmethod
-    def projections(w: dict) -> np.ndarray:
-        return np.concatenate([w["Q"] / np.asarray(POWER * np.sqrt(DIM), w["Q"].dtype), w["K"], w["V"]], 1)
+        c = c.ravel()
+        qk, vo = self.joined(w)
+        inputs = np.empty(((n + 1) * BLOCK, DIM), self.E.dtype)  # keys and values too; a block of nothing before the first
+        inputs[:BLOCK] = 0
+        x = self.E.take(c, 0, out=inputs[BLOCK:], mode="clip")
+        a, b = inputs.strides
+        kv = as_strided(inputs, (n, 2 * BLOCK, DIM), (BLOCK * a, a, b))
+        q = (tables[0].take(c, 0) if tables else x @ qk).reshape(n, BLOCK, DIM)
+        kept = None if tables else np.empty((2, n, BLOCK, 2 * BLOCK), x.dtype)
+        a, total = self.attended(q, kv, first, w, kept)
+        a /= total
+        h = a @ vo
+        if tables:
+            f = h @ w["W1"]
+            f += tables[1].take(c, 0)
+            h += x
+        else:
+            h += x
+            f = h @ w["W1"]
+            f += w["c1"]
+        np.maximum(f, np.zeros(1, f.dtype), out=f)
+        z = f @ w["W2"]
+        z += h
+        return {"x": x, "q": q, "qk": qk, "vo": vo, "kv": kv, "kept": kept, "total": total, "a": a, "h": h, "f": f, "z": z, "w": w}
 
     def by_family(self, target: np.ndarray):
         """The family of each row's target, an order by it, and where each family's rows begin in that."""
-        family = self.family[target].astype(np.uint8)
-        order = np.argsort(family, kind="stable")
-        return family, order, np.searchsorted(family[order], np.arange(len(self.gap) + 1)).tolist()
+        family = self.family.astype(np.uint8).take(target)
+        return family, np.argsort(family, kind="stable"), np.r_[0, np.cumsum(np.bincount(family, minlength=len(self.gap)))].tolist()
 
     def outputs(self, w: dict, z: np.ndarray, order: np.ndarray, cut: list[int]):
-        """Shifted logits, one column a row of z: of the families, and in the order of families of the slots of the target's. z: rows with 1 at the end."""
-        outer = w["U"].T @ z.T
+        """Shifted logits, one column a row of z: of the families, and in the order of families of the slots of the target's."""
+        outer = w["U"][:DIM].T @ z.T
+        outer += w["U"][DIM][:, None]
         outer -= outer.max(0)
-        zs, inner = z[order], np.empty((SLOTS, len(z)), z.dtype)
+        zs, inner = z.take(order, 0), np.empty((SLOTS, len(z)), z.dtype)
+        own, bias = w["S"][:, :DIM].transpose(0, 2, 1), (w["S"][:, DIM] + self.gap)[:, :, None]
         for k, (a, b) in enumerate(zip(cut, cut[1:])):
             if a < b:
-                np.matmul(w["S"][k].T, zs[a:b].T, out=inner[:, a:b])
-                inner[:, a:b] += self.gap[k][:, None]
+                part = inner[:, a:b]
+                np.matmul(own[k], zs[a:b].T, out=part)
+                part += bias[k]
         inner -= inner.max(0)
         return outer, inner, zs
 
-    def log_probs(self, c, first, target) -> tuple[np.ndarray, np.ndarray]:
+    def log_probs(self, c, first, target, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-probability of each target class, and of any class that begins a word or ends the text."""
-        got, target = self.forward(c, first), target.ravel()
+        got, target = self.forward(c, first, tables), target.ravel()
         family, order, cut = self.by_family(target)
         outer, inner, _ = self.outputs(got["w"], got["z"], order, cut)
         rows = np.arange(target.size)
-        p, part = outer[family, rows], inner[self.slot[target[order]], rows]
+        p, part = outer[family, rows], inner[self.slot.take(target.take(order)), rows]
         np.exp(outer, out=outer)
         opening = outer[: self.opening].sum(0) + np.float32(1e-35)
         whole = np.log(opening + outer[self.opening :].sum(0))
@@ -233,59 +273,77 @@ class Model:
         w, z, rows, n = got["w"], got["z"], np.arange(target.size), len(c)
         flat = np.zeros_like(self.flat)
         g = self.views(flat)
-        weight = (real / max(1, int(real.sum()))).astype(z.dtype)
+        weight = real * np.asarray(1 / max(1, int(np.count_nonzero(real))), z.dtype)
         family, order, cut = self.by_family(target)
 
         def loss_of(logits, hit, weight):
             """The loss; the logits become its gradient."""
             np.exp(logits, out=logits)
-            logits /= logits.sum(0)
-            loss = -(np.log(np.maximum(logits[hit, rows], 1e-30)) * weight).sum()
-            logits[hit, rows] -= 1
-            logits *= weight
-            return loss
+            whole, own = logits.sum(0), logits.reshape(-1)
+            hit = hit * np.int64(len(rows)) + rows
+            p = own.take(hit) / whole
+            logits *= weight / whole
+            own[hit] = (p - 1) * weight
+            return -(np.log(np.maximum(p, 1e-30)) @ weight)
 
         outer, inner, zs = self.outputs(w, z, order, cut)
-        loss = loss_of(outer, family, weight) + loss_of(inner, self.slot[target[order]], weight[order])
-        np.matmul(z.T, outer.T, out=g["U"])
+        loss = loss_of(outer, family, weight) + loss_of(inner, self.slot.take(target.take(order)), weight.take(order))
+        np.matmul(z.T, outer.T, out=g["U"][:DIM])
+        g["U"][DIM] = outer.sum(1)
         dz = outer.T @ w["U"][:DIM].T
-        back = np.empty((len(z), DIM), z.dtype)
+        back, own = np.empty_like(dz), w["S"][:, :DIM].transpose(0, 2, 1)
         for k, (a, b) in enumerate(zip(cut, cut[1:])):
             if a < b:
-                np.matmul(zs[a:b].T, inner[:, a:b].T, out=g["S"][k])
-                np.matmul(inner[:, a:b].T, w["S"][k][:DIM].T, out=back[a:b])
-        dz[order] += back
+                part = inner[:, a:b]
+                np.matmul(zs[a:b].T, part.T, out=g["S"][k, :DIM])
+                g["S"][k, DIM] = part.sum(1)
+                np.matmul(part.T, own[k], out=back[a:b])
+        place = np.empty_like(order)
+        place[order] = rows
+        dz += back.take(place, 0)
         np.matmul(got["f"].T, dz, out=g["W2"])
         df = dz @ w["W2"].T
         df *= got["f"] > 0
         np.matmul(got["h"].T, df, out=g["W1"])
         g["c1"][:] = np.ones(len(df), df.dtype) @ df
-        dh = dz + df @ w["W1"].T
+        dx = df @ w["W1"].T
+        dx += dz
         a = got["a"]
-        np.matmul(a.T, dh, out=g["O"])
-        # a is the quotient of the sums of e * [v, 1]
-        da = np.empty((len(a), DIM + 1), a.dtype)
-        np.matmul(dh, w["O"].T, out=da[:, :DIM])
-        da[:, DIM] = -np.einsum("ij,ij->i", da[:, :DIM], a)
+        own = a.T @ dx
+        g["V"][:], g["O"][:] = own @ w["O"].T, w["V"].T @ own
+        # a is the quotient of the sums of e * x and of e
+        da = dx @ got["vo"].T
         da /= got["total"]
-        da = da.reshape(n, BLOCK, DIM + 1)
-        d = da @ got["vv"].transpose(0, 2, 1)
-        d *= got["u7"]
-        np.add.reduce(d, 0, out=g["B"])
-        d *= POWER
-        d3 = np.zeros(((n + 1) * BLOCK, 3 * DIM), a.dtype)
-        d3[BLOCK:, :DIM] = (d @ got["kk"]).reshape(-1, DIM)
-        for at, part in ((DIM, d.transpose(0, 2, 1) @ got["q"]), (2 * DIM, got["e"].transpose(0, 2, 1) @ da[:, :, :DIM])):
-            d3[BLOCK:, at : at + DIM] = part[:, BLOCK:].reshape(-1, DIM)
-            d3[: n * BLOCK, at : at + DIM] += part[:, :BLOCK].reshape(-1, DIM)
-        d3 = d3[BLOCK:]
-        own = got["x"].T @ d3
-        g["Q"][:], g["K"][:], g["V"][:] = own[:, :DIM] / (POWER * np.sqrt(DIM)), own[:, DIM : 2 * DIM], own[:, 2 * DIM :]
-        dx = dh + d3 @ self.projections(w).T
-        c = c.ravel()
+        dq, keys = self.attention_gradients(got, da.reshape(n, BLOCK, DIM), np.einsum("ij,ij->i", da, a).reshape(n, BLOCK, 1), g["B"])
+        own = got["x"].T @ dq / np.asarray(POWER * np.sqrt(DIM), a.dtype)
+        g["Q"][:], g["K"][:] = own @ w["K"], own.T @ w["Q"]
+        dx += dq @ got["qk"].T
+        dx = dx.reshape(n, BLOCK, DIM)
+        dx += keys[:, BLOCK:]
+        dx[:-1] += keys[1:, :BLOCK]
+        c = c.ravel().astype(np.uint16)
         order = np.argsort(c, kind="stable")
-        begin = np.flatnonzero(np.r_[True, np.diff(c[order]) != 0])
-        return float(loss), c[order[begin]], np.add.reduceat(dx[order], begin, 0), flat
+        c = c.take(order)
+        begin = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        return float(loss), c[begin].astype(np.int64), np.add.reduceat(dx.reshape(-1, DIM).take(order, 0), begin, 0), flat
+
+    @staticmethod
+    def attention_gradients(got: dict, da: np.ndarray, less: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gradients of queries, and of the inputs as keys and values of each block, PART blocks at a time; that of the bias is added to ``bias``. da, less: the gradient of the sums of ``attended``, and less that of the totals."""
+        kv, (weights, u7), n = got["kv"], got["kept"], len(da)
+        q, dq, keys = got["q"] * np.asarray(POWER, da.dtype), np.empty((n, BLOCK, DIM), da.dtype), np.empty((n, 2 * BLOCK, DIM), da.dtype)
+        room, one, across = np.empty((PART, BLOCK, 2 * BLOCK), da.dtype), np.ones((1, PART), da.dtype), kv.transpose(0, 2, 1)
+        for i in range(0, n, PART):
+            own = slice(i, min(n, i + PART))
+            d = np.matmul(da[own], across[own], out=room[: own.stop - i])
+            d -= less[own]
+            d *= u7[own]
+            bias += (one[:, : len(d)] @ d.reshape(len(d), -1)).reshape(bias.shape)
+            np.matmul(d, kv[own], out=dq[own])
+            part = np.matmul(d.transpose(0, 2, 1), q[own], out=keys[own])
+            part += weights[own].transpose(0, 2, 1) @ da[own]
+        dq *= POWER
+        return dq.reshape(-1, DIM), keys
 
 
 def blocks(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -345,11 +403,11 @@ class Adam:
         """One step over blocks of inputs, of targets, which targets are real, and which blocks open a document."""
         model = self.model
         self.step += 1
-        _, own, rows, flat = model.gradients(before, first, model.class_of[after], real)
+        _, own, rows, flat = model.gradients(before, first, model.class_of.take(after), real)
         rate *= min(1, self.step / 50)
         self.times[own] += 1  # rows of E have their own clocks
         for w, at, state, g, step in ((model.flat, ..., self.dense, flat, self.step), (model.E, own, self.rows, rows, self.times[own][:, None])):
-            a, b = state[0][at], state[1][at]
+            a, b = (x if at is ... else x.take(at, 0) for x in state)
             a = a + np.float32(0.1) * (g - a)
             b = b + np.float32(0.01) * (g * g - b)
             state[0][at], state[1][at] = a, b
@@ -436,24 +494,22 @@ def _grouped(rare: np.ndarray, counts: np.ndarray, company: np.ndarray) -> np.nd
 
 def _count(batches):
     """Words of training rows with their counts; what a task read is summed first."""
-    total, size = Counter(), 0
+    held = []
 
-    def flush():
-        items = list(total.items())
-        for a in range(0, len(items), 100_000):
-            part = items[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64())], names=["word", "c"])
-        total.clear()
+    def flush(most: int):
+        whole = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"]).combine_chunks()
+        held[:] = [whole]
+        if whole.num_rows > most or whole.nbytes > COUNTED_BYTES * (most > 0):
+            yield from whole.to_batches(100_000)
+            held.clear()
 
     for b in (part for whole in batches for part in chunks.slices(whole)):
         words, index, _ = words_of(b.column("text"))
-        size += sum(map(len, words))
-        for w, c in zip(words, np.bincount(index, minlength=len(words)).tolist()):
-            total[w] += c
-        if len(total) > COUNTED or size > COUNTED_BYTES:
-            yield from flush()
-            size = 0
-    yield from flush()
+        held.append(pa.table({"word": words, "c": np.bincount(index, minlength=len(words)).astype(np.int64)}))
+        if sum(x.num_rows for x in held) > 2 * COUNTED or sum(x.nbytes for x in held) > 2 * COUNTED_BYTES:
+            yield from flush(COUNTED)
+    if held:
+        yield from flush(-1)
 
 
 def _documents(batches):
@@ -477,7 +533,7 @@ class Scorer:
         self.tokens, self.distinct = (n.n or 0) + ends, n.v + (ends > 0)
         self.ends = ends
         top = self.counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-        self.head = dict(zip(top["word"].to_pylist(), range(top.num_rows)))
+        self.head = top["word"].combine_chunks()
         self.head_counts = np.append(top["c"].to_numpy().astype(np.float64), ends)  # the end's rank is last
         counts, begun = self._id_counts()
         self.coded = self._coded(rows)
@@ -492,12 +548,12 @@ class Scorer:
         path = self.path
 
         def run(batches):
-            bpe, total, begun = encoder(path), np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+            opens, total, begun = opening_ids(path), np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
             for b in batches:
-                words, c = b.column("word").to_pylist(), b.column("c").to_numpy()
-                ids = [bpe.encode_ordinary(" " + w) for w in words]
-                np.add.at(total, np.array([i for x in ids for i in x], np.int64), np.repeat(c, [len(x) for x in ids]))
-                np.add.at(begun, np.array([x[0] for x in ids], np.int64), c)
+                c = b.column("c").to_numpy()
+                ids, begin = encoded(b.column("word"), path, opens)
+                np.add.at(total, ids, np.repeat(c, np.diff(begin)))
+                np.add.at(begun, ids[begin[:-1]], c)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(begun[at])], names=["id", "c", "b"])
 
@@ -515,17 +571,21 @@ class Scorer:
         held = self.spark.sparkContext.broadcast((self.head, self.head_counts))  # HEAD words
 
         def run(batches):
-            (head, counts), bpe = held.value, encoder(path)
-            ids_of = _Known(lambda w: np.array(bpe.encode_ordinary(" " + w), "<u2").tobytes())
+            (head, counts), opens = held.value, opening_ids(path)
+            known_ids, begin_known = encoded(head, path, opens)
             logs, end, last = np.log10(counts + 0.5), np.array([END], "<u2").tobytes(), np.array([len(head)], "<i4").tobytes()
             for b in (part for whole in batches for part in chunks.slices(whole)):
                 words, index, offsets = words_of(b.column("text"))
-                ids = chunks.taken([ids_of[w] for w in words], pa.array(index), offsets)
-                rank = np.fromiter((head.get(w, -1) for w in words), np.int32, len(words))[index]
+                place = pc.index_in(words, value_set=head.cast(words.type)).fill_null(-1).to_numpy()
+                other_ids, begin = encoded(words.filter(pa.array(place < 0)), path, opens)
+                pieces = np.r_[begin_known, begin_known[-1] + begin[1:]] * 2
+                number = np.where(place < 0, len(head) + np.cumsum(place < 0) - 1, place)
+                ids = chunks.taken(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces) - 1, [None, pa.py_buffer(pieces), pa.py_buffer(np.r_[known_ids, other_ids])]), pa.array(number[index]), offsets)
+                rank = place.astype(np.int32)[index]
                 tail = rank < 0
                 sums = np.r_[0, np.cumsum(np.where(tail, 0, logs[rank]))]
                 known = np.r_[0, np.cumsum(~tail)]
-                missed = pa.array(words, pa.string()).take(pa.array(index[tail]))
+                missed = words.take(pa.array(index[tail]))
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(index) + 1) - known)[offsets].astype(np.int32)), missed)
                 raw = memoryview(rank.tobytes())
                 yield pa.RecordBatch.from_arrays([
@@ -652,10 +712,10 @@ class Scorer:
 def log_probs(model: Model, ids: np.ndarray, lengths: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Natural log-probability of the class of every id of documents, and of a word's beginning there; ``most`` blocks are scored together."""
     before, after, _, first, place = blocks(ids, lengths)
-    most, p, opening = most or MOST, np.empty(before.size), np.empty(before.size)
+    most, p, opening, tables = most or MOST, np.empty(before.size), np.empty(before.size), model.tables()
     for a in range(0, len(before), most):
         lo = max(0, a - 1)  # the block before is context only
-        got = model.log_probs(before[lo : a + most], first[lo : a + most], model.class_of[after[lo : a + most]])
+        got = model.log_probs(before[lo : a + most], first[lo : a + most], model.class_of.take(after[lo : a + most]), tables)
         for out, x in zip((p, opening), got):
             out[a * BLOCK : (a + most) * BLOCK] = x[(a - lo) * BLOCK :]
     return p[place], opening[place]

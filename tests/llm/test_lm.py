@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import lm
@@ -204,3 +205,46 @@ def test_words_longer_than_any_piece(spark):
     text = "ab" * 20_000
     (row,) = lm.Scorer(spark.createDataFrame([(3, text)], "doc_id long, text string")).score().collect()
     assert row.n_tokens == 2 and math.isfinite(row.score)
+
+
+def test_words_go_to_the_tokenizer_together(monkeypatch):
+    """Few calls of the tokenizer, and the ids that each word has by itself, other white space at its edges included."""
+    path, rng, calls = lm.default_path(), np.random.default_rng(6), []
+    bpe = lm.encoder(path)
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(bpe, name)
+
+    letters = np.array(list("abX\xe9\xdf1.'s-_\x1c\u0300\u200b\u4e2d\U0001f642") + ["\x85", "\xa0", "\u2003", "\u3000"])
+    words = ["".join(rng.choice(letters[:-4], k)) for k in rng.integers(1, 8, 3000)] + ["".join(rng.choice(letters, k)) for k in rng.integers(1, 4, 50)] + ["\xa0", "a\xa0", "\xa0b"]
+    monkeypatch.setitem(lm._ENCODERS, path, Counted())
+    ids, begin = lm.encoded(pa.array(words), path, lm.opening_ids(path))
+    odd = sum(any(x in w for x in letters[-4:]) for w in words)
+    assert sum(k.startswith("encode") for k in calls) <= 1 + odd
+    assert [ids[a:z].tolist() for a, z in zip(begin, begin[1:])] == [bpe.encode_ordinary(" " + w) for w in words]
+    for few in ([], ["\xa0"]):
+        ids, begin = lm.encoded(pa.array(few, pa.string()), path, lm.opening_ids(path))
+        assert ids.tolist() == [i for w in few for i in bpe.encode_ordinary(" " + w)] and begin.tolist() == [0, len(ids)][: len(few) + 1]
+
+
+def test_scoring_keeps_nothing_for_gradients():
+    m, rng, n = random_model(7)
+    c, first = rng.integers(0, lm.IDS, (2 * lm.PART + 1, lm.BLOCK)), rng.random(2 * lm.PART + 1) < 0.5
+    whole, scoring = m.forward(c, first), m.forward(c, first, m.tables())
+    assert scoring["kept"] is None and np.allclose(whole["z"], scoring["z"], atol=1e-4)
+
+
+def test_counts_of_words_sent_on_in_parts(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 300, 200)) for _ in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]) for t in texts]
+    for most in (10, 400, 1_000_000):
+        monkeypatch.setattr(lm, "COUNTED", most)
+        got, parts = Counter(), 0
+        for b in lm._count(iter(batches)):
+            parts += 1
+            for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist()):
+                got[w] += c
+        assert got == Counter(w for t in texts for w in t.split()) and (parts == 1 or most == 10)
