@@ -174,10 +174,9 @@ class Model:
         """The products of the weights that act as one: of queries and keys, with what attention divides by, and of values and outputs."""
         return w["Q"] @ w["K"].T / np.asarray(POWER * np.sqrt(DIM), w["Q"].dtype), w["V"] @ w["O"]
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """What queries and the feed-forward layer take from each id, for a model that no longer changes."""
-        w = self.views(self.flat)
-        return self.E @ self.joined(w)[0], self.E @ w["W1"] + w["c1"]
+    def queries(self) -> np.ndarray:
+        """The query of each id, for a model that no longer changes."""
+        return self.E @ self.joined(self.views(self.flat))[0]
 
     def attended(self, q: np.ndarray, kv: np.ndarray, first: np.ndarray, w: dict, kept: tuple | None) -> tuple[np.ndarray, np.ndarray]:
         """Sums of keys' weights times values, and of the weights, PART blocks at a time. kept: where the weights and what their gradient needs are left."""
@@ -205,8 +204,8 @@ class Model:
             np.matmul(e.reshape(-1, 2 * BLOCK), one, out=total[i * BLOCK : own.stop * BLOCK])
         return out.reshape(-1, DIM), total[:, None]
 
-    def forward(self, c: np.ndarray, first: np.ndarray, tables: tuple | None = None) -> dict:
-        """c: the input ids, in blocks; first: blocks that open a document; tables: of ``tables``, where no gradient is asked for. What stands before the output layer, row by row."""
+    def forward(self, c: np.ndarray, first: np.ndarray, queries: np.ndarray | None = None) -> dict:
+        """c: the input ids, in blocks; first: blocks that open a document; queries: of ``queries``, where no gradient is asked for. What stands before the output layer, row by row."""
         w, n = self.views(self.flat), len(c)
         c = c.ravel()
         qk, vo = self.joined(w)
@@ -215,19 +214,14 @@ class Model:
         x = self.E.take(c, 0, out=inputs[BLOCK:], mode="clip")
         a, b = inputs.strides
         kv = as_strided(inputs, (n, 2 * BLOCK, DIM), (BLOCK * a, a, b))
-        q = (tables[0].take(c, 0) if tables else x @ qk).reshape(n, BLOCK, DIM)
-        kept = None if tables else np.empty((2, n, BLOCK, 2 * BLOCK), x.dtype)
+        q = (x @ qk if queries is None else queries.take(c, 0)).reshape(n, BLOCK, DIM)
+        kept = np.empty((2, n, BLOCK, 2 * BLOCK), x.dtype) if queries is None else None
         a, total = self.attended(q, kv, first, w, kept)
         a /= total
         h = a @ vo
-        if tables:
-            f = h @ w["W1"]
-            f += tables[1].take(c, 0)
-            h += x
-        else:
-            h += x
-            f = h @ w["W1"]
-            f += w["c1"]
+        h += x
+        f = h @ w["W1"]
+        f += w["c1"]
         np.maximum(f, np.zeros(1, f.dtype), out=f)
         z = f @ w["W2"]
         z += h
@@ -236,7 +230,8 @@ class Model:
     def by_family(self, target: np.ndarray):
         """The family of each row's target, an order by it, and where each family's rows begin in that."""
         family = self.family.astype(np.uint8).take(target)
-        return family, np.argsort(family, kind="stable"), np.r_[0, np.cumsum(np.bincount(family, minlength=len(self.gap)))].tolist()
+        order = np.argsort(family, kind="stable")
+        return family, order, np.searchsorted(family.take(order), np.arange(len(self.gap) + 1)).tolist()
 
     def outputs(self, w: dict, z: np.ndarray, order: np.ndarray, cut: list[int]):
         """Shifted logits, one column a row of z: of the families, and in the order of families of the slots of the target's."""
@@ -253,9 +248,9 @@ class Model:
         inner -= inner.max(0)
         return outer, inner, zs
 
-    def log_probs(self, c, first, target, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
+    def log_probs(self, c, first, target, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-probability of each target class, and of any class that begins a word or ends the text."""
-        got, target = self.forward(c, first, tables), target.ravel()
+        got, target = self.forward(c, first, queries), target.ravel()
         family, order, cut = self.by_family(target)
         outer, inner, _ = self.outputs(got["w"], got["z"], order, cut)
         rows = np.arange(target.size)
@@ -568,11 +563,11 @@ class Scorer:
         """The written table of all rows' ids (16 bits each, the end last), ranks of their words in the head, and words outside it."""
         path, ends = self.path, self.ends
         end_log, known_end = float(np.log10(ends + 0.5)), int(ends > 0)
-        held = self.spark.sparkContext.broadcast((self.head, self.head_counts))  # HEAD words
+        opens = opening_ids(path)
+        held = self.spark.sparkContext.broadcast((self.head, self.head_counts, opens, encoded(self.head, path, opens)))  # HEAD words
 
         def run(batches):
-            (head, counts), opens = held.value, opening_ids(path)
-            known_ids, begin_known = encoded(head, path, opens)
+            head, counts, opens, (known_ids, begin_known) = held.value
             logs, end, last = np.log10(counts + 0.5), np.array([END], "<u2").tobytes(), np.array([len(head)], "<i4").tobytes()
             for b in (part for whole in batches for part in chunks.slices(whole)):
                 words, index, offsets = words_of(b.column("text"))
@@ -712,10 +707,10 @@ class Scorer:
 def log_probs(model: Model, ids: np.ndarray, lengths: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Natural log-probability of the class of every id of documents, and of a word's beginning there; ``most`` blocks are scored together."""
     before, after, _, first, place = blocks(ids, lengths)
-    most, p, opening, tables = most or MOST, np.empty(before.size), np.empty(before.size), model.tables()
+    most, p, opening, queries = most or MOST, np.empty(before.size), np.empty(before.size), model.queries()
     for a in range(0, len(before), most):
         lo = max(0, a - 1)  # the block before is context only
-        got = model.log_probs(before[lo : a + most], first[lo : a + most], model.class_of.take(after[lo : a + most]), tables)
+        got = model.log_probs(before[lo : a + most], first[lo : a + most], model.class_of.take(after[lo : a + most]), queries)
         for out, x in zip((p, opening), got):
             out[a * BLOCK : (a + most) * BLOCK] = x[(a - lo) * BLOCK :]
     return p[place], opening[place]

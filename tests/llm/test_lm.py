@@ -232,7 +232,7 @@ def test_words_go_to_the_tokenizer_together(monkeypatch):
 def test_scoring_keeps_nothing_for_gradients():
     m, rng, n = random_model(7)
     c, first = rng.integers(0, lm.IDS, (2 * lm.PART + 1, lm.BLOCK)), rng.random(2 * lm.PART + 1) < 0.5
-    whole, scoring = m.forward(c, first), m.forward(c, first, m.tables())
+    whole, scoring = m.forward(c, first), m.forward(c, first, m.queries())
     assert scoring["kept"] is None and np.allclose(whole["z"], scoring["z"], atol=1e-4)
 
 
